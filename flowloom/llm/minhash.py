@@ -11,9 +11,11 @@
    each other member; set sizes and a 128-bit signature of the same hash
    function filter them; the sketch of the union estimates the similarity; the
    full sets decide.  Links become components.
-4. Members of one list that are still in different components are compared
-   with each other in a second round, so no link between components is lost,
-   though a group of ``g`` copies costs about ``g`` comparisons, not ``g**2``.
+4. Members of one list that are still in different components, though their
+   signatures allow the similarity, form families.  A family's sets are
+   compared block against block inside tasks, which emit only the links they
+   find.  So no link between components is lost, a group of ``g`` copies costs
+   about ``g`` comparisons of texts, and no pair that isn't a link is written.
 """
 
 from __future__ import annotations
@@ -176,17 +178,153 @@ def near_duplicates(
     # second round: members of a list that the first left in different components
     left = shared.where("members > 2").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
     left = left.select("value", "doc", "n", "s1", "s2", F.coalesce("comp", "doc").alias("comp"))
-    open_lists = left.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    left = materialize(left.join(open_lists.select("value"), "value"), "open")
-    other = left.select("value", *(F.col(x).alias(y) for x, y in (("doc", "a"), ("n", "n2"), ("s1", "t1"), ("s2", "t2"), ("comp", "comp2"))))
-    second = left.withColumnRenamed("doc", "b").join(other, "value").where("a < b AND comp <> comp2")
-    second = second.where(_plausible(percent)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "pairs")
-    if second.limit(1).count():
-        links = links.union(materialize(_linked(src, second, percent, shingle, k), "links"))
+    left = left.repartition("value").sortWithinPartitions("value")
+    families = materialize(left.mapInArrow(_families(percent), "a bigint, b bigint").distinct(), "families")
+    if families.limit(1).count():
+        links = links.union(materialize(_family_links(src, families, comps, percent, shingle), "links"))
     return _result(sk, reps, connected_components(links.union(own)))
 
 
+def _most_apart(percent: int) -> int:
+    p = percent / 100
+    return int(128 * (1 - p) / 2 + _DEVIATIONS * np.sqrt(128 * (1 + p) / 2 * (1 - p) / 2))
+
+
+def _alike(n, s1, s2, i, j, percent: int) -> np.ndarray:
+    """Which of the rows ``j`` row ``i`` may be similar to, by size and signature."""
+    bits = np.bitwise_count(s1[j] ^ s1[i]) + np.bitwise_count(s2[j] ^ s2[i])
+    return (bits <= _most_apart(percent)) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+
+
+def _families(percent: int):
+    """Rows (value, doc, n, s1, s2, comp) sorted by value -> (a, b): members of a list that need comparing.
+
+    In each list rows spread from one to all that may be similar to it, each
+    row asking only about rows not reached yet; a family that spans more than
+    one component is emitted as a star around its smallest member.
+    """
+
+    def emit(rows: np.ndarray) -> list[tuple[int, int]]:
+        doc, n, s1, s2, comp = rows
+        if len(np.unique(comp)) < 2:
+            return []
+        s1, s2, out = s1.view(U64), s2.view(U64), []
+        rest = np.arange(len(doc))
+        while len(rest):
+            family, wave, rest = [rest[0]], [rest[0]], rest[1:]
+            while wave and len(rest):
+                hit = _alike(n, s1, s2, wave.pop(), rest, percent)
+                new, rest = rest[hit].tolist(), rest[~hit]
+                wave += new
+                family += new
+            if len(family) > 1 and len(np.unique(comp[family])) > 1:
+                head = int(doc[family].min())
+                out += [(head, int(d)) for d in doc[family] if d != head]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def batch(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            value = b.column(0).to_numpy()
+            rows = np.stack([b.column(i).to_numpy() for i in range(1, 6)])
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(value)) + 1, [len(value)]])
+            found = []
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if held and value[s] != key:
+                    found += emit(np.concatenate(held, 1))
+                    held = []
+                key = value[s]
+                held.append(rows[:, s:e])
+            if found:
+                yield batch(found)
+        if held and (found := emit(np.concatenate(held, 1))):
+            yield batch(found)
+
+    return run
+
+
+BLOCK = 128
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s.tobytes() for w in iter_words(b.column(1)) for s in shingle_sets(w, size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["doc", "grams"])
+
+    return run
+
+
+def _compare(percent: int):
+    """One task of a family: sets of two blocks -> links between different components."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        doc, comp, side = (rows.column(c).to_numpy() for c in ("doc", "comp", "side"))
+        sets = [np.frombuffer(x, U64) for x in rows.column("grams").to_pylist()]
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        # an inverted index over the right side: positions of each shingle
+        size = np.array([len(s) for s in sets])
+        flat = np.concatenate([sets[r] for r in right]) if len(right) else np.zeros(0, U64)
+        owner = np.repeat(np.arange(len(right)), size[right])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        out = []
+        for i in left:
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            k = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            ok = (100 * both >= percent * (size[right] + size[i] - both)) & (comp[right] != comp[i])
+            out += [(int(doc[i]), int(doc[r])) for r in right[ok]]
+        # a spanning forest says as much as all links
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        kept = []
+        for a, b in out:
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                kept.append((a, b))
+        return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
+
+    return run
+
+
+def _family_links(src: DataFrame, families: DataFrame, comps: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links inside families between documents of different components.
+
+    A family is cut into blocks of about ``BLOCK`` documents, and each pair of
+    blocks is one bounded task.
+    """
+    members = connected_components(families).select(F.col("node").alias("doc"), F.col("comp").alias("family"))
+    counts = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = members.join(counts, "family").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    members = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
+    members = members.withColumn("comp", F.coalesce("comp", "doc"))
+    ids = broadcast_if_small(members.select(F.col("doc").alias("doc_id")), MAX_BROADCAST_IDS)
+    grams = src.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc bigint, grams binary")
+    rows = materialize(members.join(grams, "doc"), "familysets")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("family", "doc", "comp", "grams", "block", other)
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    # side 0 is both sides of a block with itself, 1 the left block, 2 the right one
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") == low, 1).otherwise(2)
+    rows = rows.select("family", low.alias("b1"), high.alias("b2"), "doc", "comp", "grams", side.alias("side"))
+    compare = _compare(percent)
+    return rows.groupBy("family", "b1", "b2").applyInArrow(lambda t: compare(t), "a bigint, b bigint").distinct()
+
+
 def _ranked(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent retained values and their frequencies, ``MAX_RANKED`` at most.
 
@@ -215,10 +353,8 @@ def _ranked(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _plausible(percent: int):
     """Sizes allow the similarity, and the 128-bit signatures don't exclude it."""
-    p = percent / 100
-    most = 128 * (1 - p) / 2 + _DEVIATIONS * np.sqrt(128 * (1 + p) / 2 * (1 - p) / 2)
     apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (apart <= int(most))
+    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (apart <= _most_apart(percent))
 
 
 def _linked(src: DataFrame, pairs: DataFrame, percent: int, shingle: int, k: int) -> DataFrame:

@@ -38,15 +38,15 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(text), "[\\x20\\x09-\\x0D]+")
 
 
-def _features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def _features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(row columns, words, tokens, bins): whole-text shape features as small ints."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), *keep)
     d = d.withColumn("words", F.filter(_words(F.col("text")), lambda w: w != ""))
     n = F.greatest(F.size("words"), F.lit(1))
     letters = F.length("text")
     return d.select(
-        "doc_id",
+        "doc_id", *keep,
         F.size("words").cast("bigint").alias("tokens"),
         F.array_distinct("words").alias("words"),
         F.array(
@@ -55,11 +55,12 @@ def _features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             F.least(F.floor(16 * F.size(F.array_distinct("words")) / n), F.lit(16)),
             F.least(F.floor(8 * (letters - F.length(F.replace(F.col("text"), F.lit("!!"), F.lit("")))) / n), F.lit(16)),
             F.least(F.floor(8 * (letters - F.length(F.replace(F.col("text"), F.lit(" | "), F.lit("")))) / n), F.lit(24)),
+            F.least(F.floor(8 * (letters - F.length(F.translate("text", "#$%&*", ""))) / n), F.lit(24)),
         ).cast("array<int>").alias("bins"),
     )
 
 
-def learn_domains(labelled: DataFrame) -> tuple[list[str], list[float], dict, dict]:
+def learn_domains(labelled: DataFrame, max_words: int = MAX_WORDS) -> tuple[list[str], list[float], dict, dict]:
     """(domains, log priors, word weights, bin weights) from rows (domain, words, bins).
 
     Words are chosen by the mutual information of their presence with the
@@ -77,7 +78,7 @@ def learn_domains(labelled: DataFrame) -> tuple[list[str], list[float], dict, di
         for hits, share in ((F.col(f"n{i}"), every), (totals[d] - F.col(f"n{i}"), n - every)):
             expected = share * totals[d] / n
             info = info + F.when((hits > 0) & (expected > 0), hits * F.ln(hits / expected)).otherwise(0.0)
-    best = wide.withColumn("info", F.round(info, 6)).where("info > 4").orderBy(F.desc("info"), "w").limit(MAX_WORDS).collect()
+    best = wide.withColumn("info", F.round(info, 6)).where("info > 4").orderBy(F.desc("info"), "w").limit(max_words).collect() if max_words else []
     words = {}
     for r in best:
         on = [math.log((r[f"n{i}"] + 0.5) / (totals[d] + 1)) for i, d in enumerate(names)]
@@ -94,11 +95,11 @@ def learn_domains(labelled: DataFrame) -> tuple[list[str], list[float], dict, di
     return names, priors, {w: x[0] for w, x in words.items()}, bins
 
 
-def posteriors(features: DataFrame, model) -> DataFrame:
+def posteriors(features: DataFrame, model, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, tokens, p: array<double>) of every document."""
     names, priors, words, bins = model
     if not names:
-        return features.select("doc_id", "tokens", F.array().cast("array<double>").alias("p"))
+        return features.select("doc_id", *keep, "tokens", F.array().cast("array<double>").alias("p"))
     vector = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     zero = vector([0.0] * len(names))
     terms = F.array(vector(priors))
@@ -110,9 +111,9 @@ def posteriors(features: DataFrame, model) -> DataFrame:
         look = F.create_map(*(x for (f, b), v in bins.items() for x in (F.lit(f * 100 + b), vector(v))))
         terms = F.concat(terms, F.transform("bins", lambda b, i: F.coalesce(F.element_at(look, i * 100 + b), zero)))
     add = lambda s, t: F.zip_with(s, t, lambda a, b: a + b)
-    d = features.select("doc_id", "tokens", F.aggregate(terms, zero, add).alias("s"))
+    d = features.select("doc_id", *keep, "tokens", F.aggregate(terms, zero, add).alias("s"))
     d = d.withColumn("s", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
-    return d.select("doc_id", "tokens", F.transform("s", lambda x: x / F.aggregate("s", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    return d.select("doc_id", *keep, "tokens", F.transform("s", lambda x: x / F.aggregate("s", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
 def _inverse(m: list[list[float]]) -> list[list[float]]:
