@@ -14,7 +14,6 @@ from .net import V4_PREFIX, byte_at, uint_at, uint_le_at
 
 ETHERNET, RAW_80211, RADIOTAP = 1, 105, 127
 _IPV4, _IPV6, _VLAN = 0x0800, 0x86DD, 0x8100
-_NULL_BIN, _NULL_INT = F.lit(None).cast("binary"), F.lit(None).cast("int")
 #: IPv6 next-header values that are extension headers, and the authentication header among them
 _EXTENSIONS, _AUTH, _ESP, _NO_NEXT = (0, 43, 44, 51, 60), 51, 50, 59
 
@@ -107,9 +106,9 @@ def decode(packets: DataFrame, *, compat_auth: bool = False) -> DataFrame:
     silent = ((F.col("_v") == 4) & (p == 1)) | ((F.col("_v") == 6) & (p == 58)) | ended
     l7 = (
         F.when(ports & (p == 6) & (n >= o + 20), o + F.shiftright(byte_at(ip, o + 12), 4) * 4)
-        .when(ports & (p == 6), _NULL_INT)
+        .when(ports & (p == 6), F.lit(None).cast("int"))
         .when(ports, o + 8)
-        .when(silent, _NULL_INT)
+        .when(silent, F.lit(None).cast("int"))
         .otherwise(o)
     )
     five = F.struct(

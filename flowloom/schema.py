@@ -1,10 +1,8 @@
 """Schemas of packets and flows."""
 
-from pyspark.sql import types as T
-
 FIVE_TUPLE = "struct<protocol:int,src_ip:binary,dst_ip:binary,src_port:int,dst_port:int>"
 #: what a capture source yields; every other packet column is decoded from it
-RAW_PACKET = T.StructType.fromDDL(
+RAW_PACKET = (
     "file string, file_stem string, pkt_idx bigint, link_type int, out_link_type int,"
     "ts_sec bigint, ts_usec bigint, cap_len bigint, orig_len bigint, data binary"
 )
