@@ -121,7 +121,9 @@ def json_fingerprint(js: Column) -> Column:
     """The same fingerprint for a JSON object in a string column: top keys, and the first element's keys of arrays."""
     keys = F.json_object_keys(js)
     known = sorted({x.turns for x in _ALL if x.turns})
-    nested = F.array(*(F.transform(F.coalesce(F.json_object_keys(F.get_json_object(js, f"$.{t}[0]")), F.array().cast("array<string>")), lambda k, t=t: F.concat(F.lit(f"{t}[]."), k)) for t in known))  # noqa: E501
+    first = lambda t: F.coalesce(F.json_object_keys(F.get_json_object(js, f"$.{t}[0]")), F.array().cast("array<string>"))
+    named = lambda t: F.transform(first(t), lambda k: F.concat(F.lit(f"{t}[]."), k))
+    nested = F.array(*map(named, known))
     plain = F.filter(keys, lambda k: ~k.isin(*known))
     return F.substring(F.sha2(F.array_join(F.array_sort(F.concat(plain, F.flatten(nested))), "\n"), 256), 1, 16)
 
@@ -140,10 +142,7 @@ def canonical_json(df: DataFrame, *, id_col: str = "conv_id", json_col: str = "j
             made = _singles(x, lambda f: F.get_json_object("_js", f"$.{f}"))
         elif x.turns:
             kind = f"{x.turns} array<struct<`{x.role}`:string,`{x.text}`:string>>"
-            made = F.transform(
-                F.from_json("_js", kind)[x.turns],
-                lambda t, x=x: F.struct(_role(t[x.role], True).alias("role"), F.coalesce(t[x.text], F.lit("")).alias("text")),
-            )
+            made = F.transform(F.from_json("_js", kind)[x.turns], _turn_of(x))
         else:
             continue
         cond = F.col("layout") == x.key
@@ -151,6 +150,10 @@ def canonical_json(df: DataFrame, *, id_col: str = "conv_id", json_col: str = "j
     return d.select(id_col, "layout", turns.alias("turns"))
 
 
+def _turn_of(x: Layout):
+    return lambda t: F.struct(_role(t[x.role], True).alias("role"), F.coalesce(t[x.text], F.lit("")).alias("text"))
+
+
 def escape(c: Column) -> Column:
     return F.regexp_replace(c, r"<(\\*)\|", r"<\\$1|")
 

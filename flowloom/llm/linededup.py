@@ -134,7 +134,7 @@ def _near(x: np.ndarray, y: np.ndarray, tau: int) -> np.ndarray:
     """Signatures that ``tau`` edits may turn into each other."""
     d = (x >> U64(56)).astype(np.int64) - (y >> U64(56)).astype(np.int64) & 255
     ok = np.minimum(d, 256 - d) <= tau
-    moved = np.zeros(x.shape, np.int64)
+    moved = np.zeros(np.broadcast_shapes(x.shape, y.shape), np.int64)
     for k in range(_LANES):
         d = ((x >> U64(4 * k)) - (y >> U64(4 * k))).astype(np.int64) & 15
         moved += np.minimum(d, 16 - d)
