@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
+#: bytes of rows in one Arrow batch of a map over texts (one longer text is a batch of its own)
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +39,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's limit of an Arrow batch to ``BATCH_BYTES``, so that long texts don't fill executors."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def with_rest(docs: DataFrame, keep: bool) -> tuple[DataFrame, list[str]]:
     """(doc_id, text[, rest]) for a map over texts; ``rest`` packs the other columns if they are kept."""
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("doc_id", "text")]
     cols = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if keep:
