@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import bound_batches, connected_components, materialize
 from .textops import _LOWER, _SPACE, U64, _chunks, _powers, mix64, text_buffers
 
 TAU = 2
@@ -301,6 +301,7 @@ def line_classes(docs: DataFrame, *, tau: int = TAU, near_min_chars: int = NEAR_
     as texts of one document: equal (id, number) lines are all kept or dropped
     alike.  Rows with a null id give no rows.  Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.where("doc_id IS NOT NULL")
     lines = src.mapInArrow(_scan(tau, near_min_chars), "doc_id bigint, line_no int, h bigint, sig bigint, keys array<bigint>")
