@@ -218,6 +218,23 @@ def _gradient(model):
     return run
 
 
+def _update(model, prior: float):
+    """Rows (r, summed derivatives) -> (r, new weights), which is all that travels to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*model.value)
+        old = np.concatenate([m.class_w, m.word_w])
+        for b in batches:
+            d = np.stack([b.column(1 + i).to_numpy() for i in range(2 * WIDTH)], 1)
+            w = old[b.column(0).to_numpy()].astype(np.float64)
+            w += np.clip((d[:, :WIDTH] - prior * w) / (d[:, WIDTH:] + prior) / 3, -2, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0)] + [pa.array(w[:, i].astype(np.float32)) for i in range(WIDTH)], names=["r"] + [f"g{i}" for i in range(WIDTH)]
+            )
+
+    return run
+
+
 def fit(ngrams: DataFrame, *, rounds: int = 6, prior: float = 2.0) -> Model:
     """Model from rows (hist, s: array<struct<symbol, count>>): ``rounds`` distributed gradient passes.
 
@@ -233,16 +250,16 @@ def fit(ngrams: DataFrame, *, rounds: int = 6, prior: float = 2.0) -> Model:
     m = Model(bias(by_class.sum(1) / max(1, seen.sum())), bias(by_class / np.maximum(1, by_class.sum(1, keepdims=True))), np.zeros((CLASS_ROWS, N_CLASS), np.float32), np.zeros((WORD_ROWS, WIDTH), np.float32))
     names = [f"g{i}" for i in range(2 * WIDTH)]
     schema = "r bigint, " + ", ".join(f"{x} double" for x in names)
+    new = "r bigint, " + ", ".join(f"{x} float" for x in names[:WIDTH])
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(_parts(m))
-        got = ngrams.mapInArrow(_gradient(sent), schema).groupBy("r").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+        sums = ngrams.mapInArrow(_gradient(sent), schema).groupBy("r").agg(*(F.sum(x).alias(x) for x in names))
+        got = sums.mapInArrow(_update(sent, prior), new).toArrow()
         if not got.num_rows:
             break
-        r = got.column("r").to_numpy()
-        d = np.stack([got.column(x).to_numpy() for x in names], 1)
-        w = np.concatenate([m.class_w, m.word_w]).astype(np.float64)
-        w[r] += np.clip((d[:, :WIDTH] - prior * w[r]) / (d[:, WIDTH:] + prior) / 3, -2, 2)
-        m = Model(m.class_bias, m.word_bias, w[:CLASS_ROWS].astype(np.float32), w[CLASS_ROWS:].astype(np.float32))
+        w = np.concatenate([m.class_w, m.word_w])
+        w[got.column("r").to_numpy()] = np.stack([got.column(x).to_numpy() for x in names[:WIDTH]], 1)
+        m = Model(m.class_bias, m.word_bias, w[:CLASS_ROWS], w[CLASS_ROWS:])
         sent.unpersist()
     return m
 
