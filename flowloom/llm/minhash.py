@@ -12,10 +12,12 @@
    function filter them; the sketch of the union estimates the similarity; the
    full sets decide.  Links become components.
 4. Members of one list that are still in different components, though their
-   signatures allow the similarity, form families.  A family's sets are
-   compared block against block inside tasks, which emit only the links they
-   find.  So no link between components is lost, a group of ``g`` copies costs
-   about ``g`` comparisons of texts, and no pair that isn't a link is written.
+   signatures allow the similarity, form families.  Lists within one component
+   are left out; long lists are cut into blocks, each pair of blocks a group of
+   its own.  A family's sets are compared block against block inside tasks,
+   which emit only the links they find.  So no link between components is lost,
+   a group of ``g`` copies costs about ``g`` comparisons of texts, and no pair
+   that isn't a link is written.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SKETCH = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, s1 bigint, s2
 MAX_RANKED = 400_000
 #: a pair's ids are broadcast to pick its texts only up to this many ids
 MAX_BROADCAST_IDS = 1_000_000
+#: about as many members of a list are in one block of it
+LIST_BLOCK = 1024
 _DEVIATIONS = 6.0
 
 
@@ -133,8 +137,9 @@ def _verify(percent: int, size: int, k: int):
 
 
 def near_duplicates(
-    docs: DataFrame, *, shingle: int = 5, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, *, shingle: int = 5, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text",
+    list_block: int = LIST_BLOCK,
+) -> DataFrame:
     """Row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when ``100 * |A & B| >= percent * |A | B|`` on their
@@ -177,8 +182,8 @@ def near_duplicates(
 
     # second round: members of a list that the first left in different components
     left = shared.where("members > 2").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
-    left = left.select("value", "doc", "n", "s1", "s2", F.coalesce("comp", "doc").alias("comp"))
-    left = left.repartition("value").sortWithinPartitions("value")
+    left = left.select("value", "members", "doc", "n", "s1", "s2", F.coalesce("comp", "doc").alias("comp"))
+    left = _blocks(left, list_block)
     families = materialize(left.mapInArrow(_families(percent), "a bigint, b bigint").distinct(), "families")
     if families.limit(1).count():
         links = links.union(materialize(_family_links(src, families, comps, percent, shingle), "links"))
@@ -196,10 +201,26 @@ def _alike(n, s1, s2, i, j, percent: int) -> np.ndarray:
     return (bits <= _most_apart(percent)) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
 
 
+def _blocks(rows: DataFrame, list_block: int) -> DataFrame:
+    """(pair, doc, n, s1, s2, comp) sorted by pair: the rows of two blocks of a list, for every two and each alone.
+
+    Lists whose members are all in one component have no link to find.  Any two
+    members of a list meet in a group of about ``2 * list_block`` rows or fewer.
+    """
+    open_lists = rows.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = rows.join(open_lists.select("value"), "value", "left_semi")
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / list_block).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.xxhash64("value", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select(pair.alias("pair"), "doc", "n", "s1", "s2", "comp")
+    return rows.repartition("pair").sortWithinPartitions("pair")
+
+
 def _families(percent: int):
-    """Rows (value, doc, n, s1, s2, comp) sorted by value -> (a, b): members of a list that need comparing.
+    """Rows (pair, doc, n, s1, s2, comp) sorted by pair -> (a, b): members of a list that need comparing.
 
-    In each list rows spread from one to all that may be similar to it, each
+    In each group rows spread from one to all that may be similar to it, each
     row asking only about rows not reached yet; a family that spans more than
     one component is emitted as a star around its smallest member.
     """

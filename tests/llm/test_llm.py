@@ -13,7 +13,7 @@ from flowloom.llm.chroma import fingerprints, match_recordings
 from flowloom.llm.decontaminate import best_match, find_leaks
 from flowloom.llm.linededup import drop_repeated_lines, edit_distance_within, line_classes
 from flowloom.llm.maxent import score_texts
-from flowloom.llm.minhash import near_duplicates
+from flowloom.llm.minhash import LIST_BLOCK, _blocks, near_duplicates
 from flowloom.llm.mixing import mix
 from flowloom.llm.quality import score_quality
 from flowloom.llm.rollup import TokenRollup, Tokenizer
@@ -64,8 +64,23 @@ def test_near_duplicates(spark, texts):
             if k and 100 * k >= 80 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = near_duplicates(docs_of(spark, texts), shingle=4).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted((i, len(sets[i]), find(i), find(i) == i) for i, _ in texts)
+    expected = sorted((i, len(sets[i]), find(i), find(i) == i) for i, _ in texts)
+    for list_block in (LIST_BLOCK, 2):  # with whole lists, and with lists cut into blocks
+        got = near_duplicates(docs_of(spark, texts), shingle=4, list_block=list_block).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == expected
+
+
+def test_blocks_of_lists(spark):
+    """Each two members of an open list meet in a group; lists of one component are left out."""
+    rows = [(v, n, d, 1, 0, 0, d if v else 0) for v, n in ((0, 9), (1, 3), (2, 40)) for d in range(n)]
+    lists = spark.createDataFrame(rows, "value bigint, members bigint, doc bigint, n bigint, s1 bigint, s2 bigint, comp bigint")
+    groups: dict = {}
+    for r in _blocks(lists, 5).collect():
+        groups.setdefault(r.pair, []).append(r.doc)
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert met == {(a, b) for b in range(40) for a in range(b)}
+    assert max(map(len, groups.values())) < 40
+    assert all(len(g) == len(set(g)) for g in groups.values())
 
 
 def test_language_model(spark, texts):
