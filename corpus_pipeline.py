@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import broadcast_if_small, materialize, table
 from flowloom.llm.decontaminate import find_leaks
-from flowloom.llm.linededup import drop_repeated_lines
+from flowloom.llm.linededup import repeated_lines, without_lines
 from flowloom.llm.minhash import near_duplicates
 from flowloom.llm.mixing import mix
 from flowloom.llm.toxicity import score_toxicity
 
 #: ids of removed copies are broadcast up to this many, else joined
 MAX_BROADCAST_IDS = 1_000_000
+#: between line and near-dedup: numbers of repeated lines of a document that is whole as long as its copies are there
+PENDING = "pending_lines"
 
 
 def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +29,28 @@ def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated lines out of texts; documents that are mostly copies stay whole for the next stage."""
-    cut = drop_repeated_lines(docs)
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Take lines out of texts that repeat a line of a document which near-dedup will not remove.
+
+    Proven near copies stay whole, so that the next stage finds them.  The one
+    of them that it keeps carries its repeated lines along in ``PENDING``.
+    """
+    copies = materialize(near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id", "component_id").distinct(), "copies")
+    removed = broadcast_if_small(copies.select("doc_id").distinct(), MAX_BROADCAST_IDS)
+    heads = broadcast_if_small(copies.select(F.col("component_id").alias("doc_id"), F.lit(True).alias("_head")).distinct(), MAX_BROADCAST_IDS)
+    gone = repeated_lines(docs.join(removed, "doc_id", "left_anti"))
+    d = docs.join(gone, "doc_id", "left").join(heads, "doc_id", "left")
+    d = d.withColumn(PENDING, F.when(F.col("_head"), F.col("gone"))).withColumn("gone", F.when(F.col("_head").isNull(), F.col("gone")))
+    d = d.withColumn("text", without_lines("text", "gone"))
+    return d.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns, PENDING)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near copies."""
+    """Keep the smallest id of each group of near copies, and take out the lines that waited for that."""
     gone = materialize(near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id"), "copies")
-    return docs.join(broadcast_if_small(gone, MAX_BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(broadcast_if_small(gone, MAX_BROADCAST_IDS), "doc_id", "left_anti")
+    if PENDING in docs.columns:
+        kept = kept.withColumn("text", without_lines("text", PENDING)).withColumn("n_chars", F.length("text").cast("bigint"))
+    return kept.select(*(c for c in docs.columns if c != PENDING))
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

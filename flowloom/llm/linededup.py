@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, connected_components, materialize
@@ -337,23 +337,27 @@ def _verified(src: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
     return rows.select("a", "b", "line_a", "line_b").mapInArrow(_verify(tau), "a bigint, b bigint").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, *, copy_percent: int = 30, **options) -> DataFrame:
-    """``docs`` with repeated lines taken out of their texts; all columns and rows stay.
-
-    A document of whose characters more than ``copy_percent`` lie in repeated
-    lines is left whole: it is a copy, which near-duplicate removal judges as a
-    document.  Documents with no repeated line are returned as they are.
-    """
+def repeated_lines(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, gone: array<int>) of the documents that hold repeated lines, hinted for broadcast only if few."""
     flags = line_classes(docs, **options).where("NOT kept")
     flags = materialize(flags.select("doc_id", "line_no"), "repeated")
     small = flags.limit(MAX_BROADCAST_LINES + 1).count() <= MAX_BROADCAST_LINES
     gone = flags.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
-    gone = F.broadcast(gone) if small else gone
-    parts = F.split("text", "\n")
-    cut = docs.withColumn("_key", F.col("doc_id").cast("bigint")).join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left")
-    cut = cut.withColumn("_parts", F.when(F.col("gone").isNotNull(), parts))
-    removed = F.aggregate("gone", F.lit(0).cast("bigint"), lambda s, i: s + F.length(F.get("_parts", i)))
-    rest = F.array_join(F.filter("_parts", lambda x, i: ~F.array_contains("gone", i)), "\n")
-    some = F.col("gone").isNotNull() & (100 * removed <= copy_percent * F.length("text"))
-    cut = cut.withColumn("text", F.when(some, rest).otherwise(F.col("text")))
-    return cut.select(*docs.columns)
+    return F.broadcast(gone) if small else gone
+
+
+def without_lines(text: str, gone: str) -> Column:
+    """The text in column ``text`` without the lines numbered in ``gone``; as it is where that is null."""
+    parts = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i))
+    return F.when(F.col(gone).isNotNull(), F.array_join(parts, "\n")).otherwise(F.col(text))
+
+
+def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with repeated lines taken out of their texts, whatever their share; all columns and rows stay.
+
+    Documents with no repeated line are returned as they are; one of repeated
+    lines only becomes empty.
+    """
+    gone = repeated_lines(docs, **options).withColumnRenamed("doc_id", "_key")
+    cut = docs.withColumn("_key", F.col("doc_id").cast("bigint")).join(gone, "_key", "left")
+    return cut.withColumn("text", without_lines("text", "gone")).select(*docs.columns)
