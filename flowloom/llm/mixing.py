@@ -4,11 +4,11 @@
    presence of the words that tell the domains apart best (found on a bounded
    sample of labelled rows) and over binned shape features of whole texts.
    Each document gets posteriors ``p[d]``: soft membership.
-2. Rates ``r >= 0`` minimise the weighted squared distance between expected
-   domain token totals, ``sum_i r_i * tokens_i * p_i[d]``, and the targets, by
-   projected gradient descent.  A step needs one sum of ``D`` numbers over all
-   documents, and a document's rate is a fold over the ``D``-vectors of all
-   steps so far, so no rate table is rewritten between steps.
+2. Rates ``r >= 0`` as close to one as the targets allow bring the expected
+   domain token totals, ``sum_i r_i * tokens_i * p_i[d]``, to the targets.  They
+   follow from a dual vector of ``D`` numbers, found by Newton's method; a step
+   needs one pass that sums ``D * D + D + 1`` numbers, and no rate table is
+   rewritten between steps.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from .common import broadcast_if_small, materialize, table
 MAX_LABELLED = 4_000
 #: words the classifier looks at
 MAX_WORDS = 192
-STEPS = 20
+#: how little rates may count against misses when targets are hard to meet, and a guard against endless passes
+LEAST_SOFTNESS, MAX_PASSES = 1.5e-6, 300
 #: share of tokens wanted of each domain, by (quality, toxic)
 TARGETS = {"good": 0.80, "poor": 0.20, "toxic": 0.0}
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -129,46 +130,71 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
     return [row[n:] for row in a]
 
 
-def _rate(steps: list[list[float]], a: Column) -> Column:
-    """A document's rate after the given steps: r <- max(0, r - a . step), from 1."""
-    if not steps:
-        return F.lit(1.0)
-    dot = lambda g: F.aggregate(F.zip_with(a, g, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    history = F.array(*(F.array(*map(F.lit, g)) for g in steps))
-    return F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+def _rate(dual: list[float]) -> Column:
+    """A document's rate: max(0, 1 - p . dual); without tokens it stays one."""
+    dot = F.aggregate(F.zip_with("p", F.array(*map(F.lit, dual)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), 1.0 - dot)).otherwise(1.0)
 
 
-def fit_rates(soft: DataFrame, targets: list[float], *, steps: int = STEPS, tolerance: float = 1e-3) -> DataFrame:
-    """``soft(doc_id, tokens, p)`` with a column ``rate``.
+def fit_rates(soft: DataFrame, targets: list[float], *, tolerance: float = 1e-3) -> DataFrame:
+    """``soft(doc_id, tokens, p)`` with columns ``rate`` and ``miss``.
 
-    Minimises ``(A r - t)' G (A r - t)`` over ``r >= 0`` with ``A[d, i] =
-    tokens_i * p_i[d]`` and ``G`` the inverse of ``A A'`` (regularised): in that
-    metric the gradient's Lipschitz constant is one, so unit steps are safe and
-    converge in few passes.
+    Of all ``r >= 0`` takes those that minimise ``softness / 2 * sum_i tokens_i * (r_i - 1) ** 2 / T + |miss|^2 / 2``,
+    with ``miss[d] = (sum_i r_i * tokens_i * p_i[d] - targets[d]) / T`` and ``T`` all tokens.  The dual has one number
+    a domain, is convex and piecewise quadratic, and Newton's method with a line search ends with its gradient under a
+    tenth of the tolerance.  ``softness`` falls until no domain misses by more than ``tolerance``, or to
+    ``LEAST_SOFTNESS``, where what is still missed can't be met with such posteriors.  ``miss`` states what is left.
     """
     k = len(targets)
-    a = F.transform("p", lambda x: x * F.col("tokens"))
-    gram = soft.agg(*(F.coalesce(F.sum(a[i] * a[j]), F.lit(0.0)) for i in range(k) for j in range(k))).first()
-    m = [[gram[i * k + j] for j in range(k)] for i in range(k)]
-    scale = max([m[i][i] for i in range(k)] + [1.0])
-    inverse = _inverse([[m[i][j] + (i == j) * 1e-9 * scale for j in range(k)] for i in range(k)])
-    history: list[list[float]] = []
-    for _ in range(steps):
-        got = soft.select(a.alias("a"), _rate(history, a).alias("r"))
-        got = got.agg(*(F.coalesce(F.sum(F.col("a")[i] * F.col("r")), F.lit(0.0)) for i in range(k))).first()
-        miss = [got[i] - targets[i] for i in range(k)]
-        if max(map(abs, miss)) <= tolerance * max(1.0, sum(targets)):
-            break
-        history.append([sum(inverse[i][j] * miss[j] for j in range(k)) for i in range(k)])
-    return soft.withColumn("rate", _rate(history, a))
+    total = float(soft.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) or 1.0
+    want = [t / total for t in targets]
+    passes = 0
+
+    def look(dual, softness):
+        """The dual's value, the misses, and the curvature, in one pass."""
+        nonlocal passes
+        passes += 1
+        if passes > MAX_PASSES:
+            raise RuntimeError("rates did not converge")
+        d = soft.select("tokens", "p", _rate(dual).alias("r"))
+        some = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+        sums = [F.sum(F.col("tokens") * F.col("r") * F.col("r"))]
+        sums += [F.sum(F.col("tokens") * F.col("r") * F.col("p")[i]) for i in range(k)]
+        sums += [F.sum(some * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
+        got = [x / total for x in d.agg(*(F.coalesce(x, F.lit(0.0)) for x in sums)).first()]
+        value = softness / 2 * sum(x * x for x in dual) + got[0] / 2 + sum(x * y for x, y in zip(want, dual, strict=True))
+        return value, [x - y for x, y in zip(got[1 : k + 1], want, strict=True)], [got[1 + k * (i + 1) : 1 + k * (i + 2)] for i in range(k)]
+
+    dual, softness = [0.0] * k, 1e-2
+    while True:
+        value, miss, curve = look(dual, softness)
+        while True:
+            slope = [softness * x - y for x, y in zip(dual, miss, strict=True)]
+            if max(map(abs, slope)) <= tolerance / 10:
+                break
+            inverse = _inverse([[curve[i][j] + (i == j) * softness for j in range(k)] for i in range(k)])
+            step = [-sum(inverse[i][j] * slope[j] for j in range(k)) for i in range(k)]
+            fall = sum(x * y for x, y in zip(slope, step, strict=True))
+            size = 1.0
+            while True:
+                at = [x + size * y for x, y in zip(dual, step, strict=True)]
+                new = look(at, softness)
+                if new[0] <= value + 1e-4 * size * fall + 1e-12:
+                    break
+                size /= 2
+            dual, (value, miss, curve) = at, new
+        if max(map(abs, miss)) <= tolerance or softness <= LEAST_SOFTNESS:
+            return soft.withColumn("rate", _rate(dual)).withColumn("miss", F.array(*map(F.lit, miss)))
+        softness /= 10
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
-    """Row per document: doc_id, tokens, domains, p, rate.
+    """Row per document: doc_id, tokens, domains, p, rate, miss.
 
     ``labels(doc_id, quality, toxic)`` teach the domains ``good``, ``poor`` and
     ``toxic``; ``targets`` are their shares of ``total`` expected tokens (all
-    tokens of the input by default).  A domain without a labelled row can't be
+    tokens of the input by default); ``miss`` is what the rates miss of them, by
+    domain as a share of all tokens (null if nothing is fitted).  A domain without a labelled row can't be
     predicted, and the other shares are scaled to one.  Null and empty texts
     have no tokens and keep rate 1, as do all documents if nothing is
     labelled.  Rows that repeat an id, and null ids, get a rate each.  Other
@@ -189,13 +215,13 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None
     soft = materialize(posteriors(_features(texts), model), "soft")
     share = sum(shares.get(d, 0.0) for d in names)
     if not names or share <= 0:
-        rated = soft.withColumn("rate", F.lit(1.0))
+        rated = soft.withColumn("rate", F.lit(1.0)).withColumn("miss", F.lit(None).cast("array<double>"))
     else:
         if total is None:
             total = float(soft.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
         rated = fit_rates(soft, [total * shares.get(d, 0.0) / share for d in names])
     domains = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    return rated.select("doc_id", "tokens", domains.alias("domains"), "p", "rate")
+    return rated.select("doc_id", "tokens", domains.alias("domains"), "p", "rate", "miss")
 
 
 def mix_tables(spark, sf_dir: str) -> DataFrame:

@@ -221,6 +221,32 @@ def test_mixing(spark):
     assert {x.rate for x in mix(docs_of(spark, rows), labels.limit(0)).collect()} == {1.0}
 
 
+def test_rates_meet_a_target_of_zero(spark):
+    """Soft posteriors and no toxic tokens wanted: the misses are within the tolerance, or the least there are and stated."""
+    import numpy as np
+
+    from flowloom.llm.mixing import fit_rates
+
+    for sharp, met in ((4, True), (0.5, False)):
+        g = np.random.default_rng(0)
+        tokens, z = np.round(g.lognormal(5, 1, 2000)), g.choice(3, 2000, p=[0.7, 0.22, 0.08])
+        s = g.normal(size=(2000, 3))
+        s[np.arange(2000), z] += 2
+        p = np.exp(sharp * (s - s.max(1, keepdims=True)))
+        p /= p.sum(1, keepdims=True)
+        soft = spark.createDataFrame([(i, int(t), x) for i, (t, x) in enumerate(zip(tokens, p.tolist(), strict=True))], "doc_id long, tokens long, p array<double>")
+        want = tokens.sum() * np.array([0.8, 0.2, 0.0])
+        got = fit_rates(soft, want.tolist()).orderBy("doc_id").collect()
+        r = np.array([x.rate for x in got])
+        miss = ((r * tokens) @ p - want) / tokens.sum()
+        assert np.allclose(miss, got[0].miss, atol=1e-9) and r.min() >= 0
+        assert (np.abs(miss).max() <= 1e-3) == met
+        # at the least sum of squares no document gains by more, and those in use by less
+        if not met:
+            gain = p @ miss
+            assert gain.min() > -5e-3 and np.abs(gain[r > 0]).max() < 5e-3
+
+
 def test_quality(spark):
     rows = [(i, ("nice words here " if i % 3 else "bad!! words!! here!! ") * (1 + i % 7)) for i in range(300)] + [(400, None)]
     got = {x.doc_id: x.kept for x in score_quality(docs_of(spark, rows), labels_of(spark, [(i, int(i % 3 > 0), 0) for i in range(200)])).collect()}
