@@ -3,8 +3,9 @@
 Audio is cut into overlapping frames; the energy of each spectrum is folded
 into 12 pitch classes.  Sixteen rectangle filters over the (time, class) image,
 evaluated on its integral image, are quantized to two bits each: one 32-bit
-integer a step.  Recordings align where pairs of consecutive integers agree:
-a histogram of offsets proposes, the bit error rate over the overlap decides.
+integer a step.  Half of the filters of two integers a few steps apart make a
+key: every offset at which a key agrees is proposed, the bit error rate over
+the overlap decides.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import materialize
 
 RATE, FRAME, HOP, SPAN = 4000, 512, 128, 12
 MAX_ERROR, MIN_OVERLAP = 0.25, 24
+#: the bits of every other filter; a key is one half of two integers so many steps apart
+KEY_MASKS, KEY_GAP = (0xCCCCCCCC, 0x33333333), 6
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -115,20 +118,27 @@ def fingerprints(audio: DataFrame, reader: Callable[[pa.RecordBatch], list[np.nd
 def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
     """(q, r, offset, overlap, errors, error_rate) of recordings that align, at their best offset.
 
-    Both are (id, fp) with distinct fingerprints.  A recording never aligns with itself.
+    Both are (id, fp) with distinct fingerprints.  A recording never aligns with itself.  Every offset at which half
+    of the filters agree in two integers ``KEY_GAP`` steps apart is checked; the least error rate is the best.
     """
-    pair = lambda fp: F.posexplode(F.zip_with(F.slice(fp, 1, F.greatest(F.size(fp) - 1, F.lit(0))), F.slice(fp, 2, F.greatest(F.size(fp), F.lit(1))), lambda a, b: F.shiftleft(a, 32).bitwiseOR(b))).alias("at", "k")  # noqa: E731, E501
-    left = queries.select(F.col("id").alias("q"), pair(F.col("fp"))).withColumnRenamed("at", "at_q")
-    right = prints.select(F.col("id").alias("r"), pair(F.col("fp"))).withColumnRenamed("at", "at_r")
-    hits = left.join(right, "k").where("q <> r").groupBy("q", "r", (F.col("at_r") - F.col("at_q")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = hits.groupBy("q", "r").agg(F.max(F.struct("votes", -F.abs("offset"), F.col("offset").alias("offset"))).alias("b")).select("q", "r", "b.offset")
-    d = best.join(queries.select(F.col("id").alias("q"), F.col("fp").alias("x")), "q").join(prints.select(F.col("id").alias("r"), F.col("fp").alias("y")), "r")
+    def keys(prints: DataFrame, name: str) -> DataFrame:
+        d = prints.select("id", "fp", F.explode(F.array(*(F.lit(m).cast("bigint") for m in KEY_MASKS))).alias("m"))
+        n = F.greatest(F.size("fp") - KEY_GAP, F.lit(0))
+        both = F.zip_with(F.slice("fp", 1, n), F.slice("fp", KEY_GAP + 1, n), lambda a, b: F.shiftleft(a.bitwiseAND(F.col("m")), 32).bitwiseOR(b.bitwiseAND(F.col("m"))))
+        return d.select(F.col("id").alias(name), F.posexplode(both).alias(f"at_{name}", "k"))
+
+    hits = keys(queries, "q").join(keys(prints, "r"), "k").where("q <> r")
+    offsets = hits.select("q", "r", (F.col("at_r") - F.col("at_q")).alias("offset")).distinct()
+    d = offsets.join(queries.select(F.col("id").alias("q"), F.col("fp").alias("x")), "q").join(prints.select(F.col("id").alias("r"), F.col("fp").alias("y")), "r")
     d = d.withColumn("lo", F.greatest(F.lit(0), -F.col("offset")))
     d = d.withColumn("overlap", F.greatest(F.lit(0), F.least(F.size("x"), F.size("y") - F.col("offset")) - F.col("lo")))
     x, y = F.slice("x", F.col("lo") + 1, F.col("overlap")), F.slice("y", F.col("lo") + F.col("offset") + 1, F.col("overlap"))
     d = d.withColumn("errors", F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, e: s + e))
     d = d.where(F.col("overlap") >= MIN_OVERLAP).withColumn("error_rate", F.col("errors") / (32 * F.col("overlap")))
-    return d.where(F.col("error_rate") <= MAX_ERROR).select("q", "r", "offset", "overlap", "errors", "error_rate")
+    d = d.where(F.col("error_rate") <= MAX_ERROR).groupBy("q", "r").agg(
+        F.min(F.struct("error_rate", F.abs("offset").alias("far"), "offset", "overlap", "errors")).alias("b")
+    )
+    return d.select("q", "r", "b.offset", "b.overlap", "b.errors", "b.error_rate")
 
 
 def match_recordings(prints: DataFrame, *, query_every: int = 20) -> DataFrame:
