@@ -1,127 +1,168 @@
-"""Header decoding as Column expressions over a packet's bytes.
+"""Header decoding: one vectorised pass over a batch of packets.
 
 Ethernet with one VLAN tag, radiotap and 802.11 with LLC/SNAP, IPv4, IPv6 with
-extension headers, TCP, UDP and ICMP.  Everything is native, so it stays in
-the JVM and unused parts are pruned.
+extension headers, TCP, UDP and ICMP.  Every header field is an array read over
+all packets of an Arrow batch, so a plan holds one call and each byte is read
+once; only ``data`` and ``link_type`` travel to Python.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .net import V4_PREFIX, byte_at, uint_at, uint_le_at
+from ..schema import FIVE_TUPLE
 
 ETHERNET, RAW_80211, RADIOTAP = 1, 105, 127
 _IPV4, _IPV6, _VLAN = 0x0800, 0x86DD, 0x8100
 #: IPv6 next-header values that are extension headers, and the authentication header among them
 _EXTENSIONS, _AUTH, _ESP, _NO_NEXT = (0, 43, 44, 51, 60), 51, 50, 59
+_SNAP = bytes.fromhex("AAAA03000000")
+_MAPPED = np.array([0] * 10 + [255] * 2, np.uint8)
+_HEADERS = f"struct<src_mac:binary,dst_mac:binary,bssid:binary,five_tuple:{FIVE_TUPLE},l7_offset:int>"
 
 
-def _slice(data: Column, at: Column, n: int) -> Column:
-    return data.substr(at + 1, F.lit(n))
+class _Packets:
+    """Byte access by offset over the packets of a batch; reads beyond a packet give bytes to be masked."""
 
+    def __init__(self, col: pa.Array):
+        if isinstance(col, pa.ChunkedArray):
+            col = col.combine_chunks()
+        self.there = col.is_valid().to_numpy(zero_copy_only=False)
+        col = col.fill_null(b"") if col.null_count else col
+        kind = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+        _, off, data = col.buffers()
+        at = np.frombuffer(off, kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+        self.bytes = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        self.start, self.size = at[:-1], np.diff(at)
 
-def _link_layer(data: Column, link: Column) -> dict[str, Column]:
-    """MACs, BSSID and the offset of the IP header (null: none)."""
-    n = F.length(data)
-    eth, wifi = link == ETHERNET, link.isin(RAW_80211, RADIOTAP)
-    outer = uint_at(data, 12, 2)
+    def u8(self, at) -> np.ndarray:
+        return self.bytes[np.clip(self.start + at, 0, len(self.bytes) - 1)].astype(np.int64)
+
+    def u16(self, at) -> np.ndarray:
+        return self.u8(at) << 8 | self.u8(at + 1)
+
+    def block(self, at, n: int) -> np.ndarray:
+        where = (self.start + at)[:, None] + np.arange(n)
+        return self.bytes[np.clip(where, 0, len(self.bytes) - 1)]
+
+
+def _binary(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Rows of equal width as a binary array with nulls."""
+    cut = np.concatenate([[0], np.cumsum(np.where(valid, rows.shape[1], 0))]).astype(np.int32)
+    mask = pa.array(valid).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [mask, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(rows[valid]))])
+
+
+def _int(values: np.ndarray, valid: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.int32), mask=~valid)
+
+
+def _link_layer(p: _Packets, link: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
+    """MACs and BSSID, and the offset of the IP header (-1: none)."""
+    n, zero = p.size, np.zeros(len(p.size), np.int64)
+    eth, wifi = (link == ETHERNET) & (n >= 14), (link == RAW_80211) | (link == RADIOTAP)
+    outer = p.u16(zero + 12)
     tagged = (outer == _VLAN) & (n >= 18)
-    kind = F.when(tagged, uint_at(data, 16, 2)).otherwise(outer)
-    eth_ip = F.when((n >= 14) & kind.isin(_IPV4, _IPV6), F.when(tagged, 18).otherwise(14))
-
-    rt_len = uint_le_at(data, 2, 2).cast("int")
-    rt_ok = (n >= 4) & (byte_at(data, 0) == 0) & (rt_len >= 4) & (rt_len <= n)
-    w = F.when(link == RAW_80211, 0).when(rt_ok, rt_len)
-    w = F.when(n >= w + 24, w)
-    fc = uint_le_at(data, w, 2)
-    frame, to_ds, from_ds = F.shiftright(fc, 2).bitwiseAND(3), F.shiftright(fc, 8).bitwiseAND(1), F.shiftright(fc, 9).bitwiseAND(1)
-    a1, a2, a3 = (_slice(data, w + i, 6) for i in (4, 10, 16))
-    by_ds = F.when((to_ds == 0) & (from_ds == 0), a3).when((to_ds == 1) & (from_ds == 0), a1).when((to_ds == 0) & (from_ds == 1), a2)
-    bssid = F.when(frame == 0, a3).when(frame == 2, by_ds)
-    body = w + F.when((frame == 2) & (to_ds == 1) & (from_ds == 1), 30).otherwise(24)
-    snap = F.hex(_slice(data, body, 6)) == "AAAA03000000"
-    wifi_ip = F.when(snap & (n >= body + 8) & uint_at(data, body + 6, 2).isin(_IPV4, _IPV6), body + 8)
-
-    return {
-        "src_mac": F.when(eth & (n >= 14), F.substring(data, 7, 6)).when(wifi, a2),
-        "dst_mac": F.when(eth & (n >= 14), F.substring(data, 1, 6)).when(wifi, a1),
-        "bssid": F.when(wifi, bssid),
-        "ip_at": F.when(eth, eth_ip).when(wifi, wifi_ip).when(~eth & ~wifi, 0).cast("int"),
-    }
-
-
-def _chain(data: Column, compat_auth: bool) -> Column:
-    """IPv6 header chain of a datagram: struct(nh, pos, state); state 1 walking, 0 stopped, -1 cut off."""
-    n = F.length(data)
-    start = F.struct(byte_at(data, 6).alias("nh"), F.lit(40).alias("pos"), F.lit(1).alias("state"))
-
-    def step(s: Column, _: Column) -> Column:
-        size = byte_at(data, s["pos"] + 1)
-        units = (size + 1) * 8
-        if not compat_auth:
-            units = F.when(s["nh"] == _AUTH, (size + 2) * 4).otherwise(units)
-        walking, ext = s["state"] == 1, s["nh"].isin(*_EXTENSIONS)
-        cut = n < s["pos"] + 2
-        return F.struct(
-            F.when(walking & ext & ~cut, byte_at(data, s["pos"])).otherwise(s["nh"]).alias("nh"),
-            F.when(walking & ext & ~cut, s["pos"] + units).otherwise(s["pos"]).alias("pos"),
-            F.when(walking & ext & cut, -1).when(walking & ~ext, 0).otherwise(s["state"]).alias("state"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
+    kind = np.where(tagged, p.u16(zero + 16), outer)
+    ip_at = np.where(eth & np.isin(kind, (_IPV4, _IPV6)), np.where(tagged, 18, 14), -1)
+
+    length = p.u8(zero + 2) | p.u8(zero + 3) << 8
+    tap = (n >= 4) & (p.u8(zero) == 0) & (length >= 4) & (length <= n)
+    w = np.where(link == RADIOTAP, np.where(tap, length, 0), 0)
+    wifi &= ((link == RAW_80211) | tap) & (n >= w + 24)
+    fc = p.u8(w) | p.u8(w + 1) << 8
+    frame, to_ds, from_ds = fc >> 2 & 3, fc >> 8 & 1, fc >> 9 & 1
+    a1, a2, a3 = (p.block(w + i, 6) for i in (4, 10, 16))
+    third = (frame == 0) | ((frame == 2) & (to_ds == 0) & (from_ds == 0))
+    first, second = ((frame == 2) & (to_ds == d) & (from_ds == 1 - d) for d in (1, 0))
+    bssid = np.where(third[:, None], a3, np.where(first[:, None], a1, a2))
+    body = w + np.where((frame == 2) & (to_ds == 1) & (from_ds == 1), 30, 24)
+    snap = (p.block(body, 6) == np.frombuffer(_SNAP, np.uint8)).all(1)
+    inner = wifi & snap & (n >= body + 8) & np.isin(p.u16(body + 6), (_IPV4, _IPV6))
+    ip_at = np.where(inner, body + 8, ip_at)
+    ip_at = np.where((link != ETHERNET) & (link != RAW_80211) & (link != RADIOTAP) & p.there, 0, ip_at)
+
+    any_mac, e = eth | wifi, eth[:, None]
+    macs = [
+        _binary(np.where(e, p.block(zero + 6, 6), a2), any_mac),
+        _binary(np.where(e, p.block(zero, 6), a1), any_mac),
+        _binary(bssid, wifi & (third | first | second)),
+    ]
+    return macs, ip_at
+
+
+def _chain(p: _Packets, at: np.ndarray, n: np.ndarray, six: np.ndarray, compat_auth: bool) -> tuple[np.ndarray, ...]:
+    """IPv6 header chain: next header, its position, and whether the walk stopped (False: eight headers) or was cut off."""
+    nh, pos = p.u8(at + 6), np.full(len(at), 40, np.int64)
+    walking, stopped, cut = six.copy(), np.zeros(len(at), bool), np.zeros(len(at), bool)
+    for _ in range(8):
+        ext = np.isin(nh, _EXTENSIONS)
+        stopped |= walking & ~ext
+        cut |= walking & ext & (n < pos + 2)
+        walking &= ext & ~cut
+        if not walking.any():
+            break
+        units = p.u8(at + pos + 1)
+        step = (units + 1) * 8 if compat_auth else np.where(nh == _AUTH, (units + 2) * 4, (units + 1) * 8)
+        nh, pos = np.where(walking, p.u8(at + pos), nh), np.where(walking, pos + step, pos)
+    return nh, pos, stopped, cut
+
+
+def _headers(data: pa.Array, link_type: pa.Array, compat_auth: bool) -> pa.Array:
+    p = _Packets(data)
+    link = link_type.fill_null(-1).to_numpy(zero_copy_only=False)
+    macs, ip_at = _link_layer(p, link)
+    has = ip_at >= 0
+    at = np.maximum(ip_at, 0)
+    n = np.maximum(p.size - at, 0)
+    first = p.u8(at)
+    version, ihl = np.where(n > 0, first >> 4, 0), (first & 15) * 4
+    four = has & (version == 4) & (n >= 20) & (ihl >= 20) & (n >= ihl)
+    six = has & (version == 6) & (n >= 40)
+    nh, pos, stopped, cut = _chain(p, at, n, six, compat_auth)
+    has = four | (six & ~cut)
+    proto, o = np.where(four, p.u8(at + 9), nh), np.where(four, ihl, pos)
+    mapped = np.broadcast_to(_MAPPED, (len(at), 12))
+    src, dst = (
+        np.where(four[:, None], np.concatenate([mapped, p.block(at + v4, 4)], 1), p.block(at + v6, 16)) for v4, v6 in ((12, 8), (16, 24))
+    )
+    ports = ((proto == 6) | (proto == 17)) & (n >= o + 4)
+    # a stopped chain names no transport: ESP and "no next header" end it
+    silent = (four & (proto == 1)) | (six & ((proto == 58) | (stopped & np.isin(proto, (_ESP, _NO_NEXT)))))
+    tcp = ports & (proto == 6)
+    l7 = np.where(tcp, o + (p.u8(at + o + 12) >> 4) * 4, np.where(ports, o + 8, o))
+    known = has & ~(tcp & (n < o + 20)) & ~silent
+    five = pa.StructArray.from_arrays(
+        [
+            _int(proto, has), _binary(src, has), _binary(dst, has),
+            _int(np.where(ports, p.u16(at + o), 0), has), _int(np.where(ports, p.u16(at + o + 2), 0), has),
+        ],
+        names=["protocol", "src_ip", "dst_ip", "src_port", "dst_port"], mask=pa.array(~has),
+    )
+    offset = _int(at + np.minimum(l7, n), known)
+    return pa.StructArray.from_arrays([*macs, five, offset], names=["src_mac", "dst_mac", "bssid", "five_tuple", "l7_offset"])
 
 
 def decode(packets: DataFrame, *, compat_auth: bool = False) -> DataFrame:
     """``packets(data, link_type, ...)`` with src_mac, dst_mac, bssid, five_tuple and l7_offset.
 
-    A packet without a readable IP header has a null five_tuple.  ``l7_offset``
-    is the 0-based offset of the payload in ``data``, never beyond its end;
-    null where there is none.  ``compat_auth`` counts the IPv6 authentication
-    header in 8-byte units, as the other extension headers.
+    A packet without a readable IP header has a null five_tuple; null data has
+    nulls only.  ``l7_offset`` is the 0-based offset of the payload in
+    ``data``, never beyond its end; null where there is none.  ``compat_auth``
+    counts the IPv6 authentication header in 8-byte units, as the other
+    extension headers.
     """
-    data = F.col("data")
-    keep = packets.columns
-    d = packets.select("*", *(c.alias(k) for k, c in _link_layer(data, F.col("link_type")).items()))
-    d = d.withColumn("_ip", F.when(F.col("ip_at").isNotNull(), data.substr(F.col("ip_at") + 1, F.length(data))))
-    ip = F.col("_ip")
-    d = d.withColumn("_n", F.length(ip)).withColumn("_v", F.shiftright(byte_at(ip, 0), 4))
-    ihl = byte_at(ip, 0).bitwiseAND(15) * 4
-    four = (F.col("_v") == 4) & (F.col("_n") >= 20) & (ihl >= 20) & (F.col("_n") >= ihl)
-    six = (F.col("_v") == 6) & (F.col("_n") >= 40)
-    d = d.withColumn("_c", F.when(six, _chain(ip, compat_auth)))
-    c = F.col("_c")
-    d = d.select(
-        "*",
-        F.when(four, byte_at(ip, 9)).when(six & (c["state"] >= 0), c["nh"]).alias("_proto"),
-        F.when(four, ihl).when(six, c["pos"]).alias("_o"),
-        F.when(four, F.concat(F.unhex(F.lit(V4_PREFIX)), F.substring(ip, 13, 4))).otherwise(F.substring(ip, 9, 16)).alias("_src"),
-        F.when(four, F.concat(F.unhex(F.lit(V4_PREFIX)), F.substring(ip, 17, 4))).otherwise(F.substring(ip, 25, 16)).alias("_dst"),
-    )
-    p, o, n = F.col("_proto"), F.col("_o"), F.col("_n")
-    # a stopped chain names no transport: ESP and "no next header" end it
-    ended = six & (c["state"] == 0) & p.isin(_ESP, _NO_NEXT)
-    ports = p.isin(6, 17) & (n >= o + 4)
-    silent = ((F.col("_v") == 4) & (p == 1)) | ((F.col("_v") == 6) & (p == 58)) | ended
-    l7 = (
-        F.when(ports & (p == 6) & (n >= o + 20), o + F.shiftright(byte_at(ip, o + 12), 4) * 4)
-        .when(ports & (p == 6), F.lit(None).cast("int"))
-        .when(ports, o + 8)
-        .when(silent, F.lit(None).cast("int"))
-        .otherwise(o)
-    )
-    five = F.struct(
-        p.cast("int").alias("protocol"), F.col("_src").alias("src_ip"), F.col("_dst").alias("dst_ip"),
-        F.when(ports, uint_at(ip, o, 2)).otherwise(0).cast("int").alias("src_port"),
-        F.when(ports, uint_at(ip, o + 2, 2)).otherwise(0).cast("int").alias("dst_port"),
-    )
-    has = p.isNotNull()
-    return d.select(
-        *(F.col(f"`{k}`") for k in keep), "src_mac", "dst_mac", "bssid",
-        F.when(has, five).alias("five_tuple"),
-        F.when(has & l7.isNotNull(), F.col("ip_at") + F.least(l7, n)).cast("int").alias("l7_offset"),
-    )
+
+    def headers(data: pa.Array, link_type: pa.Array) -> pa.Array:
+        return _headers(data, link_type, compat_auth)
+
+    read = F.arrow_udf(headers, _HEADERS)
+    keep = [F.col(f"`{c}`") for c in packets.columns]
+    d = packets.select(*keep, read(F.col("data"), F.col("link_type").cast("int")).alias("_h"))
+    return d.select(*keep, *(F.col(f"_h.{c}") for c in ("src_mac", "dst_mac", "bssid", "five_tuple", "l7_offset")))
 
 
 def l7_data(data: Column, l7_offset: Column) -> Column:

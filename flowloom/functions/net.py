@@ -1,4 +1,7 @@
-"""Addresses, protocols, names and times as Column expressions.
+"""Addresses, protocols, names and times as SQL expressions and columns.
+
+Functions take the SQL text of their arguments: a text is one call to the JVM
+however long it is, where a tree of columns is one call a node.
 
 IP addresses are 16-byte binaries; IPv4 is v4-mapped, so comparing the bytes
 compares addresses by number.
@@ -27,71 +30,56 @@ def lit_binary(b: bytes) -> Column:
     return F.lit(bytearray(b))
 
 
-def v4_bytes(number: Column) -> Column:
+def v4_bytes(number: str) -> str:
     """16-byte form of an IPv4 address given as a number."""
-    return F.unhex(F.concat(F.lit(V4_PREFIX), F.lpad(F.hex(number), 8, "0")))
-
+    return f"unhex(concat('{V4_PREFIX}', lpad(hex({number}), 8, '0')))"
 
-def byte_at(b: Column, at: Column | int) -> Column:
-    """Unsigned byte at 0-based offset; null beyond the end."""
-    at = F.lit(at) if isinstance(at, int) else at
-    return F.conv(F.nullif(F.hex(b.substr(at + 1, F.lit(1))), F.lit("")), 16, 10).cast("int")
 
+def _v4_text(ip: str) -> str:
+    return "concat_ws('.', " + ", ".join(f"conv(hex(substring({ip}, {13 + i}, 1)), 16, 10)" for i in range(4)) + ")"
 
-def uint_at(b: Column, at: Column | int, width: int) -> Column:
-    """Unsigned big-endian integer of ``width`` bytes at a 0-based offset."""
-    at = F.lit(at) if isinstance(at, int) else at
-    h = F.hex(b.substr(at + 1, F.lit(width)))
-    return F.when(F.length(h) == 2 * width, F.conv(h, 16, 10).cast("bigint"))
 
+def _compress(groups: str) -> str:
+    """``::`` in place of the first longest run of two or more zero groups."""
+    out = "CASE"
+    for run in range(8, 1, -1):
+        at = f"regexp_instr({groups}, '(?<![^:])0(?::0){{{run - 1}}}(?![^:])')"
+        out += f" WHEN {at} > 0 THEN concat(substring({groups}, 1, greatest({at} - 2, 0)), '::', substring({groups}, {at} + {2 * run}, 40))"
+    return f"{out} ELSE {groups} END"
 
-def uint_le_at(b: Column, at: Column | int, width: int) -> Column:
-    at = F.lit(at) if isinstance(at, int) else at
-    parts = [byte_at(b, at + i).cast("bigint") * (1 << (8 * i)) for i in range(width)]
-    return sum(parts[1:], parts[0])
 
+def is_v4(ip: str) -> str:
+    return f"hex(substring({ip}, 1, 12)) = '{V4_PREFIX}'"
 
-def is_v4(ip: Column) -> Column:
-    return F.hex(F.substring(ip, 1, 12)) == V4_PREFIX
 
+def ip_sql(ip: str) -> str:
+    """Dotted IPv4, or IPv6 in its compressed lower-case form."""
+    groups = f"substring(regexp_replace(lower(hex({ip})), '\\\\G0{{0,3}}([0-9a-f]+?)(?=(?:[0-9a-f]{{4}})*$)', ':$1'), 2, 40)"
+    # a one-element transform evaluates the groups once for all patterns
+    return f"CASE WHEN {is_v4(ip)} THEN {_v4_text(ip)} WHEN {ip} IS NOT NULL THEN transform(array({groups}), g -> {_compress('g')})[0] END"
 
-def _v4_text(ip: Column, first: int) -> Column:
-    return F.concat_ws(".", *(F.conv(F.hex(F.substring(ip, first + 1 + i, 1)), 16, 10) for i in range(4)))
 
+def ip_text(ip: str) -> Column:
+    return F.expr(ip_sql(ip))
 
-def _compress(groups: Column) -> Column:
-    """``::`` in place of the first longest run of two or more zero groups."""
-    short = groups
-    for run in range(2, 9):  # the longest is tried last and so wins
-        at = F.regexp_instr(groups, F.lit(r"(?<![^:])0(?::0){%d}(?![^:])" % (run - 1)))
-        left, right = groups.substr(F.lit(1), F.greatest(at - 2, F.lit(0))), groups.substr(at + 2 * run, F.lit(40))
-        short = F.when(at > 0, F.concat(left, F.lit("::"), right)).otherwise(short)
-    return short
 
-
-def ip_text(ip: Column) -> Column:
-    """Dotted IPv4, or IPv6 in its compressed lower-case form."""
-    groups = F.regexp_replace(F.lower(F.hex(ip)), r"\G0{0,3}([0-9a-f]+?)(?=(?:[0-9a-f]{4})*$)", ":$1")
-    # a one-element transform evaluates the groups once for all patterns
-    v6 = F.transform(F.array(groups.substr(F.lit(2), F.lit(40))), _compress)[0]
-    return F.when(is_v4(ip), _v4_text(ip, 12)).when(ip.isNotNull(), v6)
+def ip_text_full(ip: str) -> Column:
+    """Dotted IPv4, or IPv6 as eight groups of four digits."""
+    full = f"regexp_replace(lower(hex({ip})), '(.{{4}})(?!$)', '$1:')"
+    return F.expr(f"CASE WHEN {is_v4(ip)} THEN {_v4_text(ip)} ELSE {full} END")
 
 
-def ip_text_full(ip: Column) -> Column:
-    """Dotted IPv4, or IPv6 as eight groups of four digits."""
-    return F.when(is_v4(ip), _v4_text(ip, 12)).otherwise(F.regexp_replace(F.lower(F.hex(ip)), "(.{4})(?!$)", "$1:"))
+def mac_sql(mac: str) -> str:
+    return f"lower(hex({mac}))"
 
 
-def mac_text(mac: Column) -> Column:
-    return F.lower(F.hex(mac))
+def mac_text(mac: str) -> Column:
+    return F.expr(mac_sql(mac))
 
 
-def protocol_name(proto: Column, icmpv6: bool = False) -> Column:
-    named = [("TCP", 6), ("UDP", 17), ("ICMP", 1)] + ([("ICMPv6", 58)] if icmpv6 else [])
-    out = F.when(proto == named[0][1], named[0][0])
-    for name, n in named[1:]:
-        out = out.when(proto == n, name)
-    return out.otherwise("?")
+def protocol_name(proto: str, icmpv6: bool = False) -> Column:
+    more = " WHEN 58 THEN 'ICMPv6'" if icmpv6 else ""
+    return F.expr(f"CASE {proto} WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 1 THEN 'ICMP'{more} ELSE '?' END")
 
 
 def protocol_number(name: str) -> int:
@@ -120,6 +108,6 @@ def ts_seconds(us: Column) -> Column:
     return us / 1e6
 
 
-def session_order(src_ip: Column, src_port: Column, dst_ip: Column, dst_port: Column) -> Column:
+def session_order(src_ip: str, src_port: str, dst_ip: str, dst_port: str) -> str:
     """Whether (source, destination) is the session's own order: the smaller (address, port) first."""
-    return (src_ip < dst_ip) | ((src_ip == dst_ip) & (src_port < dst_port))
+    return f"({src_ip} < {dst_ip} OR ({src_ip} = {dst_ip} AND {src_port} < {dst_port}))"

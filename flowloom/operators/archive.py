@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.net import ip_text, ip_text_full, protocol_name, ts_seconds
+from ..functions.net import ip_text, ip_text_full, protocol_name
 from ..sources.archive_file import ArchiveFile, ArchiveWriter, Entry, FlowArchiveSource
 from ..sources.sinks import pcap_blobs, pcap_frame, pcap_header
 from . import filters
@@ -138,18 +138,16 @@ class Archive:
 def listing(flows: DataFrame) -> DataFrame:
     """The columns of a flow listing; times are whole seconds."""
     return flows.select(
-        "flow_id", protocol_name(F.col("protocol")).alias("proto"), ip_text(F.col("src_ip")).alias("src_ip"),
-        ip_text(F.col("dst_ip")).alias("dst_ip"), "packet_count", "total_bytes",
-        F.expr("start_ts_us div 1000000").alias("start_s"),
+        "flow_id", protocol_name("protocol").alias("proto"), ip_text("src_ip").alias("src_ip"), ip_text("dst_ip").alias("dst_ip"),
+        "packet_count", "total_bytes", F.expr("start_ts_us div 1000000 AS start_s"),
     )
 
 
 def listing_lines(flows: DataFrame) -> DataFrame:
     """(flow_id, line): the listing as fixed-width text."""
-    d = listing(flows)
-    pad = lambda c, n: F.when(F.length(c) >= n, c).otherwise(F.rpad(c, n, " "))
     cols = (("flow_id", 6), ("proto", 6), ("src_ip", 22), ("dst_ip", 22), ("packet_count", 8), ("total_bytes", 10), ("start_s", 12))
-    return d.select("flow_id", F.concat_ws(" ", *(pad(F.col(c).cast("string"), n) for c, n in cols)).alias("line"))
+    parts = ", ".join(f"rpad({c}, greatest(length({c}), {n}), ' ')" for c, n in cols)
+    return listing(flows).selectExpr("flow_id", f"concat_ws(' ', {parts}) AS line")
 
 
 LISTING_HEAD = f"{'ID':<6} {'Proto':<6} {'Src IP':<22} {'Dst IP':<22} {'Packets':<8} {'Bytes':<10} {'Start Time':<12}"
@@ -159,7 +157,7 @@ def flow_properties(flows: DataFrame, full_v6: bool = False) -> DataFrame:
     """Flows as an API shows them: names, address texts and times in seconds."""
     text = ip_text_full if full_v6 else ip_text
     return flows.select(
-        F.col("flow_id").alias("id"), F.col("protocol").alias("proto"), protocol_name(F.col("protocol"), True).alias("proto_name"),
-        text(F.col("src_ip")).alias("src_addr"), text(F.col("dst_ip")).alias("dst_addr"), "src_port", "dst_port",
-        "packet_count", "total_bytes", ts_seconds(F.col("start_ts_us")).alias("start_ts"), ts_seconds(F.col("end_ts_us")).alias("end_ts"),
+        F.col("flow_id").alias("id"), F.col("protocol").alias("proto"), protocol_name("protocol", True).alias("proto_name"),
+        text("src_ip").alias("src_addr"), text("dst_ip").alias("dst_addr"), "src_port", "dst_port",
+        "packet_count", "total_bytes", F.expr("start_ts_us / 1e6D AS start_ts"), F.expr("end_ts_us / 1e6D AS end_ts"),
     )

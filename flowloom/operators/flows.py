@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import PacketFilter
-from .strategies import RUN, Strategy, with_keys
-
-ZERO_IP = bytearray(16)
-
+from .strategies import Strategy, ranked_in_runs, with_keys
 
 def flow_groups(packets: DataFrame, strategy: Strategy, where: PacketFilter | None = None) -> DataFrame:
     """Filtered packets with their keys, one row a packet and key."""
@@ -22,35 +19,23 @@ def flow_stats(keyed: DataFrame) -> DataFrame:
     ``flow_id`` numbers a file's flows from 1 by first appearance.  Groups
     without IP have protocol and ports 0 and zero addresses.
     """
-    order = F.struct("pkt_idx", "key_pos")
-    g = keyed.groupBy("file", "key").agg(
-        F.count(F.lit(1)).alias("packet_count"),
-        F.sum("orig_len").cast("bigint").alias("total_bytes"),
-        F.min(order).alias("first"),
-        F.min_by("ts_us", order).alias("start_ts_us"),
-        F.max_by("ts_us", order).alias("end_ts_us"),
-        F.min_by("five_tuple", order).alias("ft"),
-    )
-    t = F.col("ft")
-    zero = F.lit(0)
-    return with_flow_ids(g).select(
-        "file", "flow_id", "key",
-        F.coalesce(t["protocol"], zero).alias("protocol"),
-        F.coalesce(t["src_ip"], F.lit(ZERO_IP)).alias("src_ip"), F.coalesce(t["dst_ip"], F.lit(ZERO_IP)).alias("dst_ip"),
-        F.coalesce(t["src_port"], zero).alias("src_port"), F.coalesce(t["dst_port"], zero).alias("dst_port"),
+    order = "struct(pkt_idx, key_pos)"
+    g = keyed.groupBy("file", "key").agg(*map(F.expr, (
+        "count(1) AS packet_count", "CAST(sum(orig_len) AS BIGINT) AS total_bytes", f"min({order}) AS first",
+        f"min_by(ts_us, {order}) AS start_ts_us", f"max_by(ts_us, {order}) AS end_ts_us", f"min_by(five_tuple, {order}) AS ft",
+    )))
+    zero = f"X'{'00' * 16}'"
+    return with_flow_ids(g).selectExpr(
+        "file", "flow_id", "key", "coalesce(ft.protocol, 0) AS protocol",
+        f"coalesce(ft.src_ip, {zero}) AS src_ip", f"coalesce(ft.dst_ip, {zero}) AS dst_ip",
+        "coalesce(ft.src_port, 0) AS src_port", "coalesce(ft.dst_port, 0) AS dst_port",
         "packet_count", "total_bytes", "start_ts_us", "end_ts_us",
     )
 
 
 def with_flow_ids(groups: DataFrame) -> DataFrame:
     """Dense ids from 1 in the order of ``first``, by file; ranked in runs of the packet index, in parallel."""
-    d = groups.withColumn("_run", F.expr(f"first.pkt_idx div {RUN}"))
-    sizes = d.groupBy("file", "_run").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("file").alias("_f"), F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
-    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("file", "_run").orderBy("first")))
-    d = d.join(sizes, F.col("file").eqNullSafe(F.col("_f")) & (F.col("_run") == F.col("_r")))
-    return d.withColumn("flow_id", (F.col("_k") + F.col("_b")).cast("bigint")).drop("_run", "_f", "_r", "_b", "_k")
+    return ranked_in_runs(groups, "first.pkt_idx", "first").selectExpr("*", "_rank + 1 AS flow_id").drop("_rank")
 
 
 def flow_packets(keyed: DataFrame, flows: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import ip_text, mac_text, session_order
+from ..functions.net import ip_sql, mac_sql, session_order
 
 NAMES = ("session", "flow", "host", "hostpair", "mac", "bssid", "nosplit", "seconds", "packets")
 
@@ -31,62 +31,67 @@ class Strategy:
         return cls(name, int(rest[0]) if rest else n)
 
 
-def _or(value: Column, name: str) -> Column:
-    return F.array(F.coalesce(value, F.lit(f"no_{name}")))
-
-
-def with_keys(packets: DataFrame, strategy: Strategy) -> DataFrame:
-    """One row a packet and key: ``key`` and ``key_pos`` (0, or 1 for a second key).
-
-    ``packets`` counts the rows it is given, so filters that came before count.
-    """
-    t = F.col("five_tuple")
+def _key_sql(strategy: Strategy) -> str:
+    """The array of a packet's keys."""
+    t = {k: f"five_tuple.{k}" for k in ("protocol", "src_ip", "dst_ip", "src_port", "dst_port")}
     src, dst, sp, dp = t["src_ip"], t["dst_ip"], t["src_port"], t["dst_port"]
-    ip = t.isNotNull()
+    a, b = ip_sql(src), ip_sql(dst)
     name = strategy.name
     if name in ("session", "flow"):
-        keep = session_order(src, sp, dst, dp) if name == "session" else F.lit(True)
-        packets = packets.withColumns({"_s": ip_text(src), "_d": ip_text(dst)})
-        a, b = F.when(keep, F.col("_s")).otherwise(F.col("_d")), F.when(keep, F.col("_d")).otherwise(F.col("_s"))
-        x, y = F.when(keep, sp).otherwise(dp), F.when(keep, dp).otherwise(sp)
-        keys = _or(F.when(ip, F.concat_ws("_", t["protocol"], a, b, x, y)), name)
-    elif name == "host":
-        both = F.array(ip_text(src), ip_text(dst))
-        keys = F.when(ip, F.array_distinct(both) if strategy.dedupe_hosts else both).otherwise(F.array(F.lit("no_host")))
+        key = f"concat_ws('_', {t['protocol']}, _s, _d, {sp}, {dp})"
+        if name == "session":
+            key = f"CASE WHEN {session_order(src, sp, dst, dp)} THEN {key} ELSE concat_ws('_', {t['protocol']}, _d, _s, {dp}, {sp}) END"
     elif name == "hostpair":
-        packets = packets.withColumns({"_s": ip_text(src), "_d": ip_text(dst)})
-        a, b = F.when(src <= dst, F.col("_s")).otherwise(F.col("_d")), F.when(src <= dst, F.col("_d")).otherwise(F.col("_s"))
-        keys = _or(F.when(ip, F.concat_ws("_", a, b)), name)
+        key = f"CASE WHEN {src} <= {dst} THEN concat_ws('_', _s, _d) ELSE concat_ws('_', _d, _s) END"
+    elif name == "host":
+        both = f"array({a}, {b})"
+        return f"CASE WHEN five_tuple IS NULL THEN array('no_host') ELSE {f'array_distinct({both})' if strategy.dedupe_hosts else both} END"
     elif name == "mac":
-        macs = F.array_distinct(F.array_compact(F.array(mac_text(F.col("src_mac")), mac_text(F.col("dst_mac")))))
-        keys = F.when(F.size(macs) > 0, macs).otherwise(F.array(F.lit("no_mac")))
+        macs = f"array_distinct(array_compact(array({mac_sql('src_mac')}, {mac_sql('dst_mac')})))"
+        return f"CASE WHEN src_mac IS NULL AND dst_mac IS NULL THEN array('no_mac') ELSE {macs} END"
     elif name == "bssid":
-        keys = _or(mac_text(F.col("bssid")), name)
+        return f"array(coalesce({mac_sql('bssid')}, 'no_bssid'))"
     elif name == "nosplit":
-        keys = F.array(F.lit("all"))
+        return "array('all')"
     elif name == "seconds":
-        keys = F.array(F.concat(F.lit("ts_"), F.expr(f"ts_sec div {strategy.n}")))
+        return f"array(concat('ts_', ts_sec div {strategy.n}))"
     else:
+        return f"array(concat('pkt_', _no div {strategy.n}))"
+    return f"array(CASE WHEN five_tuple IS NULL THEN 'no_{name}' ELSE {key} END)"
+
+
+def with_keys(packets: DataFrame, strategy: Strategy) -> DataFrame:
+    """One row a packet and key: ``key`` and ``key_pos`` (0, or 1 for a second key).
+
+    ``packets`` counts the rows it is given, so filters that came before count.
+    """
+    if strategy.name in ("session", "flow", "hostpair"):  # an address's text is made once
+        packets = packets.selectExpr("*", f"{ip_sql('five_tuple.src_ip')} AS _s", f"{ip_sql('five_tuple.dst_ip')} AS _d")
+    elif strategy.name == "packets":
         packets = _numbered(packets)
-        keys = F.array(F.concat(F.lit("pkt_"), F.expr(f"_no div {strategy.n}")))
-    out = packets.select("*", F.posexplode(keys).alias("key_pos", "key"))
-    return out.drop("_no", "_s", "_d")
+    return packets.selectExpr("*", f"posexplode({_key_sql(strategy)}) AS (key_pos, key)").drop("_no", "_s", "_d")
 
 
 #: packets of one file are numbered in runs of this many indexes, in parallel
 RUN = 1 << 16
 
 
-def _numbered(packets: DataFrame) -> DataFrame:
-    """``_no``: rank of each packet in its file, counted from 0.
+def ranked_in_runs(rows: DataFrame, pkt_idx: str, order: str) -> DataFrame:
+    """``rows`` with ``_rank``: the rank of each row in its file by ``order``, from 0.
 
     Ranks inside runs of the packet index, plus the sizes of the runs before:
-    no file, however large, is sorted in one task.
+    no file, however large, is sorted in one task.  The sizes hash every column,
+    so that they have the same input plan as the ranks and it runs once.
     """
-    d = packets.withColumn("_run", F.expr(f"pkt_idx div {RUN}"))
-    sizes = d.groupBy("file", "_run").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("file").alias("_f"), F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
-    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("file", "_run").orderBy("pkt_idx")) - 1)
-    d = d.join(sizes, F.col("file").eqNullSafe(F.col("_f")) & (F.col("_run") == F.col("_r")))
-    return d.withColumn("_no", F.col("_k") + F.col("_b")).drop("_run", "_f", "_r", "_b", "_k")
+    d = rows.selectExpr("*", f"{pkt_idx} div {RUN} AS _run")
+    every = ", ".join(f"`{c}`" for c in rows.columns)
+    sizes = d.groupBy("file", "_run").agg(F.count(F.lit(1)).alias("_n"), F.expr(f"max(xxhash64({every}))").alias("_h")).where("_h IS NOT NULL")
+    sizes = sizes.selectExpr(
+        "file AS _f", "_run AS _r", "coalesce(sum(_n) OVER (PARTITION BY file ORDER BY _run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _b"
+    )
+    d = d.selectExpr("*", f"row_number() OVER (PARTITION BY file, _run ORDER BY {order}) - 1 AS _k")
+    return d.join(sizes, F.expr("file <=> _f AND _run = _r")).selectExpr(*(f"`{c}`" for c in rows.columns), "CAST(_k + _b AS BIGINT) AS _rank")
+
+
+def _numbered(packets: DataFrame) -> DataFrame:
+    return ranked_in_runs(packets, "pkt_idx", "pkt_idx").withColumnRenamed("_rank", "_no")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..api import decoded
-from ..functions.net import ip_literal, ip_text, ip_text_full, lit_binary, mac_text, protocol_name, safe_name, session_order
+from ..functions.net import ip_literal, ip_sql, ip_text, ip_text_full, lit_binary, mac_text, protocol_name, safe_name, session_order
 from ..operators.archive import flow_properties, listing, listing_lines
 from ..operators.filters import PacketFilter, by_all, by_id, by_ip, by_port, by_protocol
 from ..operators.flows import flow_groups, flow_packets, flow_stats, index, lru_flows, payloads
@@ -42,12 +42,11 @@ def duck_ip(x: str) -> str:
     return f"(({x} >> 24) || '.' || (({x} >> 16) & 255) || '.' || (({x} >> 8) & 255) || '.' || ({x} & 255))"
 
 
-def tuple_cols(t=None):
-    t = F.col("five_tuple") if t is None else t
+def tuple_cols():
+    t = "five_tuple"
     return [
-        t["protocol"].alias("protocol"), ip_text(t["src_ip"]).alias("src_ip"), ip_text(t["dst_ip"]).alias("dst_ip"),
-        t["src_port"].alias("src_port"), t["dst_port"].alias("dst_port"),
-    ]
+        F.expr(x) for x in (f"{t}.protocol", f"{ip_sql(t + '.src_ip')} AS src_ip", f"{ip_sql(t + '.dst_ip')} AS dst_ip", f"{t}.src_port", f"{t}.dst_port")
+    ]
 
 
 DUCK_TUPLE = (
@@ -118,7 +117,7 @@ def flows_of(spark, sf_dir, name="session", where=None) -> DataFrame:
 
 def shown(flows: DataFrame) -> DataFrame:
     return flows.select(
-        "flow_id", "key", "protocol", ip_text(F.col("src_ip")).alias("src_ip"), ip_text(F.col("dst_ip")).alias("dst_ip"),
+        "flow_id", "key", "protocol", ip_text("src_ip").alias("src_ip"), ip_text("dst_ip").alias("dst_ip"),
         "src_port", "dst_port", "packet_count", "total_bytes", "start_ts_us", "end_ts_us",
     )
 
@@ -129,7 +128,7 @@ def shown(flows: DataFrame) -> DataFrame:
 def scan_packets(spark, sf_dir):
     return event_packets(spark, sf_dir).select(
         "pkt_idx", "ts_sec", "ts_usec", "ts_us", "orig_len", *tuple_cols(),
-        *(mac_text(F.col(c)).alias(c) for c in ("src_mac", "dst_mac", "bssid")),
+        *(mac_text(c).alias(c) for c in ("src_mac", "dst_mac", "bssid")),
     )
 
 
@@ -176,17 +175,17 @@ def scan_counters(spark, sf_dir):
 
 @query(f"SELECT pkt_idx, {_KEEP} AS keeps, {duck_ip(_LO)} AS a_ip, CAST({_LP} AS INTEGER) AS a_port, {duck_ip(_HI)} AS b_ip, CAST({_HP} AS INTEGER) AS b_port FROM p WHERE is_ip")
 def session_normalize(spark, sf_dir):
-    t = F.col("five_tuple")
-    keep = session_order(t["src_ip"], t["src_port"], t["dst_ip"], t["dst_port"])
-    a, b = F.struct(t["src_ip"].alias("i"), t["src_port"].alias("p")), F.struct(t["dst_ip"].alias("i"), t["dst_port"].alias("p"))
-    d = event_packets(spark, sf_dir).where("five_tuple IS NOT NULL").select("pkt_idx", keep.alias("keeps"), F.when(keep, a).otherwise(b).alias("a"), F.when(keep, b).otherwise(a).alias("b"))
-    return d.select("pkt_idx", "keeps", ip_text(F.col("a.i")).alias("a_ip"), F.col("a.p").alias("a_port"), ip_text(F.col("b.i")).alias("b_ip"), F.col("b.p").alias("b_port"))
+    t = "five_tuple."
+    keep = session_order(t + "src_ip", t + "src_port", t + "dst_ip", t + "dst_port")
+    a, b = (f"struct({t}{x}_ip AS i, {t}{x}_port AS p)" for x in ("src", "dst"))
+    d = event_packets(spark, sf_dir).where("five_tuple IS NOT NULL").selectExpr("pkt_idx", f"{keep} AS keeps", f"IF({keep}, {a}, {b}) AS a", f"IF({keep}, {b}, {a}) AS b")
+    return d.selectExpr("pkt_idx", "keeps", f"{ip_sql('a.i')} AS a_ip", "a.p AS a_port", f"{ip_sql('b.i')} AS b_ip", "b.p AS b_port")
 
 
 def _decode_check(spark, sf_dir, where: str, vlan: bool):
     d = decoded(frames(event_packets(spark, sf_dir).where(where), vlan=vlan).drop("src_mac", "dst_mac", "bssid", "five_tuple", "l7"))
     return d.select(
-        "pkt_idx", *tuple_cols(), mac_text(F.col("src_mac")).alias("src_mac"), mac_text(F.col("dst_mac")).alias("dst_mac"),
+        "pkt_idx", *tuple_cols(), mac_text("src_mac").alias("src_mac"), mac_text("dst_mac").alias("dst_mac"),
         "l7_offset", F.decode("l7", "utf-8").alias("payload"),
     )
 
@@ -323,7 +322,7 @@ def _index(flows: DataFrame, *cols) -> DataFrame:
 
 @query(_duck_index("src_ip", "dst_ip"))
 def index_ip(spark, sf_dir):
-    return _index(flows_of(spark, sf_dir), "src_ip", "dst_ip").withColumn("value", ip_text(F.col("value")))
+    return _index(flows_of(spark, sf_dir), "src_ip", "dst_ip").withColumn("value", ip_text("value"))
 
 
 @query(_duck_index("src_port", "dst_port"))
@@ -360,13 +359,12 @@ def flow_packets_semi_join(spark, sf_dir):
 
 @query(with_flows(f"SELECT DISTINCT protocol, {_NAME} AS name, CASE protocol WHEN 58 THEN 'ICMPv6' ELSE {_NAME} END AS name6 FROM f"))
 def proto_name(spark, sf_dir):
-    p = F.col("protocol")
-    return flows_of(spark, sf_dir).select("protocol", protocol_name(p).alias("name"), protocol_name(p, True).alias("name6")).distinct()
+    return flows_of(spark, sf_dir).select("protocol", protocol_name("protocol").alias("name"), protocol_name("protocol", True).alias("name6")).distinct()
 
 
 @query(f"SELECT DISTINCT {duck_ip('src_ip')} AS ip, {duck_ip('src_ip')} AS ip_full FROM p WHERE is_ip")
 def ip_format_v4(spark, sf_dir):
-    ip = F.col("five_tuple.src_ip")
+    ip = "five_tuple.src_ip"
     return event_packets(spark, sf_dir).where("five_tuple IS NOT NULL").select(ip_text(ip).alias("ip"), ip_text_full(ip).alias("ip_full")).distinct()
 
 

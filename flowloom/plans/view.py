@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.net import v4_bytes
 
@@ -43,40 +42,45 @@ def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of one capture named ``events``, with the engine's column types."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     d = spark.sql(VIEW.format(ts_us="timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)", events="{events}"), events=events)
-    five = F.struct(
-        F.col("proto").cast("int").alias("protocol"), v4_bytes(F.col("src_ip")).alias("src_ip"), v4_bytes(F.col("dst_ip")).alias("dst_ip"),
-        F.col("src_port").cast("int").alias("src_port"), F.col("dst_port").cast("int").alias("dst_port"),
-    )
-    return d.select(
-        F.lit("events.pcap").alias("file"), F.lit("events").alias("file_stem"), "pkt_idx", "ts_sec", "ts_usec", "ts_us", "orig_len", "payload",
-        F.unhex("src_mac").alias("src_mac"), F.unhex("dst_mac").alias("dst_mac"), F.unhex("bssid").alias("bssid"),
-        F.when(F.col("is_ip"), five).alias("five_tuple"), F.encode("payload", "utf-8").alias("l7"),
+    five = (
+        f"named_struct('protocol', CAST(proto AS INT), 'src_ip', {v4_bytes('src_ip')}, 'dst_ip', {v4_bytes('dst_ip')},"
+        " 'src_port', CAST(src_port AS INT), 'dst_port', CAST(dst_port AS INT))"
+    )
+    return d.selectExpr(
+        "'events.pcap' AS file", "'events' AS file_stem", "pkt_idx", "ts_sec", "ts_usec", "ts_us", "orig_len", "payload",
+        "unhex(src_mac) AS src_mac", "unhex(dst_mac) AS dst_mac", "unhex(bssid) AS bssid",
+        f"CASE WHEN is_ip THEN {five} END AS five_tuple", "encode(payload, 'utf-8') AS l7",
     )
 
 
-def _number(n, width: int):
-    return F.unhex(F.lpad(F.hex(n.cast("bigint")), 2 * width, "0"))
+def number(n: str, width: int) -> str:
+    """Big-endian bytes of a number."""
+    return f"unhex(lpad(hex(CAST({n} AS BIGINT)), {2 * width}, '0'))"
 
 
-def _hex(h: str):
-    return F.unhex(F.lit(h))
+def transport() -> str:
+    """Transport header and payload of the view's packets."""
+    body, ports = "encode(payload, 'utf-8')", f"{number('five_tuple.src_port', 2)}, {number('five_tuple.dst_port', 2)}"
+    return (
+        f"CASE five_tuple.protocol WHEN 6 THEN concat({ports}, X'00000000000000005010FFFF00000000', {body})"
+        f" WHEN 17 THEN concat({ports}, {number(f'octet_length({body}) + 8', 2)}, X'0000', {body}) ELSE concat(X'0800000000000000', {body}) END"
+    )
 
 
 def frames(packets: DataFrame, vlan: bool = False) -> DataFrame:
     """Ethernet frames of the view's packets, built in the plan; non-IP packets get an ARP type and no body."""
-    t = F.col("five_tuple")
-    body = F.encode("payload", "utf-8")
-    v4 = lambda ip: F.substring(ip, 13, 4)
-    ports = F.concat(_number(t["src_port"], 2), _number(t["dst_port"], 2))
-    l4 = (
-        F.when(t["protocol"] == 6, F.concat(ports, _hex("00000000" * 2 + "5010FFFF00000000"), body))
-        .when(t["protocol"] == 17, F.concat(ports, _number(F.length(body) + 8, 2), _hex("0000"), body))
-        .otherwise(F.concat(_hex("0800000000000000"), body))
+    d = packets.selectExpr("*", f"{transport()} AS _l4")
+    v4 = lambda ip: f"substring(five_tuple.{ip}, 13, 4)"
+    ip = (
+        f"X'4500', {number('octet_length(_l4) + 20', 2)}, X'0000000040', {number('five_tuple.protocol', 1)}, X'0000',"
+        f" {v4('src_ip')}, {v4('dst_ip')}, _l4"
     )
-    ip = F.concat(
-        _hex("4500"), _number(F.length(l4) + 20, 2), _hex("0000000040"), _number(t["protocol"], 1), _hex("0000"), v4(t["src_ip"]), v4(t["dst_ip"]), l4
-    )
-    tag = _hex("81000007") if vlan else _hex("")
-    data = F.when(t.isNotNull(), F.concat("dst_mac", "src_mac", tag, _hex("0800"), ip)).otherwise(F.concat("dst_mac", "src_mac", tag, _hex("0806")))
-    out = packets.withColumn("data", data).withColumn("link_type", F.lit(1)).withColumn("out_link_type", F.lit(1))
-    return out.withColumn("cap_len", F.length("data").cast("bigint"))
+    head = "dst_mac, src_mac" + (", X'81000007'" if vlan else "")
+    data = f"CASE WHEN five_tuple IS NOT NULL THEN concat({head}, X'0800', {ip}) ELSE concat({head}, X'0806') END"
+    return with_frames(d, data, "1").drop("_l4")
+
+
+def with_frames(packets: DataFrame, data: str, link_type: str) -> DataFrame:
+    """``packets`` with frame bytes, as a capture source yields them."""
+    d = packets.selectExpr("*", f"{data} AS data", f"CAST({link_type} AS INT) AS link_type")
+    return d.selectExpr("*", "link_type AS out_link_type", "CAST(octet_length(data) AS BIGINT) AS cap_len")

@@ -18,8 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 HEADER_MAGIC, FOOTER_MAGIC, VERSION = b"RSPLIT02", b"RSPLFOOT", 2
 HEADER_SIZE, ENTRY_SIZE, FOOTER_SIZE, INDEX_HEADER_SIZE = 64, 96, 128, 36
 
-_ENTRY = struct.Struct("<QB7x16s16sHH4xQIIQQQ")
-_FOOTER = struct.Struct("<8sI4x9Q")
+_ENTRY, _FOOTER = "<QB7x16s16sHH4xQIIQQQ", "<8sI4x9Q"
 
 
 class ArchiveError(ValueError):
@@ -70,15 +69,15 @@ class Entry:
     list_size: int = 0
 
     def pack(self) -> bytes:
-        b = _ENTRY.pack(
-            self.flow_id, self.protocol, self.src_ip, self.dst_ip, self.src_port, self.dst_port,
+        b = struct.pack(
+            _ENTRY, self.flow_id, self.protocol, self.src_ip, self.dst_ip, self.src_port, self.dst_port,
             self.list_offset, self.list_size, self.packet_count, self.start_ts_us, self.end_ts_us, self.total_bytes,
         )
         return b.ljust(ENTRY_SIZE, b"\0")
 
     @classmethod
     def unpack(cls, b: bytes) -> Entry:
-        i, p, s, d, sp, dp, lo, ls, n, t0, t1, size = _ENTRY.unpack_from(b)
+        i, p, s, d, sp, dp, lo, ls, n, t0, t1, size = struct.unpack_from(_ENTRY, b)
         return cls(i, p, s, d, sp, dp, n, t0, t1, size, lo, ls)
 
 
@@ -156,7 +155,7 @@ class ArchiveWriter:
         index_at = o.tell()
         blob = build_index(done) if self.indexed else b""
         o.write(blob)
-        o.write(_FOOTER.pack(FOOTER_MAGIC, VERSION, HEADER_SIZE, lists_at - HEADER_SIZE, lists_at, table_at - lists_at, table_at,
+        o.write(struct.pack(_FOOTER, FOOTER_MAGIC, VERSION, HEADER_SIZE, lists_at - HEADER_SIZE, lists_at, table_at - lists_at, table_at,
                              index_at - table_at, len(done), index_at if blob else 0, len(blob)).ljust(FOOTER_SIZE, b"\0"))
         o.close()
         os.replace(self.temp, self.path)
@@ -173,7 +172,7 @@ class ArchiveFile:
         with open(path, "rb") as f:
             head = f.read(HEADER_SIZE)
             f.seek(size - FOOTER_SIZE)
-            magic, version, *x = _FOOTER.unpack_from(f.read(FOOTER_SIZE))
+            magic, version, *x = struct.unpack_from(_FOOTER, f.read(FOOTER_SIZE))
             if head[:8] != HEADER_MAGIC or magic != FOOTER_MAGIC:
                 raise ArchiveError("not an archive")
             if version != VERSION or struct.unpack_from("<I", head, 8)[0] != VERSION:

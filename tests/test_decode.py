@@ -9,7 +9,7 @@ from flowloom.functions.net import ip_text
 
 def run(spark, rows, **how):
     df = spark.createDataFrame([(i, link, bytearray(data)) for i, (link, data) in enumerate(rows)], "i int, link_type int, data binary")
-    d = decode(df, **how).select("*", ip_text(F.col("five_tuple.src_ip")).alias("src"), ip_text(F.col("five_tuple.dst_ip")).alias("dst"))
+    d = decode(df, **how).select("*", ip_text("five_tuple.src_ip").alias("src"), ip_text("five_tuple.dst_ip").alias("dst"))
     return d.orderBy("i").collect()
 
 
@@ -62,3 +62,29 @@ def test_vlan_and_wifi(spark):
 def test_payload_offset(spark):
     df = spark.createDataFrame([(bytearray(THREE[0][2][14:]),), (None,)], "data binary")
     assert [r.payload_offset for r in payload_offset(df).collect()] == [40, None]
+
+
+def test_plan_stays_small(spark):
+    from flowloom.api import decoded
+    from flowloom.operators.flows import flow_stats
+    from flowloom.operators.strategies import Strategy, with_keys
+
+    raw = spark.createDataFrame([], "file string, pkt_idx bigint, ts_sec bigint, ts_usec bigint, orig_len bigint, link_type int, data binary")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan(decoded(raw))) < 5_000
+    assert len(plan(flow_stats(with_keys(decoded(raw), Strategy("session"))))) < 30_000
+
+
+def test_flow_statistics_aggregate_once(spark, sf_dir):
+    """Ranks and run sizes of flow ids read one aggregation."""
+    from flowloom.plans.queries import flows_of
+
+    d = flows_of(spark, sf_dir)
+    d.collect()
+    assert "ReusedExchange" in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_empty_and_null_packets(spark):
+    assert run(spark, []) == []
+    df = spark.createDataFrame([(1, None), (None, bytearray(THREE[0][2])), (1, bytearray(b""))], "link_type int, data binary")
+    assert [r.five_tuple for r in decode(df).collect()] == [None] * 3
