@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
+_written: dict[str, set[str]] = {}
 #: bytes of rows in one Arrow batch of a map over texts (one longer text is a batch of its own)
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; one of our own only if unset."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
+
+    A local session without one, as in tests, gets a folder of its own; on a
+    cluster that would be lost with its machine, so it raises there.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:  # a local session, as in tests
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         app = spark.sparkContext.applicationId
         path = _own.setdefault(app, "") or _own.update({app: "file://" + tempfile.mkdtemp(prefix="flowloom-")}) or _own[app]
     return path.rstrip("/")
@@ -26,12 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    The copy outlives lost executors and cuts the lineage.
+    The copy outlives lost executors and cuts the lineage.  ``discard`` deletes
+    it; what a returned result still reads stays until ``discard_all``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._written)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; results that were not read yet are lost."""
+    for path in list(_written.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -39,6 +68,34 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_hot(rows: DataFrame, names: DataFrame, keys: list[str], max_rows: int, spread: str, salts: int = 32) -> DataFrame:
+    """Left join of ``rows`` to one row a key, where one key may hold a third of ``rows``.
+
+    A side proven to be of ``max_rows`` at most is broadcast; a larger one is
+    copied to ``salts`` parts of each key, over which ``spread`` deals the rows.
+    """
+    if names.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(names), keys, "left")
+    names = names.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    rows = rows.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({spread}), {salts}) AS INT)"))
+    return rows.join(names, [*keys, "_salt"], "left").drop("_salt")
+
+
+def list_blocks(rows: DataFrame, key: str, item: str, blocks: str) -> DataFrame:
+    """``rows`` with ``pair``: every two blocks of a key, and each alone, are one bounded group; ``side`` tells the blocks apart.
+
+    ``blocks`` is the column with a key's number of blocks.  Any two rows of a
+    key meet in exactly one pair of sides: 0 holds a single block, 1 and 2 the
+    lower and the higher one.
+    """
+    d = rows.withColumn("_b", F.expr(f"CAST(pmod(xxhash64({item}), {blocks}) AS INT)"))
+    d = d.selectExpr("*", f"explode(sequence(0, CAST({blocks} AS INT) - 1)) AS _o")
+    return d.selectExpr(
+        *(f"`{c}`" for c in rows.columns), f"xxhash64({key}, least(_b, _o), greatest(_b, _o)) AS pair",
+        "CASE WHEN _b = _o THEN 0 WHEN _b < _o THEN 1 ELSE 2 END AS side",
+    )
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Set the session's limit of an Arrow batch to ``BATCH_BYTES``, so that long texts don't fill executors."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -70,6 +127,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc"
     )
+    state = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now = state(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -79,10 +138,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(small_low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = materialize(small, "cc")
-        state = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        same = state(new) == state(e)
+        last, now = now, state(new)
+        discard(e)
         e = new
-        if same:
+        if last == now:
             break
     else:
         raise RuntimeError("connected components did not converge")

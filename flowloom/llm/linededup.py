@@ -1,18 +1,26 @@
 """Line deduplication: a segment-partition edit-distance join over all lines.
 
-A line of ``l`` characters is split into ``tau + 1`` even segments.  Two lines
-within ``tau`` edits share at least one segment of the shorter, up to a small
-shift.  So every line probes, for each length ``l - tau .. l`` and segment, the
-substrings of the multi-match-aware selection (12 keys a line for ``tau = 2``);
-the keys of its own length and no shift are its index entries.  Keys hash
-(length, segment, content).
+A line of ``l`` characters may differ by ``t = min(tau, l // CHARS_PER_EDIT)``
+edits from a longer one.  It is split into ``t + 1`` even segments; lines within
+``t`` edits share at least one segment of the shorter, up to a small shift.  So
+every line probes, for each shorter length and segment, the substrings of the
+multi-match-aware selection (12 keys a line for ``t = 2``); the keys of its own
+length and no shift are its index entries.  Keys hash (length, segment,
+content).
 
 Lines that meet under a key are told apart by a packed signature (length and
-character counts): ``tau`` edits move it by a bounded amount.  Long lists are
-first divided by parts of that signature, one of which must agree, so a list
-is not compared pair by pair.  Survivors are verified by a banded bit-parallel
-edit distance; links become classes, and the first occurrence of a class, by
-(doc_id, line number), stays.
+character counts): ``t`` edits move it by a bounded amount.  Lists of up to
+``SHORT`` lines give their pairs.  A longer list gives a star: each member with
+the list's first.  After stars are verified, only members in different
+components with near signatures are still open; they meet block against block
+inside tasks, which hold their texts, verify, and emit the links of a spanning
+forest.  So a list gives rows in proportion to its length, no link is lost, and
+a key with many lines, found by counting a sixteenth of all lines, never goes
+through one task.  Every verification is a banded bit-parallel edit distance
+over many pairs at once.
+
+Links become classes, and the first occurrence of a class, by (doc_id, line
+number), stays.
 """
 
 from __future__ import annotations
@@ -24,16 +32,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, connected_components, materialize
+from .common import bound_batches, broadcast_if_small, connected_components, discard, join_hot, list_blocks, materialize
 from .textops import _LOWER, _SPACE, U64, _chunks, _powers, mix64, text_buffers
 
 TAU = 2
-#: shorter lines are compared exactly
-NEAR_MIN_CHARS = 20
+#: a line may differ by one edit for so many of its characters, up to ``TAU``; shorter ones compare exactly
+CHARS_PER_EDIT = 10
+#: lists of up to this many lines give all their pairs, at most (SHORT - 1) / 2 a line
+SHORT = 8
+#: lines and bytes of text of a block of a longer list
+BLOCK_LINES, BLOCK_BYTES = 2048, 8 << 20
+#: lists that are expected to be this long, and hold a 20,000th of all keys, don't go through one task
+HOT_LIST, _SAMPLE = 512, 16
 #: texts of candidate lines are picked by a broadcast list of up to this many ids, else by a join
 MAX_BROADCAST_LINES = 2_000_000
+MAX_BROADCAST_KEYS = 200_000
 _LANES = 14  # character classes counted in the signature, four bits each
 _LOCAL = 1 << 18  # line hashes a task remembers to avoid repeated keys
+_PAIRS = 1 << 15  # pairs that are verified at once
 
 
 class _Lines:
@@ -81,28 +97,37 @@ class _Lines:
             out |= ((c[self.end] - c[self.start]) & 15).astype(U64) << U64(4 * k)
         return out
 
-    def keys(self, rows: np.ndarray, tau: int) -> np.ndarray:
-        """Probe keys of some lines: a row each; absent substrings repeat another key."""
-        l, c0 = self.size[rows], self.chars[self.start[rows]]
-        cols = []
+    def keys(self, rows: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probe keys of some lines: (index into ``rows``, key), sorted by index."""
+        size, c0 = self.size[rows], self.chars[self.start[rows]]
+        owners, keys = [], []
         for delta in range(tau + 1):
-            base, extra = np.divmod(l - delta, tau + 1)
-            p = np.zeros(len(rows), np.int64)
-            for i in range(tau + 1):
-                width = base + (i >= tau + 1 - extra)
-                for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
-                    s = p + shift
-                    ok = (s >= 0) & (s + width <= l) & (width > 0)
-                    s = np.where(ok, s, 0)
-                    a, z = self.at[c0 + s], self.at[c0 + s + np.where(ok, width, 0)]
-                    salt = (l - delta).astype(U64) * U64(64) + U64(i)
-                    k = mix64(self.span(a, z) + mix64(salt))
-                    cols.append(np.where(ok, k, cols[0] if cols else k))
-                p = p + width
-        return np.stack(cols, 1)
-
-
-def _scan(tau: int, near_min: int):
+            allowed = _budget(size - delta, tau)
+            for t in range(max(delta, 1), tau + 1):
+                r = np.flatnonzero(allowed == t)
+                l, c = size[r], c0[r]
+                base, extra = np.divmod(l - delta, t + 1)
+                p = np.zeros(len(r), np.int64)
+                for i in range(t + 1):
+                    width = base + (i >= t + 1 - extra)
+                    for shift in range(max(-i, delta - (t - i)), min(i, delta + (t - i)) + 1):
+                        ok = (p + shift >= 0) & (p + shift + width <= l)
+                        a = c[ok] + p[ok] + shift
+                        salt = (l[ok] - delta).astype(U64) * U64(64) + U64(i)
+                        owners.append(r[ok])
+                        keys.append(mix64(self.span(self.at[a], self.at[a + width[ok]]) + mix64(salt)))
+                    p = p + width
+        owner, key = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((owners, np.int64), (keys, U64)))
+        order = np.argsort(owner, kind="stable")
+        return owner[order], key[order]
+
+
+def _budget(size: np.ndarray, tau: int) -> np.ndarray:
+    """Edits by which a line of ``size`` characters may differ from a longer one."""
+    return np.clip(size // CHARS_PER_EDIT, 0, tau)
+
+
+def _scan(tau: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(_LOCAL, U64)  # direct-mapped: a line that is pushed out only repeats its keys
         for b in batches:
@@ -114,15 +139,15 @@ def _scan(tau: int, near_min: int):
                 slot = (w.hash[new] & U64(_LOCAL - 1)).astype(np.int64)
                 again = seen[slot] == w.hash[new]
                 seen[slot] = w.hash[new]
-                new = np.sort(new[(w.size[new] >= max(near_min, tau + 1)) & ~again])
-                keys = w.keys(new, tau).view(np.int64)
-                width = np.zeros(len(w.hash), np.int32)
-                width[new] = keys.shape[1]
+                new = np.sort(new[~again])
+                owner, keys = w.keys(new, tau)
+                width = np.zeros(len(w.hash), np.int64)
+                width[new] = np.bincount(owner, minlength=len(new))
                 cut = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[w.doc], pa.int64()), pa.array(w.number.astype(np.int32)), pa.array(w.hash.view(np.int64)),
-                        pa.array(w.signature().view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.ravel())),
+                        pa.array(w.signature().view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.view(np.int64))),
                     ],
                     names=["doc_id", "line_no", "h", "sig", "keys"],
                 )
@@ -141,125 +166,147 @@ def _near(x: np.ndarray, y: np.ndarray, tau: int) -> np.ndarray:
     return ok & (moved <= 2 * tau)
 
 
-def _list_pairs(h: np.ndarray, sig: np.ndarray, tau: int) -> Iterator[np.ndarray]:
-    """Pairs of a list's distinct lines whose signatures are near; bounded memory."""
-    h, at = np.unique(h, return_index=True)
-    sig, n = sig[at], len(h)
-    if n <= 512:
-        groups = [np.arange(n)]
-    else:  # of 2 * tau + 1 parts of the signature one is the same on both sides
-        groups, parts = [], 2 * tau + 1
-        for p in range(parts):
-            mask = sum(15 << (4 * k) for k in range(_LANES) if k % parts == p)
-            part = sig & U64(mask)
-            order = np.argsort(part, kind="stable")
-            groups += [g for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(g) > 1]
-    for g in groups:
-        for s in range(0, len(g), 256):
-            x, y = g[s : s + 256], g[s:]
-            for t in range(0, len(y), 4096):
-                z = y[t : t + 4096]
-                i, j = np.nonzero(_near(sig[x][:, None], sig[z][None], tau) & (h[x][:, None] != h[z][None]))
-                if len(i):
-                    a, b = h[x[i]], h[z[j]]
-                    yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, mask=m) for v, m in columns.values()], names=list(columns))
 
 
 def _pairs(tau: int):
-    """Rows (k, h, sig) sorted by k -> candidate pairs (a, b)."""
+    """Rows (k, h, sig) sorted by (k, h) -> candidate pairs (null, a, b) of short lists, rows (k, h, sig) of longer ones."""
 
-    def emit(h, sig):
-        for p in _list_pairs(h, sig, tau):
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+    def long_rows(k, h, sig):
+        return _batch(k=(k, None), a=(h, None), b=(sig, None))
 
-    def small(k, h, sig, cut):
-        """All lists of two or three members at once."""
+    def lists(k, h, sig, cut):
+        """All lists at once: the pairs of every size, and the rows of the long ones."""
         size = np.diff(cut)
-        for n in (2, 3):
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in range(2, SHORT + 1):
             at = cut[:-1][size == n]
-            for i in range(n):
+            for i in range(n if len(at) else 0):
                 for j in range(i + 1, n):
-                    x, y = h[at + i], h[at + j]
-                    ok = (x != y) & _near(sig[at + i], sig[at + j], tau)
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], names=["a", "b"])
+                    left.append(at + i)
+                    right.append(at + j)
+        x, y = np.concatenate(left), np.concatenate(right)
+        ok = _near(sig[x].view(U64), sig[y].view(U64), tau)
+        x, y = x[ok], y[ok]  # rows are sorted by h within a list
+        if len(x):
+            yield _batch(k=(np.zeros(len(x), np.int64), np.ones(len(x), bool)), a=(h[x], None), b=(h[y], None))
+        long = np.repeat(size > SHORT, size)
+        if long.any():
+            yield long_rows(k[cut[0] : cut[-1]][long], h[cut[0] : cut[-1]][long], sig[cut[0] : cut[-1]][long])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_k, held = None, []
+        held, long_key = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            k, h, sig = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(U64)
+            rows = [b.column(i).to_numpy() for i in range(3)]
+            if held is not None:  # the list that the last batch left open
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            k, h, sig = (x[new] for x in rows)
+            if long_key is not None:  # more of a list that is known to be long
+                n = int(np.searchsorted(k != long_key, True))
+                if n:
+                    yield long_rows(k[:n], h[:n], sig[:n])
+                k, h, sig = k[n:], h[n:], sig[n:]
+                if not len(k):
+                    held = None
+                    continue
+            long_key = None
             cut = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
-            if held and k[0] != open_k:
-                yield from emit(*map(np.concatenate, zip(*held, strict=True)))
-                held = []
-            if len(cut) > 2:
-                head = int(cut[1])
-                if held:
-                    yield from emit(*map(np.concatenate, zip(*held, (h[:head], sig[:head]), strict=True)))
-                    held, inner = [], cut[1:-1]
-                else:
-                    inner = cut[:-1]
-                yield from small(k, h, sig, inner)
-                for i in np.flatnonzero(np.diff(inner) > 3):
-                    s, e = int(inner[i]), int(inner[i + 1])
-                    yield from emit(h[s:e], sig[s:e])
-            # the last list may go on in the next batch; it keeps 16 bytes a row
-            s = int(cut[-2])
-            held.append((h[s:].copy(), sig[s:].copy()))
-            open_k = k[-1]
-            if len(held) > 64:
-                hh, ss = map(np.concatenate, zip(*held, strict=True))
-                hh, at = np.unique(hh, return_index=True)
-                held = [(hh, ss[at])]
-        if held:
-            yield from emit(*map(np.concatenate, zip(*held, strict=True)))
+            last = int(cut[-2])
+            if len(k) - last > SHORT:
+                yield from lists(k, h, sig, cut)
+                held, long_key = None, k[-1]
+            else:
+                yield from lists(k, h, sig, cut[:-1])
+                held = [x[last:].copy() for x in (k, h, sig)]
+        if held is not None:
+            yield from lists(*held, np.array([0, len(held[0])]))
 
     return run
 
 
-def edit_distance_within(a: str, b: str, tau: int) -> bool:
-    """Whether ``a`` and ``b`` are within ``tau`` edits: a bit-parallel band of 2 * tau + 1 diagonals.
+def _stars(tau: int):
+    """Rows (h, sig, p_h, p_sig) -> pairs with the list's first line whose signatures are near."""
 
-    Bit ``d`` of level ``e`` says that diagonal ``d`` reaches the current
-    character with at most ``e`` edits; a column updates each level by shifts.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, sig, ph, ps = (b.column(i).to_numpy() for i in range(4))
+            ok = (h != ph) & _near(sig.view(U64), ps.view(U64), tau)
+            yield _batch(a=(np.minimum(h, ph)[ok], None), b=(np.maximum(h, ph)[ok], None))
+
+    return run
+
+
+def edit_distances_within(left: list[str], right: list[str], tau: int) -> np.ndarray:
+    """Whether each pair is within its budget of edits, at most ``tau``; shorter lines have smaller budgets.
+
+    A band of ``2 * tau + 1`` diagonals is one machine word: bit ``d`` of level
+    ``e`` says that diagonal ``d`` reaches the current character with at most
+    ``e`` edits.  A column updates all levels of all pairs by shifts.
     """
-    if abs(len(a) - len(b)) > tau:
-        return False
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    a, b = a[n:], b[n:]
-    n = 0
-    while n < min(len(a), len(b)) and a[-1 - n] == b[-1 - n]:
-        n += 1
-    a, b = a[: len(a) - n], b[: len(b) - n]
-    if max(len(a), len(b)) <= tau:
-        return True
-    full = (1 << (2 * tau + 1)) - 1
+    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    swap = sizes[:, 0] > sizes[:, 1]
+    a = [y if s else x for x, y, s in zip(left, right, swap, strict=True)]
+    b = [x if s else y for x, y, s in zip(left, right, swap, strict=True)]
+    la, lb = sizes.min(1), sizes.max(1)
+    allowed = _budget(la, tau)
+    out = (allowed == 0) & np.array([x == y for x, y in zip(a, b, strict=True)], bool)
+    todo = np.flatnonzero((allowed > 0) & (lb - la <= allowed))
+    todo = todo[np.argsort(lb[todo], kind="stable")]
+    while len(todo):  # groups of about equal length and bounded size
+        n = 1
+        while n < len(todo) and n < _PAIRS and (n + 1) * int(lb[todo[n]]) <= max(1 << 20, 2 * int(lb[todo[0]])):
+            n += 1
+        rows, todo = todo[:n], todo[n:]
+        out[rows] = _band([a[i] for i in rows], [b[i] for i in rows], la[rows], lb[rows], allowed[rows], tau)
+    return out
+
+
+def _matrix(texts: list[str], before: int, width: int, fill: int) -> np.ndarray:
+    size = np.array([len(t) for t in texts])
+    out = np.full((len(texts), width), fill, np.uint32)
+    where = np.repeat(np.arange(len(texts)) * width + before, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out.ravel()[where] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return out
+
+
+def _band(a, b, la, lb, allowed, tau) -> np.ndarray:
+    """Pairs with ``len(a) <= len(b)``, sorted by ``len(b)``."""
+    n, width, word = len(a), int(lb[-1]), np.uint8 if tau < 4 else np.uint32
+    x, y = _matrix(a, tau, width + 2 * tau, 0xFFFFFFFF), _matrix(b, 0, width, 0xFFFFFFFE)
+    same = np.zeros((width, n), word)  # bit d: a[j + d - tau] == b[j]
+    for d in range(2 * tau + 1):
+        same |= ((x[:, d : d + width] == y).T.astype(word) << word(d)).astype(word)
+    full, one = word((1 << (2 * tau + 1)) - 1), word(1)
     # before the first column diagonal tau + e stands for e characters of a consumed
-    level = [sum(1 << (tau + d) for d in range(-e, e + 1) if 0 <= d <= len(a)) for e in range(tau + 1)]
-    for j, c in enumerate(b):
-        eq = 0
-        for d in range(2 * tau + 1):
-            i = j + d - tau
-            if 0 <= i < len(a) and a[i] == c:
-                eq |= 1 << d
-        inside = 0
-        for d in range(2 * tau + 1):
-            if 0 <= j + 1 + d - tau <= len(a):
-                inside |= 1 << d
+    level = [np.full(n, ((1 << (e + 1)) - 1) << tau, word) for e in range(tau + 1)]
+    ended = np.searchsorted(lb, np.arange(width + 1), "right")  # pairs whose text ends by a column
+    out, done = np.zeros(n, bool), 0
+    final = word(1) << (tau + la - lb).astype(word)
+    for j in range(width):
         new = []
         for e in range(tau + 1):
-            x = level[e] & eq
+            v = level[e] & same[j]
             if e:
-                x |= level[e - 1] | level[e - 1] >> 1 | new[e - 1] << 1
-            new.append(x & full & inside)
+                v |= level[e - 1] | level[e - 1] >> one | new[e - 1] << one
+            new.append(v & full)
         level = new
-        if not level[tau]:
-            return False
-    return bool(level[tau] >> (tau + len(a) - len(b)) & 1)
+        if ended[j + 1] > done:
+            r = slice(done, int(ended[j + 1]))
+            reached = np.stack([level[e][r] & final[r] for e in range(tau + 1)])
+            out[r] = reached[allowed[r], np.arange(r.stop - r.start)] != 0
+            done = r.stop
+        if j % 32 == 31 and not level[tau][done:].any():
+            break
+    return out
+
+
+def edit_distance_within(a: str, b: str, tau: int = TAU) -> bool:
+    return bool(edit_distances_within([a], [b], tau)[0])
 
 
 def _texts(wanted):
@@ -284,54 +331,213 @@ def _texts(wanted):
 def _verify(tau: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [edit_distance_within(x, y, tau) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = edit_distances_within(b.column(2).to_pylist(), b.column(3).to_pylist(), tau)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def line_classes(docs: DataFrame, *, tau: int = TAU, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
+def _grouped(names: list[str], work):
+    """Rows sorted by their first column -> ``work(columns)`` of each group; a group is held as arrays until it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def flush():
+            return work(dict(zip(names, pa.Table.from_batches(held).columns[1:], strict=True)))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(0).to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if held and k[s] != key:
+                    if (out := flush()) is not None:
+                        yield out
+                    held = []
+                key = k[s]
+                held.append(b.slice(s, e - s))
+        if held and (out := flush()) is not None:
+            yield out
+
+    return run
+
+
+def _near_apart(h, sig, comp, side, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group's rows, across its sides and components, whose signatures are near; block by block."""
+    sig, alone = sig.view(U64), bool((side == 0).all())
+    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    parts = 2 * tau + 1 if len(left) * len(right) > 1 << 16 else 1
+    for p in range(parts):  # of 2 * tau + 1 parts of the signature one is the same on both sides
+        mask = U64(sum(15 << (4 * k) for k in range(_LANES) if k % parts == p) if parts > 1 else 0)
+        ls, rs = (x[np.argsort(sig[x] & mask, kind="stable")] for x in (left, right))
+        keys = np.unique(sig[left] & mask)
+        la, lz, ra, rz = (np.searchsorted(sig[x] & mask, keys, s) for x in (ls, rs) for s in ("left", "right"))
+        for g in np.flatnonzero((lz > la) & (rz > ra)):
+            for s in range(int(la[g]), int(lz[g]), 256):
+                xs = ls[s : min(s + 256, int(lz[g]))]
+                for t in range(int(ra[g]), int(rz[g]), 2048):
+                    ys = rs[t : min(t + 2048, int(rz[g]))]
+                    ok = comp[xs][:, None] != comp[ys][None]
+                    if alone:
+                        ok &= xs[:, None] < ys[None]
+                    i, j = np.nonzero(ok)
+                    near = _near(sig[xs[i]], sig[ys[j]], tau)
+                    if near.any():
+                        yield xs[i[near]], ys[j[near]]
+
+
+def _suspects(tau: int):
+    """A group's members that may be near a member of another component."""
+
+    def work(c):
+        h, sig, comp, side = (c[k].to_numpy() for k in ("h", "sig", "comp", "side"))
+        if len(np.unique(comp)) < 2:
+            return None
+        hit = np.zeros(len(h), bool)
+        for x, y in _near_apart(h, sig, comp, side, tau):
+            hit[x] = hit[y] = True
+        at = np.flatnonzero(hit)
+        if not len(at):
+            return None
+        return _batch(pair=(c["pair"].to_numpy()[at], None), h=(h[at], None), sig=(sig[at], None), comp=(comp[at], None), side=(side[at], None))
+
+    return _grouped(["h", "sig", "comp", "side", "pair"], work)
+
+
+def _find(root: dict, x):
+    while root.setdefault(x, x) != x:
+        root[x] = x = root[root[x]]
+    return x
+
+
+def _group_links(tau: int):
+    """A group's links between components: a spanning forest, verified batch by batch so that joined components drop out."""
+
+    def work(c):
+        h, sig, side = (c[k].to_numpy() for k in ("h", "sig", "side"))
+        comp, texts, root, links = c["comp"].to_numpy(), c["line"], {}, []
+        _, comp = np.unique(comp, return_inverse=True)
+        now = np.arange(comp.max() + 1)
+        for x, y in _near_apart(h, sig, comp, side, tau):
+            for s in range(0, len(x), _PAIRS):
+                a, b = x[s : s + _PAIRS], y[s : s + _PAIRS]
+                apart = now[comp[a]] != now[comp[b]]
+                a, b = a[apart], b[apart]
+                if not len(a):
+                    continue
+                ok = edit_distances_within(texts.take(a).to_pylist(), texts.take(b).to_pylist(), tau)
+                for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                    u, v = _find(root, int(comp[i])), _find(root, int(comp[j]))
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        links.append((min(int(h[i]), int(h[j])), max(int(h[i]), int(h[j]))))
+                now = np.array([_find(root, int(v)) for v in range(len(now))])
+        if not links:
+            return None
+        return _batch(a=(np.array([x for x, _ in links]), None), b=(np.array([x for _, x in links]), None))
+
+    return _grouped(["h", "sig", "comp", "side", "line"], work)
+
+
+def _candidates(lines: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of short lists and stars of long ones, rows (k, h, sig) of long lists)."""
+    some = lines.where("size(keys) > 0")
+    keyed = some.selectExpr("explode(array_distinct(keys)) AS k", "h", "sig")
+    counts = some.where(f"pmod(h, {_SAMPLE}) = 0").selectExpr("explode(array_distinct(keys)) AS k").groupBy("k").count()
+    counts = materialize(counts.where(f"count >= {HOT_LIST // _SAMPLE}"), "hotkeys")
+    total = some.selectExpr("sum(size(keys)) AS n").first().n or 0
+    hot = F.broadcast(counts.where(F.col("count") * _SAMPLE * 20_000 >= total).select("k"))  # 20,000 keys at most, but for chance
+    cold = keyed.join(hot, "k", "left_anti").repartition("k").sortWithinPartitions("k", "h")
+    found = materialize(cold.mapInArrow(_pairs(tau), "k bigint, a bigint, b bigint"), "linelists")
+    rows = found.where("k IS NOT NULL").selectExpr("k", "a AS h", "b AS sig").union(keyed.join(hot, "k", "left_semi"))
+    rows = materialize(rows.distinct(), "longlists")
+    heads = rows.groupBy("k").agg(F.expr("min(struct(h, sig)) AS p"))
+    stars = rows.join(broadcast_if_small(heads, MAX_BROADCAST_KEYS), "k").selectExpr("h", "sig", "p.h AS p_h", "p.sig AS p_sig")
+    pairs = found.where("k IS NULL").select("a", "b").union(stars.mapInArrow(_stars(tau), "a bigint, b bigint"))
+    pairs = materialize(pairs.distinct(), "linepairs")
+    discard(found, counts)
+    return pairs, rows
+
+
+def _open_links(src: DataFrame, rows: DataFrame, comps: DataFrame, tau: int) -> DataFrame | None:
+    """Links of long lists between lines that are still in different components; None if there are none."""
+    d = rows.join(comps.selectExpr("node AS h", "comp"), "h", "left").selectExpr("k", "h", "sig", "coalesce(comp, h) AS comp")
+    d = materialize(d, "openlists")
+    sizes = d.groupBy("k").agg(F.expr("min(comp) AS lo"), F.expr("max(comp) AS hi"), F.expr(f"ceil(count(1) / {BLOCK_LINES}) AS blocks"))
+    sizes = sizes.where("lo <> hi").select("k", "blocks")
+    d2 = list_blocks(d.join(broadcast_if_small(sizes, MAX_BROADCAST_KEYS), "k"), "k", "h", "blocks")
+    d2 = d2.selectExpr("pair", "h", "sig", "comp", "side", "pair AS again").repartition("pair").sortWithinPartitions("pair")
+    found = materialize(d2.mapInArrow(_suspects(tau), "pair bigint, h bigint, sig bigint, comp bigint, side int"), "suspects")
+    if not found.limit(1).count():
+        discard(d, found)
+        return None
+    texts = _line_texts(src, found.select("h").distinct())
+    found2 = found.join(texts, "h")
+    # long lines make smaller blocks
+    sizes = found2.groupBy("pair").agg(F.expr(f"ceil(sum(octet_length(line)) / {BLOCK_BYTES}) AS blocks"))
+    wide = F.broadcast(sizes.where("blocks > 1").limit(0)) if not sizes.where("blocks > 1").limit(1).count() else sizes.where("blocks > 1")
+    narrow = found2.join(wide, "pair", "left_anti").select("pair", "h", "sig", "comp", "side", "line")
+    parts = list_blocks(found2.join(wide, "pair").withColumnRenamed("pair", "g").withColumnRenamed("side", "old"), "g", "h", "blocks")
+    # a part of one block with itself, or of two; rows of the old sides only meet across them
+    parts = parts.selectExpr("pair", "h", "sig", "comp", "CASE WHEN old = 0 THEN side ELSE old END AS side", "line")
+    both = narrow.union(parts).repartition("pair").sortWithinPartitions("pair")
+    links = materialize(both.mapInArrow(_group_links(tau), "a bigint, b bigint").distinct(), "linelinks")
+    discard(d, found, texts)
+    return links if links.limit(1).count() else None
+
+
+def line_classes(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
     """Row per non-empty line: doc_id, line_no, class_doc, class_line, kept.
 
     Lines end at ``\\n``, are numbered from 0 in their text, and compare
-    trimmed with ASCII letters lower-cased.  Lines of ``near_min_chars`` or
-    more are linked within ``tau`` edits, shorter ones when equal; a class is
-    named by its first line by (doc_id, line_no), the one that is kept.  Null
-    and blank texts and blank lines give no rows.  Rows that repeat an id count
-    as texts of one document: equal (id, number) lines are all kept or dropped
-    alike.  Rows with a null id give no rows.  Other columns are ignored.
+    trimmed with ASCII letters lower-cased.  Two lines are linked within
+    ``min(tau, l // CHARS_PER_EDIT)`` edits, ``l`` the characters of the shorter
+    one; a class is named by its first line by (doc_id, line_no), the one that
+    is kept.  Null and blank texts and blank lines give no rows.  Rows that
+    repeat an id count as texts of one document: equal (id, number) lines are
+    all kept or dropped alike.  Rows with a null id give no rows.  Empty tables
+    give none.  Other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.where("doc_id IS NOT NULL")
-    lines = src.mapInArrow(_scan(tau, near_min_chars), "doc_id bigint, line_no int, h bigint, sig bigint, keys array<bigint>")
+    lines = src.mapInArrow(_scan(tau), "doc_id bigint, line_no int, h bigint, sig bigint, keys array<bigint>")
     lines = materialize(lines, "lines")
-    keyed = lines.where("size(keys) > 0").select(F.explode(F.array_distinct("keys")).alias("k"), "h", "sig")
-    keyed = keyed.repartition("k").sortWithinPartitions("k")
-    pairs = materialize(keyed.mapInArrow(_pairs(tau), "a bigint, b bigint").distinct(), "linepairs")
+    pairs, rows = _candidates(lines, tau)
     links = materialize(_verified(src, pairs, tau), "linelinks")
+    discard(pairs)
+    comps = connected_components(links)
+    if rows.limit(1).count() and (more := _open_links(src, rows, comps, tau)):
+        comps = connected_components(links.union(more))
+    discard(rows)
 
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("n"))
-    comps = connected_components(links)
     named = first.join(comps.withColumnRenamed("node", "h"), "h", "left").where("n > 1 OR comp IS NOT NULL")
     named = materialize(named.select("h", "f", F.coalesce("comp", "h").alias("c")), "lineclasses")
     heads = named.groupBy("c").agg(F.min("f").alias("head"))
-    named = named.join(heads, "c").select("h", "head")
-    out = lines.select("doc_id", "line_no", "h").join(named, "h", "left")
+    named2 = materialize(join_hot(named.select("h", "c"), heads, ["c"], MAX_BROADCAST_KEYS, "h").select("h", "head"), "lineheads")
+    discard(named)
+    out = join_hot(lines.select("doc_id", "line_no", "h"), named2, ["h"], MAX_BROADCAST_KEYS, "doc_id, line_no")
     head = F.coalesce("head", F.struct("doc_id", "line_no"))
     out = out.select("doc_id", "line_no", head["doc_id"].alias("class_doc"), head["line_no"].alias("class_line"))
     return out.withColumn("kept", F.expr("class_doc = doc_id AND class_line = line_no"))
 
 
-def _verified(src: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
+def _line_texts(src: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h, line) of the lines with the hashes ``ids(h)``."""
     spark = src.sparkSession
-    ids = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     if ids.limit(MAX_BROADCAST_LINES + 1).count() <= MAX_BROADCAST_LINES:
         wanted = spark.sparkContext.broadcast(np.sort(ids.toArrow().column("h").to_numpy()))
         texts = src.mapInArrow(_texts(wanted), "h bigint, line string")
     else:
         texts = src.mapInArrow(_texts(None), "h bigint, line string").join(ids, "h", "left_semi")
-    texts = materialize(texts.groupBy("h").agg(F.min("line").alias("line")), "linetexts")
+    return materialize(texts.groupBy("h").agg(F.min("line").alias("line")), "linetexts")
+
+
+def _verified(src: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
+    texts = _line_texts(src, pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     rows = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     rows = rows.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
     return rows.select("a", "b", "line_a", "line_b").mapInArrow(_verify(tau), "a bigint, b bigint").distinct()
@@ -347,17 +553,18 @@ def repeated_lines(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_lines(text: str, gone: str) -> Column:
-    """The text in column ``text`` without the lines numbered in ``gone``; as it is where that is null."""
-    parts = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i))
-    return F.when(F.col(gone).isNotNull(), F.array_join(parts, "\n")).otherwise(F.col(text))
+    """The text in SQL ``text`` without the lines numbered in ``gone``; as it is where that is null."""
+    cut = f"transform(array(split({text}, '\\n')), p -> array_join(transform(array_except(sequence(0, size(p) - 1), {gone}), i -> p[i]), '\\n'))[0]"
+    return F.expr(f"CASE WHEN {gone} IS NOT NULL THEN {cut} ELSE {text} END")
 
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated lines taken out of their texts, whatever their share; all columns and rows stay.
 
     Documents with no repeated line are returned as they are; one of repeated
-    lines only becomes empty.
+    lines only becomes empty.  Null texts stay null; a column of any other name
+    is left alone.
     """
-    gone = repeated_lines(docs, **options).withColumnRenamed("doc_id", "_key")
-    cut = docs.withColumn("_key", F.col("doc_id").cast("bigint")).join(gone, "_key", "left")
-    return cut.withColumn("text", without_lines("text", "gone")).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_key"))
+    cut = packed.join(repeated_lines(docs, **options).withColumnRenamed("doc_id", "_key"), "_key", "left")
+    return cut.select(*(without_lines("_row.text", "gone").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
