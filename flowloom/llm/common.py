@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -101,14 +101,20 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def with_rest(docs: DataFrame, keep: bool) -> tuple[DataFrame, list[str]]:
-    """(doc_id, text[, rest]) for a map over texts; ``rest`` packs the other columns if they are kept."""
+def with_rest(docs: DataFrame, keep: bool) -> tuple[DataFrame, list[Column]]:
+    """(doc_id, text[, rest]) for a map over texts, and the column ``row`` that rebuilds the input from them, if kept.
+
+    The other columns travel under numbers, so no name can clash.
+    """
     bound_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("doc_id", "text")]
     cols = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    if keep:
-        cols.append(F.struct(*(F.col(f"`{c}`") for c in names), F.lit(0).alias("_")).alias("rest"))
-    return docs.select(*cols), names
+    if not keep:
+        return docs.select(*cols), []
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cols.append(F.struct(F.lit(0).alias("n"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("rest"))
+    back = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
+    back |= {c: F.col(c).cast(docs.schema[c].dataType) for c in ("doc_id", "text")}
+    return docs.select(*cols), [F.struct(*(back[c].alias(c) for c in docs.columns)).alias("row")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -146,13 +146,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERR
     text, the first of equals.  Null and empty texts have no hits; null and
     blank items match nothing; items that repeat an id are matched each; items
     too short for an edit must occur exactly.  Rows that repeat a doc_id, null
-    ids included, are matched each.  Other columns are ignored, or come along
-    with ``extra_columns``.
+    ids included, are matched each.  An empty table gives no rows.  Other
+    columns are ignored; with ``extra_columns`` the whole input row comes along
+    as the struct ``row``.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("length(trim(text)) > 0")
-    src, names = with_rest(docs, extra_columns)
-    more = ["text", *(F.col("rest").getField(c).alias(c) for c in names)] if extra_columns else []
+    src, row = with_rest(docs, extra_columns)
     blocks: list[list] = [[]]
     parts, size = [], 0
     for item_id, text in items.orderBy("item_id", "text").toLocalIterator():
@@ -166,11 +166,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERR
     if len(parts) == 1:
         fields = [f for f in src.schema.fields if f.name != "text" or extra_columns]
         schema = T.StructType([*fields, *T.StructType.fromDDL(f"hits {HIT}").fields])
-        return src.mapInArrow(parts[0], schema).select("doc_id", *more, "hits")
+        return src.mapInArrow(parts[0], schema).select("doc_id", *row, "hits")
     keyed = materialize(src.withColumn("n", F.monotonically_increasing_id()), "texts")
     found = None
     for p in parts:
         one = keyed.select(F.col("n").alias("doc_id"), "text").mapInArrow(p, f"doc_id bigint, hits {HIT}").where("size(hits) > 0")
         found = one if found is None else found.union(one)
     found = found.groupBy(F.col("doc_id").alias("n")).agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    return keyed.join(found, "n", "left").select("doc_id", *more, F.array_sort(F.coalesce("hits", F.array().cast(HIT))).alias("hits"))
+    return keyed.join(found, "n", "left").select("doc_id", *row, F.array_sort(F.coalesce("hits", F.array().cast(HIT))).alias("hits"))

@@ -543,12 +543,23 @@ def _verified(src: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
     return rows.select("a", "b", "line_a", "line_b").mapInArrow(_verify(tau), "a bigint, b bigint").distinct()
 
 
-def repeated_lines(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, gone: array<int>) of the documents that hold repeated lines, hinted for broadcast only if few."""
+def repeated_lines(docs: DataFrame, groups: DataFrame | None = None, **options) -> DataFrame:
+    """(doc_id, gone: array<int>) of the documents that hold repeated lines, hinted for broadcast only if few.
+
+    ``groups(doc_id, group)`` names documents that count as one, such as proven
+    near copies: a line that one of them holds first stays, once, in each.
+    """
     flags = line_classes(docs, **options).where("NOT kept")
+    if groups is not None:
+        of = lambda c, g: groups.selectExpr(f"doc_id AS {c}", f"group AS {g}")
+        flags = flags.join(of("doc_id", "g"), "doc_id", "left").join(of("class_doc", "o"), "class_doc", "left")
+        flags = flags.selectExpr("*", "coalesce(g, doc_id) = coalesce(o, class_doc) AND doc_id <> class_doc AS own")
+        once = flags.where("own").groupBy("doc_id", "class_doc", "class_line").agg(F.collect_set("line_no").alias("n"))
+        once = once.selectExpr("doc_id", "explode(array_except(n, array(array_min(n)))) AS line_no")
+        flags = flags.where("NOT own").select("doc_id", "line_no").union(once)
     flags = materialize(flags.select("doc_id", "line_no"), "repeated")
     small = flags.limit(MAX_BROADCAST_LINES + 1).count() <= MAX_BROADCAST_LINES
-    gone = flags.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    gone = flags.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     return F.broadcast(gone) if small else gone
 
 
@@ -558,13 +569,15 @@ def without_lines(text: str, gone: str) -> Column:
     return F.expr(f"CASE WHEN {gone} IS NOT NULL THEN {cut} ELSE {text} END")
 
 
-def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, groups: DataFrame | None = None, **options) -> DataFrame:
     """``docs`` with repeated lines taken out of their texts, whatever their share; all columns and rows stay.
 
+    ``groups`` is as in ``repeated_lines``.
+
     Documents with no repeated line are returned as they are; one of repeated
     lines only becomes empty.  Null texts stay null; a column of any other name
     is left alone.
     """
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_key"))
-    cut = packed.join(repeated_lines(docs, **options).withColumnRenamed("doc_id", "_key"), "_key", "left")
+    cut = packed.join(repeated_lines(docs, groups, **options).withColumnRenamed("doc_id", "_key"), "_key", "left")
     return cut.select(*(without_lines("_row.text", "gone").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))

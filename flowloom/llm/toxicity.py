@@ -133,8 +133,7 @@ def score_toxicity(
 ) -> DataFrame:
     """Row per document: doc_id, held_out, score, predicted.
 
-    With ``extra_columns`` the columns of ``docs`` come along, whose names must
-    then differ from these.
+    With ``extra_columns`` the whole input row comes along as the struct ``row``.
 
     ``labels(doc_id, toxic)`` teach only through documents whose
     ``crc32(doc_id) % fold`` is not ``held_out_fold``.  Null texts score as
@@ -144,7 +143,7 @@ def score_toxicity(
     less a hair, so nothing is rejected.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    src, names = with_rest(docs, extra_columns)
+    src, row = with_rest(docs, extra_columns)
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(fold))
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     known = known.where(F.col("y").isNotNull() & (rest != held_out_fold))
@@ -154,8 +153,7 @@ def score_toxicity(
     packed = np.array(list(model), np.int64), np.array(list(model.values()), np.float32)
     schema = T.StructType([*(f for f in src.schema.fields if f.name != "text" or extra_columns), T.StructField("score", T.DoubleType())])
     scored = src.mapInArrow(_score(bits, spark.sparkContext.broadcast(packed)), schema)
-    more = ["text", *(F.col("rest").getField(c).alias(c) for c in names)] if extra_columns else []
     return scored.select(
-        "doc_id", *more, F.coalesce(rest == held_out_fold, F.lit(False)).alias("held_out"), "score",
+        "doc_id", *row, F.coalesce(rest == held_out_fold, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

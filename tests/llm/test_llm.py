@@ -291,30 +291,3 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     for out in (score_toxicity(d, none), score_texts(d), near_duplicates(d), line_classes(d), find_leaks(d, bench), mix(d, none), score_quality(d, none)):
         assert out.count() == 0
-
-
-def test_repeated_lines_of_any_share(spark):
-    """Repeated lines go whatever their share; near copies are still found, and lose theirs after that."""
-    import corpus_pipeline
-
-    r = random.Random(11)
-    line = lambda n: " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(n))
-    shared, own = [line(60), line(55)], [line(n) for n in (30, 30, 60, 9)]
-    texts = ["\n".join(x) for x in ([line(9), *shared], [*shared, own[0]], [shared[0], own[2]], [shared[0], own[2] + " tail"], [own[1], shared[1]], [own[3]])]
-    texts[5] += "\n" + own[2] + " tail"  # only removed copy 3 and the kept copy 2 hold it before
-    docs = docs_of(spark, list(enumerate(texts)))
-    step = corpus_pipeline.line_dedup(spark, docs, "")
-    assert {x.doc_id: x.text for x in step.collect()}[2] == texts[2]
-    got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.near_dedup(spark, step, "").collect()}
-    want = {0: texts[0], 1: own[0], 2: own[2], 4: own[1], 5: texts[5]}
-    assert got == {i: (t, len(t)) for i, t in want.items()}
-    assert {x.doc_id: x.text for x in drop_repeated_lines(docs).collect()}[1] == own[0]
-
-
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    got = corpus_pipeline.run(spark, sf_dir)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n, kept = docs.count(), got.count()
-    assert 0.5 * n < kept < n and got.select("doc_id").distinct().count() == kept
