@@ -6,7 +6,10 @@
    sets that reach the similarity share most retained values, so it is enough
    to look up each class under its rarest retained values (frequent ones come
    last in one global order): if ``o`` values are shared, the ``k - o + 1``
-   rarest of both sketches meet.  ``o`` lies six deviations under its mean.
+   rarest of both sketches meet.  Two sets at the similarity share fewer than
+   ``o`` with probability ``TAIL`` at most, by the binomial distribution, which
+   bounds that of values drawn from a union; sets of up to ``k`` values, whose
+   sketches are whole, lose nothing.
 3. Inverted lists of these values give pairs of a list's smallest class with
    each other member; set sizes and a 128-bit signature of the same hash
    function filter them; the sketch of the union estimates the similarity; the
@@ -15,22 +18,28 @@
    signatures allow the similarity, form families.  Lists within one component
    are left out; long lists are cut into blocks, each pair of blocks a group of
    its own.  A family's sets are compared block against block inside tasks,
-   which emit only the links they find.  So no link between components is lost,
-   a group of ``g`` copies costs about ``g`` comparisons of texts, and no pair
-   that isn't a link is written.
+   which emit only the links they find; blocks hold thousands of sets, by
+   number and bytes.  So no link between components is lost, a group of ``g``
+   copies costs about ``g`` comparisons of texts, and no pair that isn't a link
+   is written.
+
+Signatures and sketches of unions exclude a pair at the similarity with
+probability ``TAIL`` each, too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, materialize
+from .common import broadcast_if_small, connected_components, discard, list_blocks, materialize
 from .textops import U64, iter_words, mix64, shingle_sets
 
 SKETCH = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, s1 bigint, s2 bigint, sketch binary"
@@ -39,8 +48,22 @@ MAX_RANKED = 400_000
 #: a pair's ids are broadcast to pick its texts only up to this many ids
 MAX_BROADCAST_IDS = 1_000_000
 #: about as many members of a list are in one block of it
-LIST_BLOCK = 1024
-_DEVIATIONS = 6.0
+LIST_BLOCK = 4096
+#: members and bytes of sets in one block of a family
+FAMILY_BLOCK, FAMILY_BYTES = 2048, 16 << 20
+#: probability that one filter excludes a pair at the similarity
+TAIL = 1e-12
+
+
+@lru_cache(maxsize=4096)
+def least(n: int, p: float) -> int:
+    """The largest ``o`` with ``P(Bin(n, p) < o) <= TAIL``."""
+    total = 0.0
+    for o in range(n + 1):
+        total += math.comb(n, o) * p**o * (1 - p) ** (n - o)
+        if total > TAIL:
+            return o
+    return n
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -87,7 +110,7 @@ def overlap_bound(n: int, k: int, sim: float) -> int:
     s = min(n, k)
     if n <= sim * k:  # the partner's sketch is its whole set, too
         return max(1, int(np.ceil(sim * n - 1e-9)))
-    return max(1, int(np.floor(sim * s - _DEVIATIONS * np.sqrt(sim * (1 - sim) * s))))
+    return max(1, least(s, sim))
 
 
 def _lookups(k: int, sim: float, ranked):
@@ -126,8 +149,7 @@ def _verify(percent: int, size: int, k: int):
             for r, (x, y) in enumerate(zip(*sets, strict=True)):
                 union = np.union1d(x[:k], y[:k])[:k]  # the union's own bottom-k sketch
                 shared = np.isin(union, x[:k], assume_unique=True) & np.isin(union, y[:k], assume_unique=True)
-                p = percent / 100
-                if shared.sum() < p * len(union) - _DEVIATIONS * np.sqrt(p * (1 - p) * len(union)):
+                if shared.sum() < least(len(union), percent / 100):
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[r] = 100 * both >= percent * (len(x) + len(y) - both)
@@ -179,6 +201,7 @@ def near_duplicates(
     same_id = full.join(repeated, "doc_id").join(reps.select("d1", "d2", F.col("doc_id").alias("r")), ["d1", "d2"])
     own = same_id.where("doc_id <> r").select(F.col("r").alias("a"), F.col("doc_id").alias("b"))
     comps = connected_components(links)
+    discard(lists, first)
 
     # second round: members of a list that the first left in different components
     left = shared.where("members > 2").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
@@ -187,12 +210,13 @@ def near_duplicates(
     families = materialize(left.mapInArrow(_families(percent), "a bigint, b bigint").distinct(), "families")
     if families.limit(1).count():
         links = links.union(materialize(_family_links(src, families, comps, percent, shingle), "links"))
+    discard(shared, families)
     return _result(sk, reps, connected_components(links.union(own)))
 
 
 def _most_apart(percent: int) -> int:
-    p = percent / 100
-    return int(128 * (1 - p) / 2 + _DEVIATIONS * np.sqrt(128 * (1 + p) / 2 * (1 - p) / 2))
+    """Bits by which the signatures of two sets at the similarity may differ."""
+    return 128 - least(128, (1 + percent / 100) / 2)
 
 
 def _alike(n, s1, s2, i, j, percent: int) -> np.ndarray:
@@ -209,12 +233,8 @@ def _blocks(rows: DataFrame, list_block: int) -> DataFrame:
     """
     open_lists = rows.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     rows = rows.join(open_lists.select("value"), "value", "left_semi")
-    rows = rows.withColumn("blocks", F.ceil(F.col("members") / list_block).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pair = F.xxhash64("value", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(pair.alias("pair"), "doc", "n", "s1", "s2", "comp")
-    return rows.repartition("pair").sortWithinPartitions("pair")
+    rows = list_blocks(rows.withColumn("blocks", F.ceil(F.col("members") / list_block)), "value", "doc", "blocks")
+    return rows.select("pair", "doc", "n", "s1", "s2", "comp").repartition("pair").sortWithinPartitions("pair")
 
 
 def _families(percent: int):
@@ -270,9 +290,6 @@ def _families(percent: int):
     return run
 
 
-BLOCK = 128
-
-
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,25 +342,22 @@ def _compare(percent: int):
 def _family_links(src: DataFrame, families: DataFrame, comps: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Links inside families between documents of different components.
 
-    A family is cut into blocks of about ``BLOCK`` documents, and each pair of
-    blocks is one bounded task.
+    A family is cut into blocks by members and bytes, and each pair of blocks
+    is one bounded task.
     """
     members = connected_components(families).select(F.col("node").alias("doc"), F.col("comp").alias("family"))
-    counts = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = members.join(counts, "family").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     members = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
     members = members.withColumn("comp", F.coalesce("comp", "doc"))
     ids = broadcast_if_small(members.select(F.col("doc").alias("doc_id")), MAX_BROADCAST_IDS)
     grams = src.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc bigint, grams binary")
     rows = materialize(members.join(grams, "doc"), "familysets")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("family", "doc", "comp", "grams", "block", other)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    # side 0 is both sides of a block with itself, 1 the left block, 2 the right one
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") == low, 1).otherwise(2)
-    rows = rows.select("family", low.alias("b1"), high.alias("b2"), "doc", "comp", "grams", side.alias("side"))
+    sizes = rows.groupBy("family").agg(
+        F.expr(f"ceil(greatest(count(1) / {FAMILY_BLOCK}, sum(octet_length(grams)) / {FAMILY_BYTES})) AS blocks")
+    )
+    rows = list_blocks(rows.join(broadcast_if_small(sizes, MAX_BROADCAST_IDS), "family"), "family", "doc", "blocks")
+    rows = rows.select("pair", "doc", "comp", "grams", "side")
     compare = _compare(percent)
-    return rows.groupBy("family", "b1", "b2").applyInArrow(lambda t: compare(t), "a bigint, b bigint").distinct()
+    return rows.groupBy("pair").applyInArrow(lambda t: compare(t), "a bigint, b bigint").distinct()
 
 
 def _ranked(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
