@@ -139,6 +139,19 @@ def _match(block, rate: float):
     return run
 
 
+def _item_blocks(items: DataFrame) -> Iterator[list]:
+    """Items in blocks of about ``BLOCK_CHARS``, drawn partition by partition."""
+    block, size = [], 0
+    for item_id, text in items.orderBy("item_id", "text").toLocalIterator():
+        if size + len(text) > BLOCK_CHARS and block:
+            yield block
+            block, size = [], 0
+        block.append((item_id, text))
+        size += len(text)
+    if block:
+        yield block
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERROR_RATE, extra_columns: bool = False) -> DataFrame:
     """Row per document: doc_id, hits: an array of (item_id, distance, start, end), at most one per item.
 
@@ -153,24 +166,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERR
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("length(trim(text)) > 0")
     src, row = with_rest(docs, extra_columns)
-    blocks: list[list] = [[]]
-    parts, size = [], 0
-    for item_id, text in items.orderBy("item_id", "text").toLocalIterator():
-        if size + len(text) > BLOCK_CHARS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item_id, text))
-        size += len(text)
-    for block in blocks:
-        parts.append(_match(spark.sparkContext.broadcast(block), error_rate))
-    if len(parts) == 1:
+    blocks = _item_blocks(items)
+    block, more = next(blocks, []), next(blocks, None)
+    sent = spark.sparkContext.broadcast(block)
+    if more is None:
         fields = [f for f in src.schema.fields if f.name != "text" or extra_columns]
         schema = T.StructType([*fields, *T.StructType.fromDDL(f"hits {HIT}").fields])
-        return src.mapInArrow(parts[0], schema).select("doc_id", *row, "hits")
+        return src.mapInArrow(_match(sent, error_rate), schema).select("doc_id", *row, "hits")
+    # one block at a time is on the driver and the executors
     keyed = materialize(src.withColumn("n", F.monotonically_increasing_id()), "texts")
     found = None
-    for p in parts:
-        one = keyed.select(F.col("n").alias("doc_id"), "text").mapInArrow(p, f"doc_id bigint, hits {HIT}").where("size(hits) > 0")
+    while True:
+        one = keyed.select(F.col("n").alias("doc_id"), "text").mapInArrow(_match(sent, error_rate), f"doc_id bigint, hits {HIT}")
+        one = materialize(one.where("size(hits) > 0"), "leaks")
+        sent.unpersist()
         found = one if found is None else found.union(one)
+        if more is None:
+            break
+        sent, more = spark.sparkContext.broadcast(more), next(blocks, None)
     found = found.groupBy(F.col("doc_id").alias("n")).agg(F.flatten(F.collect_list("hits")).alias("hits"))
     return keyed.join(found, "n", "left").select("doc_id", *row, F.array_sort(F.coalesce("hits", F.array().cast(HIT))).alias("hits"))

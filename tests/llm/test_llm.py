@@ -70,6 +70,32 @@ def test_near_duplicates(spark, texts):
         assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == expected
 
 
+def test_near_duplicates_of_a_table(spark, sf_dir):
+    """Every component of a given table, against all pairs that share a rare shingle."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sets = {r.doc_id: grams(r.text, 4) for r in docs.select("doc_id", "text").collect()}
+    owners: dict = {}
+    for i, s in sets.items():
+        for g in s:
+            owners.setdefault(g, []).append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, s in sets.items():
+        rare = sorted(s, key=lambda g: (len(owners[g]), g))[: len(s) - -(-80 * len(s) // 100) + 1]
+        for b in {b for g in rare for b in owners[g]} - {a}:
+            k = len(s & sets[b])
+            if 100 * k >= 80 * len(s | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=4).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
 def test_blocks_of_lists(spark):
     """Each two members of an open list meet in a group; lists of one component are left out."""
     rows = [(v, n, d, 1, 0, 0, d if v else 0) for v, n in ((0, 9), (1, 3), (2, 40)) for d in range(n)]
@@ -145,6 +171,22 @@ def test_best_match():
         assert best_match(item, text)[0] == best
 
 
+def test_decontaminate_in_blocks(spark, monkeypatch):
+    """Blocks of items give what one block gives."""
+    from flowloom.llm import decontaminate
+
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefg", k=5)) for _ in range(50)]
+    items = [(i, " ".join(r.choices(words, k=12))) for i in range(40)]
+    rows = [(i, " ".join(r.choices(words, k=20)) + (" " + items[i % 40][1] if i % 3 else "")) for i in range(60)] + [(None, items[0][1]), (99, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    see = lambda: sorted((str(x.doc_id), [tuple(h) for h in x.hits]) for x in find_leaks(docs_of(spark, rows), bench).collect())
+    whole = see()
+    assert [h for _, h in whole] != []
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 900)
+    assert see() == whole
+
+
 def test_decontaminate(spark):
     r = random.Random(7)
     say = lambda n: " ".join("".join(r.choices("abcdefghé", k=r.randint(2, 8))) for _ in range(n))
