@@ -510,7 +510,7 @@ def line_classes(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
     discard(pairs)
     comps = connected_components(links)
     if rows.limit(1).count() and (more := _open_links(src, rows, comps, tau)):
-        comps = connected_components(links.union(more))
+        comps = connected_components(comps.selectExpr("node AS a", "comp AS b").union(more))
     discard(rows)
 
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("n"))

@@ -208,10 +208,14 @@ def near_duplicates(
     left = left.select("value", "members", "doc", "n", "s1", "s2", F.coalesce("comp", "doc").alias("comp"))
     left = _blocks(left, list_block)
     families = materialize(left.mapInArrow(_families(percent), "a bigint, b bigint").distinct(), "families")
+    more = own
     if families.limit(1).count():
-        links = links.union(materialize(_family_links(src, families, comps, percent, shingle), "links"))
+        more = more.union(materialize(_family_links(src, families, comps, percent, shingle), "links"))
+    more = materialize(more, "morelinks")
     discard(shared, families)
-    return _result(sk, reps, connected_components(links.union(own)))
+    if more.limit(1).count():  # components so far are stars, which say as much as their links
+        comps = connected_components(comps.selectExpr("node AS a", "comp AS b").union(more))
+    return _result(sk, reps, comps)
 
 
 def _most_apart(percent: int) -> int:
