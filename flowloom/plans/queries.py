@@ -13,9 +13,11 @@ from ..operators.archive import flow_properties, listing, listing_lines
 from ..operators.filters import PacketFilter, by_all, by_id, by_ip, by_port, by_protocol
 from ..operators.flows import flow_groups, flow_packets, flow_stats, index, lru_flows, payloads
 from ..operators.strategies import Strategy, with_keys
+from ..functions.decode import payload_offset
+from ..sources.archive_file import Entry, count_frames, decode_offsets, encode_offsets
 from ..sources.capture import parse_blobs
 from ..sources.sinks import output_names, pcap_blobs
-from .view import DUCK_VIEW, event_packets, frames
+from .view import CHUNK, DUCK_VIEW, captures, datagrams, event_packets, frames, ipv6_frames, wifi_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,6 +212,76 @@ def decode_udp_icmp_roundtrip(spark, sf_dir):
     return _decode_check(spark, sf_dir, "five_tuple.protocol IN (1, 17)", False)
 
 
+_RAW = ("src_mac", "dst_mac", "bssid", "five_tuple", "l7")
+_L4 = "CASE proto WHEN 6 THEN 20 WHEN 17 THEN 8 END"
+
+
+def _decoded(d):
+    return decoded(d.drop(*_RAW))
+
+
+def duck_ip6(x: str) -> str:
+    return f"('2001:db8::' || printf('%x', {x} >> 16) || ':' || printf('%x', {x} & 65535))"
+
+
+@query(
+    f"SELECT pkt_idx, CAST(CASE proto WHEN 1 THEN 58 ELSE proto END AS INTEGER) AS protocol, {duck_ip6('src_ip')} AS src_ip, {duck_ip6('dst_ip')} AS dst_ip,"
+    " CAST(src_port AS INTEGER) AS src_port, CAST(dst_port AS INTEGER) AS dst_port,"
+    f" CAST(54 + CASE pkt_idx % 4 WHEN 0 THEN 0 WHEN 1 THEN 8 WHEN 2 THEN 24 ELSE 12 END + {_L4} AS INTEGER) AS l7_offset,"
+    " CASE WHEN proto <> 1 THEN payload END AS payload FROM p WHERE is_ip"
+)
+def decode_ipv6_roundtrip(spark, sf_dir):
+    """Extension headers of several kinds, walked to the transport header."""
+    d = _decoded(ipv6_frames(event_packets(spark, sf_dir)))
+    ports = [F.expr(f"IF(five_tuple.protocol = 58, 0, five_tuple.{c})").alias(c) for c in ("src_port", "dst_port")]
+    return d.select("pkt_idx", *tuple_cols()[:3], *ports, "l7_offset", F.decode("l7", "utf-8").alias("payload"))
+
+
+@query(
+    f"SELECT pkt_idx, {DUCK_TUPLE}, src_mac, dst_mac, CASE pkt_idx % 4 WHEN 0 THEN 'aabbccddeeff' WHEN 1 THEN dst_mac WHEN 2 THEN src_mac END AS bssid,"
+    f" CAST(CASE WHEN pkt_idx % 2 = 1 THEN 8 ELSE 0 END + CASE WHEN pkt_idx % 4 = 3 THEN 30 ELSE 24 END + 28 + {_L4} AS INTEGER) AS l7_offset FROM p"
+)
+def decode_wifi_roundtrip(spark, sf_dir):
+    """802.11 data frames, with and without radiotap, in all distribution-system directions."""
+    d = _decoded(wifi_frames(event_packets(spark, sf_dir)))
+    return d.select("pkt_idx", *tuple_cols(), *(mac_text(c).alias(c) for c in ("src_mac", "dst_mac", "bssid")), "l7_offset")
+
+
+@query(f"SELECT pkt_idx, {DUCK_TUPLE}, CAST(20 + {_L4} AS INTEGER) AS l7_offset, CAST(20 + {_L4} AS INTEGER) AS payload_offset FROM p WHERE is_ip")
+def decode_raw_ip_roundtrip(spark, sf_dir):
+    """Datagrams without a link layer, as packets and by the payload offset of a column."""
+    d = payload_offset(datagrams(event_packets(spark, sf_dir)).drop("l7"))
+    return _decoded(d).select("pkt_idx", *tuple_cols(), "l7_offset", "payload_offset")
+
+
+_LENGTH = "CAST(CASE WHEN NOT is_ip THEN 14 ELSE 34 + CASE proto WHEN 6 THEN 20 ELSE 8 END + strlen(payload) END AS BIGINT)"
+_CHUNKED = f"SELECT CAST(pkt_idx // {CHUNK} AS VARCHAR) AS file, row_number() OVER (PARTITION BY pkt_idx // {CHUNK} ORDER BY pkt_idx) - 1 AS idx"
+
+
+def _parsed(spark, sf_dir, ng: bool):
+    d = _parse_decoded(captures(event_packets(spark, sf_dir), ng))
+    return d.select("file", F.col("pkt_idx").alias("idx"), "ts_us", "cap_len", "orig_len", "link_type", *tuple_cols(), mac_text("src_mac").alias("src_mac"))
+
+
+def _parse_decoded(blobs):
+    return decoded(parse_blobs(blobs))
+
+
+@query(f"{_CHUNKED}, ts_us, {_LENGTH} AS cap_len, CAST(orig_len AS BIGINT) AS orig_len, CAST(1 AS INTEGER) AS link_type, {DUCK_TUPLE}, src_mac FROM p")
+def pcap_kinds_roundtrip(spark, sf_dir):
+    """Captures of both byte orders, in micro- and nanoseconds."""
+    return _parsed(spark, sf_dir, False)
+
+
+@query(
+    f"{_CHUNKED}, CASE WHEN pkt_idx % 7 = 0 THEN 0 ELSE ts_us END AS ts_us, {_LENGTH} AS cap_len,"
+    f" CASE WHEN pkt_idx % 7 = 0 THEN {_LENGTH} ELSE CAST(orig_len AS BIGINT) END AS orig_len, CAST(1 AS INTEGER) AS link_type, {DUCK_TUPLE}, src_mac FROM p"
+)
+def pcapng_roundtrip(spark, sf_dir):
+    """PCAP-NG sections of both byte orders, two clocks, enhanced, simple and unknown blocks."""
+    return _parsed(spark, sf_dir, True)
+
+
 # keys and buckets
 
 def _key_query(name: str):
@@ -417,6 +489,59 @@ def pcap_roundtrip(spark, sf_dir):
     )
 
 
+@query(f"SELECT flow_id, count(*) AS frames FROM ({duck_keyed('session')}) k JOIN (SELECT key, flow_id FROM ({duck_flows('session')})) f USING (key) GROUP BY flow_id")
+def pipe_frame_counts(spark, sf_dir):
+    """Length-prefixed flows of a pipe, read back and counted."""
+
+    def run(batches):
+        import io
+
+        import pyarrow as pa
+
+        from ..sources.sinks import read_pipe
+
+        for b in batches:
+            stream = b"".join(len(x).to_bytes(8, "little") + x for x in b.column(1).to_pylist())
+            n = [count_frames(x) for x in read_pipe(io.BytesIO(stream))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["flow_id", "frames"])
+
+    return _pcaps(spark, sf_dir).select("flow_id", "pcap").mapInArrow(run, "flow_id bigint, frames bigint")
+
+
+@query(with_flows("SELECT flow_id, protocol, src_ip, dst_ip, src_port, dst_port, packet_count, total_bytes, start_ts_us, end_ts_us, 96 AS entry_size FROM f"))
+def archive_entries_roundtrip(spark, sf_dir):
+    """Flow table entries in the archive's layout, packed and read back."""
+    names = ("flow_id", "protocol", "src_ip", "dst_ip", "src_port", "dst_port", "packet_count", "start_ts_us", "end_ts_us", "total_bytes")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            packed = [Entry(*row).pack() for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            back = [Entry.unpack(x) for x in packed]
+            cols = [pa.array([getattr(e, n) for e in back], b.column(i).type) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) for x in packed], pa.int32())], names=[*names, "entry_size"])
+
+    d = flows_of(spark, sf_dir).select(*names)
+    d = d.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema) + ", entry_size int")
+    return d.withColumns({"src_ip": ip_text("src_ip"), "dst_ip": ip_text("dst_ip")})
+
+
+@query(f"SELECT key, list_sort(list(pkt_idx * 300 + key_pos))::VARCHAR AS offsets FROM ({duck_keyed('host')}) GROUP BY key")
+def archive_offsets_roundtrip(spark, sf_dir):
+    """Offset lists as first offset and variable-length differences, and back."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lists = [str(decode_offsets(encode_offsets(x))) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.string())], names=["key", "offsets"])
+
+    d = with_keys(event_packets(spark, sf_dir), strategy("host")).groupBy("key").agg(F.expr("array_sort(collect_list(pkt_idx * 300 + key_pos)) AS o"))
+    return d.mapInArrow(run, "key string, offsets string")
+
+
 @query(with_flows("SELECT flow_id AS id, protocol AS proto, CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 1 THEN 'ICMP' WHEN 58 THEN 'ICMPv6' ELSE '?' END AS proto_name, CASE src_ip WHEN '::' THEN '0000:0000:0000:0000:0000:0000:0000:0000' ELSE src_ip END AS src_addr, CASE dst_ip WHEN '::' THEN '0000:0000:0000:0000:0000:0000:0000:0000' ELSE dst_ip END AS dst_addr, src_port, dst_port, packet_count, total_bytes, start_ts_us / 1e6 AS start_ts, end_ts_us / 1e6 AS end_ts FROM f"))
 def flow_properties_full(spark, sf_dir):
     return flow_properties(flows_of(spark, sf_dir), full_v6=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.net import v4_bytes
 
@@ -67,19 +68,89 @@ def transport() -> str:
     )
 
 
+def ipv4() -> str:
+    """IPv4 datagram around the column ``_l4``."""
+    v4 = lambda ip: f"substring(five_tuple.{ip}, 13, 4)"
+    return (
+        f"concat(X'4500', {number('octet_length(_l4) + 20', 2)}, X'0000000040', {number('five_tuple.protocol', 1)}, X'0000',"
+        f" {v4('src_ip')}, {v4('dst_ip')}, _l4)"
+    )
+
+
 def frames(packets: DataFrame, vlan: bool = False) -> DataFrame:
     """Ethernet frames of the view's packets, built in the plan; non-IP packets get an ARP type and no body."""
     d = packets.selectExpr("*", f"{transport()} AS _l4")
-    v4 = lambda ip: f"substring(five_tuple.{ip}, 13, 4)"
-    ip = (
-        f"X'4500', {number('octet_length(_l4) + 20', 2)}, X'0000000040', {number('five_tuple.protocol', 1)}, X'0000',"
-        f" {v4('src_ip')}, {v4('dst_ip')}, _l4"
-    )
     head = "dst_mac, src_mac" + (", X'81000007'" if vlan else "")
-    data = f"CASE WHEN five_tuple IS NOT NULL THEN concat({head}, X'0800', {ip}) ELSE concat({head}, X'0806') END"
+    data = f"CASE WHEN five_tuple IS NOT NULL THEN concat({head}, X'0800', {ipv4()}) ELSE concat({head}, X'0806') END"
     return with_frames(d, data, "1").drop("_l4")
 
 
+def datagrams(packets: DataFrame) -> DataFrame:
+    """Bare IPv4 datagrams of the view's IP packets."""
+    d = packets.where("five_tuple IS NOT NULL").selectExpr("*", f"{transport()} AS _l4")
+    return with_frames(d, ipv4(), "101").drop("_l4")
+
+
+def ipv6_frames(packets: DataFrame) -> DataFrame:
+    """Ethernet and IPv6, ICMP as ICMPv6; by ``pkt_idx % 4`` no, one, two or an authentication header between."""
+    d = packets.where("five_tuple IS NOT NULL").selectExpr("*", f"{transport()} AS _l4", f"{number('IF(five_tuple.protocol = 1, 58, five_tuple.protocol)', 1)} AS _p")
+    kind = "CASE pkt_idx % 4 WHEN 0 THEN"
+    first = f"{kind} _p WHEN 1 THEN X'00' WHEN 2 THEN X'3C' ELSE X'33' END"
+    more = f"{kind} X'' WHEN 1 THEN concat(_p, X'{'00' * 7}') WHEN 2 THEN concat(X'2C01{'00' * 14}', _p, X'{'00' * 7}') ELSE concat(_p, X'01{'00' * 10}') END"
+    address = lambda ip: f"X'20010DB8{'00' * 8}', substring(five_tuple.{ip}, 13, 4)"
+    data = f"concat(dst_mac, src_mac, X'86DD60000000', {number(f'octet_length({more}) + octet_length(_l4)', 2)}, {first}, X'40', {address('src_ip')}, {address('dst_ip')}, {more}, _l4)"
+    return with_frames(d, data, "1").drop("_l4", "_p")
+
+
+def wifi_frames(packets: DataFrame) -> DataFrame:
+    """802.11 data frames with SNAP, behind radiotap for odd packets; ``pkt_idx % 4`` are the distribution-system bits."""
+    d = packets.selectExpr("*", f"{transport()} AS _l4")
+    tap, four = "IF(pkt_idx % 2 = 1, X'0000080000000000', X'')", "IF(pkt_idx % 4 = 3, X'010203040506', X'')"
+    body = f"IF(five_tuple IS NULL, X'0806', concat(X'0800', {ipv4()}))"
+    data = f"concat({tap}, X'08', {number('pkt_idx % 4', 1)}, X'0000', dst_mac, src_mac, X'AABBCCDDEEFF', X'0000', {four}, X'AAAA03000000', {body})"
+    return with_frames(d, data, "IF(pkt_idx % 2 = 1, 127, 105)").drop("_l4")
+
+
+def little(n: str, width: int) -> str:
+    """Little-endian bytes of a number."""
+    h = f"lpad(hex(CAST({n} AS BIGINT)), 16, '0')"
+    return "unhex(concat(" + ", ".join(f"substring({h}, {15 - 2 * i}, 2)" for i in range(width)) + "))"
+
+
+#: packets of the view in one capture
+CHUNK = 100
+
+
+def captures(packets: DataFrame, ng: bool = False) -> DataFrame:
+    """(file, blob): the view's packets as captures of ``CHUNK`` packet numbers each, named by the chunk.
+
+    PCAP: by ``chunk % 4`` little or big endian, micro- or nanoseconds.
+    PCAP-NG: little or big endian; an unknown block and two interfaces, the
+    second in nanoseconds; every seventh packet a simple one, the others on the
+    interface of their parity.
+    """
+    d = frames(packets).selectExpr("pkt_idx", "ts_us", "ts_sec", "ts_usec", "orig_len", "data", f"pkt_idx div {CHUNK} AS chunk")
+    big = "chunk % 2 = 1"
+    u4 = lambda n: f"IF({big}, {number(n, 4)}, {little(n, 4)})"
+    if ng:
+        pad = "concat(data, substring(X'000000', 1, pmod(-octet_length(data), 4)))"
+        d = d.selectExpr("*", f"{pad} AS _d", "IF(pkt_idx % 2 = 1, ts_us * 1000 + 7, ts_us) AS _t")
+        size = lambda n: u4(f"{n} + octet_length(_d)")
+        enhanced = f"concat({u4('6')}, {size(32)}, {u4('pkt_idx % 2')}, {u4('_t div 4294967296')}, {u4('_t % 4294967296')}, {u4('octet_length(data)')}, {u4('orig_len')}, _d, {size(32)})"
+        simple = f"concat({u4('3')}, {size(16)}, {u4('octet_length(data)')}, _d, {size(16)})"
+        block = f"IF(pkt_idx % 7 = 0, {simple}, {enhanced})"
+        low = "0A0D0D0A1C0000004D3C2B1A01000000FFFFFFFFFFFFFFFF1C000000 AD0B00001000000031323334100000000100000014000000 01000000FFFF000014000000 010000002000000001000000FFFF0000 09000100090000000000000020000000"
+        high = "0A0D0D0A0000001C1A2B3C4D00010000FFFFFFFFFFFFFFFF0000001C 00000BAD0000001031323334000000100000000100000014 000100000000FFFF00000014 0000000100000020000100000000FFFF 00090001090000000000000000000020"
+        head = f"IF({big}, '{high.replace(' ', '')}', '{low.replace(' ', '')}')"
+    else:
+        fine = "chunk % 4 >= 2"
+        block = f"concat({u4('ts_sec')}, {u4(f'IF({fine}, ts_usec * 1000 + 321, ts_usec)')}, {u4('octet_length(data)')}, {u4('orig_len')}, data)"
+        rest = ("0200040000000000" + "00000000FFFF000001000000", "0002000400000000" + "000000000000FFFF00000001")
+        head = f"CASE chunk % 4 WHEN 0 THEN 'D4C3B2A1{rest[0]}' WHEN 1 THEN 'A1B2C3D4{rest[1]}' WHEN 2 THEN '4D3CB2A1{rest[0]}' ELSE 'A1B23C4D{rest[1]}' END"
+    d = d.selectExpr("chunk", f"struct(pkt_idx, hex({block}) AS h) AS b").groupBy("chunk").agg(F.expr("array_sort(collect_list(b)) AS b"))
+    return d.selectExpr("CAST(chunk AS STRING) AS file", f"unhex(concat({head}, array_join(transform(b, x -> x.h), ''))) AS blob")
+
+
 def with_frames(packets: DataFrame, data: str, link_type: str) -> DataFrame:
     """``packets`` with frame bytes, as a capture source yields them."""
     d = packets.selectExpr("*", f"{data} AS data", f"CAST({link_type} AS INT) AS link_type")
