@@ -88,7 +88,7 @@ def pipe_archive(spark: SparkSession, path: str) -> Iterator[bytes]:
 
 
 def pipe_to(spark: SparkSession, path: str, out) -> int:
-    return write_pipe(Archive.open(spark, path).pcaps(), out)
+    return write_pipe(Archive.open(spark, path).members, out)
 
 
 def spool_stdin(folder: str) -> str:

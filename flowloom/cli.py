@@ -78,9 +78,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             api.create_archive(spark, path, args.archive, single_file=not args.parquet, secondary_index=not args.no_secondary_index, **how)
         else:
             api.split(spark, path, args.output, output_type=args.output_type, clean=args.clean, **how)
+        if args.verbose:
+            _report(args, spark, path)
     return 0
 
 
+def _report(args, spark: SparkSession, path: str) -> None:
+    """Counters of a run on standard error."""
+    from .operators.filters import PacketFilter
+
+    pkts = api.packets(spark, path, recursive=args.recursive)
+    c = PacketFilter(args.ip, args.port).counters(pkts).first()
+    print(f"strategy {args.strategy}: {c.processed} packets, {c.passed} passed, {c.filtered} filtered out", file=sys.stderr)
+
+
 def _extract(args, spark: SparkSession) -> int:
     if not args.archive:
         raise SystemExit("--archive is needed")
@@ -97,7 +108,7 @@ def _extract(args, spark: SparkSession) -> int:
     else:
         try:
             a.extract_matching(args.output, ips=args.filter_ip, ports=args.filter_port, proto=args.filter_proto)
-        except ValueError as e:
+        except (ValueError, LookupError) as e:
             raise SystemExit(str(e)) from e
     return 0
 

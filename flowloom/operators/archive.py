@@ -69,6 +69,9 @@ class Archive:
     def flows(self) -> DataFrame:
         return self.table.orderBy("flow_id")
 
+    def __repr__(self) -> str:
+        return f"Archive(flows={self.flow_count()}, link_type={self.link_type})"
+
     def flow_count(self) -> int:
         return self.table.count()
 
@@ -121,10 +124,13 @@ class Archive:
         return path
 
     def extract_matching(self, path: str, **how) -> int:
-        """One ``flow_{id}.pcap`` for each flow that meets all filters."""
+        """One ``flow_{id}.pcap`` for each flow that meets all filters; raises ``LookupError`` if none does."""
         from ..sources.sinks import SplitSink
 
         found = self.find(**how)
+        n = found.count()
+        if not n:
+            raise LookupError("no flow matches the filters")
         self.table.sparkSession.dataSource.register(SplitSink)
         os.makedirs(path, exist_ok=True)
         rows = self.members.join(found.select("flow_id"), "flow_id", "left_semi")
@@ -132,7 +138,17 @@ class Archive:
         rows = rows.repartition("name").sortWithinPartitions("name", "pkt_idx", "key_pos")
         rows = rows.select("name", "ts_sec", "ts_usec", "orig_len", "out_link_type", "data")
         rows.write.format("capture_split").mode("append").option("path", path).save()
-        return found.count()
+        return n
+
+
+def flow_repr(r) -> str:
+    """A row of ``flow_properties`` as one line."""
+    return f"Flow(id={r.id}, {r.proto_name} {r.src_addr}:{r.src_port} -> {r.dst_addr}:{r.dst_port}, {r.packet_count} pkts, {r.total_bytes} bytes)"
+
+
+def packet_repr(r) -> str:
+    """A packet row as one line."""
+    return f"Packet(ts={r.ts_sec}.{r.ts_usec:06d}, length={len(r.data)}, orig_len={r.orig_len})"
 
 
 def listing(flows: DataFrame) -> DataFrame:

@@ -55,6 +55,12 @@ def payloads(keyed: DataFrame, bytes_col: str = "l7") -> DataFrame:
     return g.select("file", "key", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("payload"))
 
 
+def payload_sizes(keyed: DataFrame, bytes_col: str = "l7") -> DataFrame:
+    """(file, key, payload_bytes): the length of a group's payload, for groups of any size; without bytes they are left out."""
+    d = keyed.where(F.length(bytes_col) > 0)
+    return d.groupBy("file", "key").agg(F.expr(f"CAST(sum(octet_length({bytes_col})) AS BIGINT) AS payload_bytes"))
+
+
 def index(flows: DataFrame, *columns: str) -> DataFrame:
     """Inverted index: (value, flow_ids) over one or two columns, ids sorted and distinct."""
     e = flows.select(F.explode(F.array_distinct(F.array(*columns))).alias("value"), "flow_id").distinct()

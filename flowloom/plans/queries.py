@@ -11,7 +11,7 @@ from ..api import decoded
 from ..functions.net import ip_literal, ip_sql, ip_text, ip_text_full, lit_binary, mac_text, protocol_name, safe_name, session_order
 from ..operators.archive import flow_properties, listing, listing_lines
 from ..operators.filters import PacketFilter, by_all, by_id, by_ip, by_port, by_protocol
-from ..operators.flows import flow_groups, flow_packets, flow_stats, index, lru_flows, payloads
+from ..operators.flows import flow_groups, flow_packets, flow_stats, index, lru_flows, payload_sizes, payloads
 from ..operators.strategies import Strategy, with_keys
 from ..functions.decode import payload_offset
 from ..sources.archive_file import Entry, count_frames, decode_offsets, encode_offsets
@@ -463,7 +463,7 @@ def payload_concat_hex(spark, sf_dir):
 @query(f"SELECT key, CAST(sum(strlen(payload)) AS BIGINT) AS payload_bytes FROM ({duck_keyed('flow')}) GROUP BY key")
 def payload_lengths(spark, sf_dir):
     keyed = with_keys(event_packets(spark, sf_dir), strategy("flow"))
-    return payloads(keyed).select("key", F.length("payload").cast("bigint").alias("payload_bytes"))
+    return payload_sizes(keyed).select("key", "payload_bytes")
 
 
 _FRAME = "CASE WHEN NOT is_ip THEN 14 ELSE 34 + CASE proto WHEN 6 THEN 20 ELSE 8 END + strlen(payload) END"

@@ -146,12 +146,20 @@ def write_split(keyed: DataFrame, path: str, *, output_type: str = "pcap", clean
     rows.write.format("capture_split").mode("overwrite" if clean else "append").option("path", path).option("type", kind).save()
 
 
-def write_pipe(blobs: DataFrame, out: BinaryIO) -> int:
-    """Length-prefixed PCAPs of the flows in id order, one partition at a time."""
-    n = 0
-    for r in blobs.orderBy("flow_id").toLocalIterator(prefetchPartitions=True):
-        out.write(struct.pack("<Q", len(r.pcap)) + bytes(r.pcap))
-        n += 1
+def write_pipe(members: DataFrame, out: BinaryIO) -> int:
+    """Length-prefixed PCAPs of the flows in id order; returns their number.
+
+    Lengths are summed first, so packets stream one at a time and a flow may
+    have any size.  ``members`` are as for ``pcap_blobs``.
+    """
+    sizes = members.groupBy("flow_id").agg(F.expr("sum(16 + octet_length(data)) + 24 AS size"), F.first("out_link_type").alias("link"))
+    rows = members.join(sizes, "flow_id").orderBy("flow_id", "pkt_idx", "key_pos")
+    n, now = 0, None
+    for r in rows.select("flow_id", "size", "link", "ts_sec", "ts_usec", "orig_len", "data").toLocalIterator(prefetchPartitions=True):
+        if r.flow_id != now:
+            now, n = r.flow_id, n + 1
+            out.write(struct.pack("<Q", r.size) + pcap_header(r.link))
+        out.write(pcap_frame(r.ts_sec, r.ts_usec, r.orig_len, bytes(r.data)))
     return n
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowloom import api
 from flowloom.cli import main
-from flowloom.operators.archive import Archive
+from flowloom.operators.archive import Archive, flow_properties, flow_repr, packet_repr
 from flowloom.operators.filters import PacketFilter
 from flowloom.operators.strategies import Strategy
 from flowloom.sources import archive_file as af
@@ -117,6 +117,11 @@ def test_archive_file(spark, test_pcap, tmp_path, indexed):
     assert api.pipe_to(spark, path, buf) == 2
     buf.seek(0)
     assert list(read_pipe(buf)) == blobs
+    with pytest.raises(LookupError):
+        opened.extract_matching(str(tmp_path / "none"), ports=[9])
+    assert repr(opened) == "Archive(flows=2, link_type=1)"
+    assert "TCP 10.0.0.1:1234 -> 10.0.0.2:80, 2 pkts, 130 bytes)" in flow_repr(flow_properties(opened.get_flow(1)).first())
+    assert packet_repr(opened.packets(1).first()) == "Packet(ts=1000.000000, length=65, orig_len=65)"
     assert opened.extract_matching(str(tmp_path / "ex"), ports=[443]) == 1 and os.listdir(tmp_path / "ex") == ["flow_2.pcap"]
     with open(path, "r+b") as f:
         f.write(b"X")
@@ -162,8 +167,11 @@ def test_cli(spark, test_pcap, tmp_path, capsys):
     assert "TCP" in text and "10.0.0.1" in text
     main(["--mode", "extract", "--archive", arc, "--extract", "1", "-o", out], spark)
     assert (tmp_path / "o" / "flow_1.pcap").stat().st_size == 186
-    with pytest.raises(SystemExit):
-        main(["--mode", "extract", "--archive", arc, "-o", out], spark)
+    for none in ([], ["--filter-port", "9"]):  # no filter, and one that no flow meets
+        with pytest.raises(SystemExit):
+            main(["--mode", "extract", "--archive", arc, "-o", out, *none], spark)
+    assert main(["-r", test_pcap, "-o", out, "-s", "nosplit", "--ip", "10.0.0.1", "-v"], spark) == 0
+    assert "3 packets, 2 passed, 1 filtered out" in capsys.readouterr().err
 
 
 def test_stream(spark, test_pcap, tmp_path):
