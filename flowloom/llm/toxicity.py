@@ -64,16 +64,21 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _train(bits: int, epochs: int):
+def word_features(col: pa.Array, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(texts, text of each feature, coordinate) of every chunk of a text column."""
+    for w in iter_words(col, letters_only=True):
+        yield w.n_docs, *_features(w, bits)
+
+
+def _train(bits: int, epochs: int, features, rates: dict):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("r", "ascending"), ("text", "ascending"), ("y", "ascending")])
         examples = []
-        for w in iter_words(rows.column("text"), letters_only=True):
-            doc, at = _features(w, bits)
+        for n_docs, doc, at in features(rows.column("text").combine_chunks(), bits):
             order = np.argsort(doc, kind="stable")
-            cut = np.searchsorted(doc[order], np.arange(1, w.n_docs))
+            cut = np.searchsorted(doc[order], np.arange(1, n_docs))
             examples += [np.append(np.unique(x), 1 << bits).astype(np.int32) for x in np.split(at[order], cut)]
-        model, labels = Ftrl(1 << bits), rows.column("y").to_numpy()
+        model, labels = Ftrl(1 << bits, **rates), rows.column("y").to_numpy()
         for e in range(epochs):
             for i in np.random.default_rng(e).permutation(len(examples)):
                 model.learn(examples[i], labels[i])
@@ -84,12 +89,12 @@ def _train(bits: int, epochs: int):
     return run
 
 
-def fit(labelled: DataFrame, *, bits: int = BITS, epochs: int = 3) -> dict[int, float]:
+def fit(labelled: DataFrame, *, bits: int = BITS, epochs: int = 3, features=word_features, **rates) -> dict[int, float]:
     """Weights by coordinate, from rows (doc_id, text, y); at most ``2**bits + 1`` of them."""
     rows = labelled.select(
         F.xxhash64("doc_id").alias("r"), F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int").alias("y")
     )
-    learn = _train(bits, epochs)
+    learn = _train(bits, epochs, features, rates)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MAX_TRAIN_BYTES:
         rows = rows.where(F.pmod(F.xxhash64("r", F.lit("bytes")), F.lit(1 << 30)) < int(MAX_TRAIN_BYTES / size * (1 << 30)))
@@ -97,18 +102,19 @@ def fit(labelled: DataFrame, *, bits: int = BITS, epochs: int = 3) -> dict[int,
     return {r["at"]: r["w"] for r in weights.collect()}
 
 
-def _score(bits: int, model):
+def score_batches(bits: int, model, features=word_features):
+    """A map over (doc_id, text[, rest]) batches that adds ``score``; ``model`` is broadcast (coordinates, weights)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros((1 << bits) + 1, np.float32)
         at, w = model.value
         dense[at] = w
         for b in batches:
             out = []
-            for c in iter_words(b.column(1), letters_only=True):
-                doc, at = _features(c, bits)
+            for n_docs, doc, at in features(b.column(1), bits):
                 hit = dense[at] != 0
                 pairs = np.unique(doc[hit] * (1 << bits) + at[hit])  # each feature counts once a text
-                s = np.bincount(pairs >> bits, dense[pairs & ((1 << bits) - 1)], c.n_docs)
+                s = np.bincount(pairs >> bits, dense[pairs & ((1 << bits) - 1)], n_docs)
                 out.append(1 / (1 + np.exp(-np.clip(s + dense[-1], -40, 40))))
             s = np.concatenate(out) if out else np.zeros(0)
             kept = [0] if b.num_columns == 2 else range(b.num_columns)
@@ -119,6 +125,10 @@ def _score(bits: int, model):
     return run
 
 
+def pack(model: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(list(model), np.int64), np.array(list(model.values()), np.float32)
+
+
 def training_sample(labels: DataFrame, max_rows: int) -> DataFrame:
     """All of ``labels`` up to ``max_rows``; beyond, a hash-chosen share of about that size."""
     n = labels.count()
@@ -157,9 +167,9 @@ def score_toxicity(
     sample = training_sample(known, max_train_rows)
     model = fit(src.select("doc_id", "text").join(broadcast_if_small(sample, 4 * max_train_rows), "doc_id"), bits=bits)
     model.setdefault(1 << bits, -1e-6)
-    packed = np.array(list(model), np.int64), np.array(list(model.values()), np.float32)
+    packed = pack(model)
     schema = T.StructType([*(f for f in src.schema.fields if f.name != "text" or extra_columns), T.StructField("score", T.DoubleType())])
-    scored = src.mapInArrow(_score(bits, spark.sparkContext.broadcast(packed)), schema)
+    scored = src.mapInArrow(score_batches(bits, spark.sparkContext.broadcast(packed)), schema)
     return scored.select(
         "doc_id", *row, F.coalesce(rest == held_out_fold, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),

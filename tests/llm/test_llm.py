@@ -246,6 +246,46 @@ def test_quality(spark):
     assert all(x.kept for x in score_quality(docs_of(spark, rows), labels_of(spark, [])).collect())
 
 
+def test_quality_shrinks_by_force(spark):
+    """Host and path means, and posteriors, from the same evidence."""
+    import math
+
+    r = random.Random(6)
+    rows = [(i, "some plain words about nothing " * r.randint(1, 9) + ("#$ 12 @@ " * 20 if i % 5 == 0 else ""), r.choice(["a", "b", "c", None]), r.choice(["x", "y"])) for i in range(200)] + [(None, None, "d", "x")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    got = score_quality(d, labels_of(spark, [(i, int(i % 5 > 0), 0) for i in range(100)])).collect()
+    site = {i: (s or "", p) for i, _, s, p in rows}
+    groups = lambda key: {k: [x.evidence for x in got if key(site[x.doc_id]) == k] for k in {key(site[x.doc_id]) for x in got}}
+    mean = sum(x.evidence for x in got) / len(got)
+
+    def strength(g):
+        between = sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in g.values()) / len(got)
+        return max(1.0, min(1e6, mean * (1 - mean) / max(between - len(g) * mean * (1 - mean) / len(got), 1e-6) - 1))
+
+    hosts, paths = groups(lambda s: s[0]), groups(lambda s: s)
+    a, b = strength(hosts), strength(paths)
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    for x in got:
+        h = hosts[site[x.doc_id][0]]
+        host = (a * mean + sum(h)) / (a + len(h))
+        p = paths[site[x.doc_id]]
+        path = (b * host + sum(p)) / (b + len(p))
+        assert (x.host_mean, x.path_mean) == pytest.approx((host, path))
+        assert x.score == pytest.approx(1 / (1 + math.exp(-(logit(x.evidence) + logit(path) - logit(mean)))))
+    assert [x.kept for x in sorted(got, key=lambda x: x.doc_id or -1)[1:]] == [i % 5 > 0 for i in range(200)]
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    """Classifiers against labels they did not see."""
+    docs = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/labels.parquet")
+    toxic = score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert len(toxic) > 50 and sum(x.predicted == x.toxic for x in toxic) > 0.93 * len(toxic)
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    good = score_quality(docs, labels.where(fold != 0)).join(labels.where(fold == 0), "doc_id").collect()
+    assert sum((x.evidence >= 0.5) == (x.quality == 1) for x in good) > 0.9 * len(good)
+
+
 def test_rollup(spark, tmp_path):
     tok = Tokenizer(spark)
     store = TokenRollup(spark, f"file://{tmp_path}/store")
