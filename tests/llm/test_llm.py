@@ -298,6 +298,67 @@ def test_rollup(spark, tmp_path):
     assert {(r.source, r.lang): (r.docs, r.tokens) for r in store.totals().collect()} == {("b", "en"): (1, 3), (None, "de"): (1, 0)}
 
 
+def _changes(spark, rows):
+    return spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, op string, text string, source string, lang string, tokens int")
+
+
+def test_rollup_by_force(spark, tmp_path, monkeypatch):
+    """Random batches, repeated and compacted, against a recount of what is left."""
+    import tiktoken  # noqa: F401
+
+    from flowloom.llm import rollup
+
+    monkeypatch.setattr(rollup, "COMPACT", 2)
+    r, tok, live = random.Random(7), Tokenizer(spark), {}
+    store = TokenRollup(spark, f"file://{tmp_path}/store")
+    assert store.totals().count() == 0 and store.current().count() == 0
+    for n in range(4):
+        batch = {}
+        for i in r.sample(range(20), 9):
+            op = r.choice(["insert", "revise", "delete"])
+            batch[i] = (i, op, r.choice(["one two", "three", None, ""]), r.choice(["a", "b", None]), "en")
+        assert store.commit(f"b{n}", _changes(spark, list(batch.values()) + list(batch.values())[:2]), tok)
+        assert not store.commit(f"b{n}", _changes(spark, [(99, "insert", "x", "a", "en")]), tok)
+        for i, op, text, source, _ in batch.values():
+            if op == "delete":
+                live.pop(i, None)
+            else:
+                live[i] = (source, {"one two": 2, "three": 1}.get(text, 0))
+        want = {}
+        for source, n_tokens in live.values():
+            d, t = want.get(source, (0, 0))
+            want[source] = (d + 1, t + n_tokens)
+        assert {x.source: (x.docs, x.tokens) for x in store.totals().collect()} == want
+    assert {x.doc_id: (x.source, x.tokens) for x in store.current().collect()} == live
+    assert store.batches() == [f"b{n}" for n in range(4)] and any(e[0] == "state" for e in store._log())
+
+
+def test_rollup_races_and_crashes(spark, tmp_path):
+    tok = Tokenizer(spark)
+    one, two = (TokenRollup(spark, f"file://{tmp_path}/store") for _ in range(2))
+    assert one.commit("0", _changes(spark, [(1, "insert", "one two", "a", "en")]), tok)
+    append, lost = one._append, []
+
+    def late(number, *fields):  # another writer commits between reading the log and writing to it
+        if not lost:
+            lost.append(number)
+            assert two.commit("other", _changes(spark, [(1, "revise", "three", "b", "en")]), tok)
+        return append(number, *fields)
+
+    one._append = late
+    assert one.commit("mine", _changes(spark, [(1, "delete", None, "a", "en")]), tok)
+    assert two.totals().count() == 0 and two.batches() == ["0", "other", "mine"]
+
+    def die(number, *fields):
+        raise KeyboardInterrupt
+
+    one._append = die  # the job is lost after its data, before its log entry
+    with pytest.raises(KeyboardInterrupt):
+        one.commit("again", _changes(spark, [(2, "insert", "three", "a", "en")]), tok)
+    assert two.totals().count() == 0
+    assert two.commit("again", _changes(spark, [(2, "insert", "three", "a", "en")]), tok) and two.totals().first().tokens == 1
+
+
 def test_chroma(spark):
     import numpy as np
 
