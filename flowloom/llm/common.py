@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,23 @@ def discard(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._written)
 
 
+def materialize_only(make, spark: SparkSession, name: str) -> DataFrame:
+    """``materialize(make())`` that deletes every table written on the way, and lets go of the shuffles behind them."""
+    app = spark.sparkContext.applicationId
+    before = set(_written.get(app, ()))
+    out = materialize(make(), name)
+    for path in _written[app] - before - {out._written}:
+        _delete(spark, path)
+    release_shuffles(spark)
+    return out
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries, which it does when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard_all(spark: SparkSession) -> None:
     """Delete every intermediate table of this application; results that were not read yet are lost."""
     for path in list(_written.get(spark.sparkContext.applicationId, ())):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, broadcast_if_small, connected_components, discard, join_hot, list_blocks, materialize
+from .common import bound_batches, broadcast_if_small, connected_components, discard, join_hot, list_blocks, materialize, materialize_only
 from .textops import _LOWER, _SPACE, U64, _chunks, _powers, mix64, text_buffers
 
 TAU = 2
@@ -506,11 +506,12 @@ def line_classes(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
     lines = src.mapInArrow(_scan(tau), "doc_id bigint, line_no int, h bigint, sig bigint, keys array<bigint>")
     lines = materialize(lines, "lines")
     pairs, rows = _candidates(lines, tau)
-    links = materialize(_verified(src, pairs, tau), "linelinks")
-    discard(pairs)
+    links = _verified(src, pairs, tau)
     comps = connected_components(links)
+    discard(pairs, links)
     if rows.limit(1).count() and (more := _open_links(src, rows, comps, tau)):
         comps = connected_components(comps.selectExpr("node AS a", "comp AS b").union(more))
+        discard(more)
     discard(rows)
 
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("n"))
@@ -540,7 +541,10 @@ def _verified(src: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
     texts = _line_texts(src, pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     rows = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     rows = rows.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    return rows.select("a", "b", "line_a", "line_b").mapInArrow(_verify(tau), "a bigint, b bigint").distinct()
+    links = rows.select("a", "b", "line_a", "line_b").mapInArrow(_verify(tau), "a bigint, b bigint").distinct()
+    links = materialize(links, "linelinks")
+    discard(texts)
+    return links
 
 
 def repeated_lines(docs: DataFrame, groups: DataFrame | None = None, **options) -> DataFrame:
@@ -549,15 +553,19 @@ def repeated_lines(docs: DataFrame, groups: DataFrame | None = None, **options)
     ``groups(doc_id, group)`` names documents that count as one, such as proven
     near copies: a line that one of them holds first stays, once, in each.
     """
-    flags = line_classes(docs, **options).where("NOT kept")
-    if groups is not None:
+
+    def flagged() -> DataFrame:
+        flags = line_classes(docs, **options).where("NOT kept")
+        if groups is None:
+            return flags.select("doc_id", "line_no")
         of = lambda c, g: groups.selectExpr(f"doc_id AS {c}", f"group AS {g}")
         flags = flags.join(of("doc_id", "g"), "doc_id", "left").join(of("class_doc", "o"), "class_doc", "left")
         flags = flags.selectExpr("*", "coalesce(g, doc_id) = coalesce(o, class_doc) AND doc_id <> class_doc AS own")
         once = flags.where("own").groupBy("doc_id", "class_doc", "class_line").agg(F.collect_set("line_no").alias("n"))
         once = once.selectExpr("doc_id", "explode(array_except(n, array(array_min(n)))) AS line_no")
-        flags = flags.where("NOT own").select("doc_id", "line_no").union(once)
-    flags = materialize(flags.select("doc_id", "line_no"), "repeated")
+        return flags.where("NOT own").select("doc_id", "line_no").union(once)
+
+    flags = materialize_only(flagged, docs.sparkSession, "repeated")
     small = flags.limit(MAX_BROADCAST_LINES + 1).count() <= MAX_BROADCAST_LINES
     gone = flags.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     return F.broadcast(gone) if small else gone

@@ -195,13 +195,13 @@ def near_duplicates(
         F.col("p.n").alias("n2"), F.col("p.s1").alias("t1"), F.col("p.s2").alias("t2"),
     )
     first = materialize(first.where(_plausible(percent)).select("a", "b").distinct(), "pairs")
-    links = materialize(_linked(src, first, percent, shingle, k), "links")
+    links = _linked(src, first, percent, shingle, k)
     # rows of one id with different texts are one document
     repeated = full.groupBy("doc_id").count().where("count > 1").select("doc_id")
     same_id = full.join(repeated, "doc_id").join(reps.select("d1", "d2", F.col("doc_id").alias("r")), ["d1", "d2"])
     own = same_id.where("doc_id <> r").select(F.col("r").alias("a"), F.col("doc_id").alias("b"))
     comps = connected_components(links)
-    discard(lists, first)
+    discard(lists, first, links)
 
     # second round: members of a list that the first left in different components
     left = shared.where("members > 2").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
@@ -210,11 +210,12 @@ def near_duplicates(
     families = materialize(left.mapInArrow(_families(percent), "a bigint, b bigint").distinct(), "families")
     more = own
     if families.limit(1).count():
-        more = more.union(materialize(_family_links(src, families, comps, percent, shingle), "links"))
+        more = more.union(_family_links(src, families, comps, percent, shingle))
     more = materialize(more, "morelinks")
     discard(shared, families)
     if more.limit(1).count():  # components so far are stars, which say as much as their links
         comps = connected_components(comps.selectExpr("node AS a", "comp AS b").union(more))
+    discard(more)
     return _result(sk, reps, comps)
 
 
@@ -354,14 +355,16 @@ def _family_links(src: DataFrame, families: DataFrame, comps: DataFrame, percent
     members = members.withColumn("comp", F.coalesce("comp", "doc"))
     ids = broadcast_if_small(members.select(F.col("doc").alias("doc_id")), MAX_BROADCAST_IDS)
     grams = src.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc bigint, grams binary")
-    rows = materialize(members.join(grams, "doc"), "familysets")
+    sets = rows = materialize(members.join(grams, "doc"), "familysets")
     sizes = rows.groupBy("family").agg(
         F.expr(f"ceil(greatest(count(1) / {FAMILY_BLOCK}, sum(octet_length(grams)) / {FAMILY_BYTES})) AS blocks")
     )
     rows = list_blocks(rows.join(broadcast_if_small(sizes, MAX_BROADCAST_IDS), "family"), "family", "doc", "blocks")
     rows = rows.select("pair", "doc", "comp", "grams", "side")
     compare = _compare(percent)
-    return rows.groupBy("pair").applyInArrow(lambda t: compare(t), "a bigint, b bigint").distinct()
+    links = materialize(rows.groupBy("pair").applyInArrow(lambda t: compare(t), "a bigint, b bigint").distinct(), "familylinks")
+    discard(sets)
+    return links
 
 
 def _ranked(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -382,11 +385,13 @@ def _ranked(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         total, least = total + n, b
     if least is None:
+        discard(counts)
         return np.zeros(0, U64), np.zeros(0, np.int64)
     got = counts.where(F.floor(F.log2("count") * 4) >= least).toArrow()
     v = np.frombuffer(b"".join(got.column("v").to_pylist()), U64)
     c = got.column("count").to_numpy()
     order = np.argsort(v)
+    discard(counts)
     return v[order], c[order]
 
 
@@ -402,7 +407,9 @@ def _linked(src: DataFrame, pairs: DataFrame, percent: int, shingle: int, k: int
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(_verify(percent, shingle, k), "a bigint, b bigint").distinct()
+    links = materialize(rows.mapInArrow(_verify(percent, shingle, k), "a bigint, b bigint").distinct(), "links")
+    discard(texts)
+    return links
 
 
 def _result(sk: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
