@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import broadcast_if_small, discard, materialize, table
+from flowloom.llm.common import broadcast_if_small, discard, materialize, materialize_only, table
 from flowloom.llm.decontaminate import find_leaks
 from flowloom.llm.linededup import drop_repeated_lines
 from flowloom.llm.minhash import near_duplicates
@@ -41,8 +41,8 @@ def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents without an id are not compared; all rows stay, and a text of
     repeated lines only becomes empty.
     """
-    near = near_duplicates(docs, shingle=5, percent=80).where("doc_id <> component_id")
-    copies = materialize(near.selectExpr("doc_id", "component_id AS group").distinct(), "copies")
+    near = lambda: near_duplicates(docs, shingle=5, percent=80).where("doc_id <> component_id")
+    copies = materialize_only(lambda: near().selectExpr("doc_id", "component_id AS group").distinct(), spark, "copies")
     out = drop_repeated_lines(docs, broadcast_if_small(copies, MAX_BROADCAST_IDS))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -55,7 +55,7 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat an id the one with the smallest text stays (null last).  Null and
     empty texts are copies of nothing; rows without an id stay.
     """
-    found = materialize(near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "near")
+    found = materialize_only(lambda: near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), spark, "near")
     gone = found.where("NOT kept").select("doc_id").distinct()
     repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.join(broadcast_if_small(gone, MAX_BROADCAST_IDS), "doc_id", "left_anti")
@@ -94,5 +94,5 @@ def run(spark, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each reads what its predecessor wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize_only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
