@@ -44,7 +44,7 @@ def features(col: pa.Array, bits: int) -> Iterator[tuple[int, np.ndarray, np.nda
         capital, digit = (raw >= 65) & (raw <= 90), (raw >= 48) & (raw <= 57)
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         symbol = (raw > 32) & (raw < 127) & ~capital & ~digit & ~((raw >= 97) & (raw <= 122))
-        distinct = lambda doc, h, n=w.n_docs: np.bincount(np.unique(np.stack([doc.astype(U64), h]), axis=1)[0].astype(np.int64), minlength=n)
+        distinct = lambda doc, h, n=w.n_docs: np.bincount(doc[np.unique(mix64(h ^ mix64(doc.astype(U64))), return_index=True)[1]], minlength=n)
         near = w.doc[:-1] == w.doc[1:]
         pairs = mix64(w.hash[:-1][near] + w.hash[1:][near] * U64(3))
         shape = [
