@@ -1,18 +1,22 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-Symbols are the 254 most frequent training words, the end of a text, and one
-symbol for all other words; 16 frequency classes of 16 symbols factor the
-softmax: P(symbol | history) = P(class | history) * P(symbol | class, history).
-Both factors are log-linear in hashed features of the history: the last word
-(bigram), the word before it (skip), and both (trigram).  A word behind the
-"other" symbol has its add-one share of that symbol's training tokens, so the
-model covers every word.
-
-All training tokens count: they are summed to a table (history, symbol, count)
-of at most 257 * 257 * 256 rows, and each gradient round is a distributed pass
-over that table, summed by feature row; the driver only applies the update to
-the bounded weights.  Scoring runs in numpy batches that evaluate each distinct
-history of a chunk once.
+Symbols are all training words counted ``MIN_COUNT`` times or more (up to
+``MAX_WORDS``, the bound of what is broadcast), the end of a text, and one
+symbol for the words left.  Ranked by count they form nested classes of 16, so
+the softmax is a product of one factor a level: P(class), P(subclass | class),
+..., each over 16 places and log-linear in hashed features of the history: the
+last word (bigram), the word before it (skip), and both (trigram).  A word
+behind the last symbol has its add-one share of that symbol's training tokens,
+so the model covers every word.
+
+All training tokens count.  They are summed to a table of distinct n-grams,
+which grows with the corpus, and each gradient round is a distributed pass over
+it.  The number of weight rows grows with the training tokens up to
+``MAX_ROWS``.  Bigram and trigram rows lie in a window that belongs to the last
+word, wider for frequent words, and the n-grams are dealt by that window: a
+task touches its own rows only, so a round's traffic is about the size of the
+model and not that of the model times the tasks.  N-grams of frequent words are
+dealt apart.  The driver only holds the bounded weights.
 
 Counts of the vocabulary are exact.  Frequent words travel to the executors in
 a table of fixed size; the others, whose counts are small, are joined.
@@ -28,19 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, discard, materialize, release_shuffles
 from .textops import U64, Words, iter_words, mix64
 
-N_CLASS = 16
 WIDTH = 16
-N_SYMBOL = N_CLASS * WIDTH
-END, OTHER, BEGIN = N_SYMBOL - 2, N_SYMBOL - 1, N_SYMBOL
-N_HISTORY = N_SYMBOL + 1
+BITS = 20  # of a symbol in an n-gram's key
 END_HASH = -7046029254386353131  # stands for the end among the word hashes
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 16
+MIN_COUNT, MAX_WORDS = 4, 1 << 18
+REGIONS = 256
+SKIP_ROWS, MIN_ROWS, MAX_ROWS, TOKENS_A_ROW = 1 << 14, 1 << 14, 1 << 19, 128
 SLOTS = 1 << 20
 MAX_TABLE_WORDS = 300_000
 _BUFFER = 1 << 22
+_STEP = 1 << 16
 
 
 def _with_ends(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,13 +88,13 @@ class Table:
         return (x & U64(SLOTS - 1)).astype(np.int64), (x >> U64(44)).astype(np.int64)
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, symbols: dict[int, int]) -> Table:
-        t = cls(np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), np.full(SLOTS, OTHER, np.int16))
+    def build(cls, words: np.ndarray, counts: np.ndarray, symbols: dict[int, int], other: int) -> Table:
+        t = cls(np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), np.full(SLOTS, other, np.int32))
         taken = np.zeros(SLOTS, bool)
         for w, c, *at in zip(words.tolist(), counts.tolist(), *(s.tolist() for s in cls.slots(words)), strict=True):
             for s in at:
                 if not taken[s]:
-                    taken[s], t.key[s], t.count[s], t.symbol[s] = True, w, c, symbols.get(w, OTHER)
+                    taken[s], t.key[s], t.count[s], t.symbol[s] = True, w, c, symbols.get(w, other)
                     break
         t.count[~taken] = -1
         return t
@@ -102,31 +106,33 @@ class Table:
         return np.where(in_a, a, np.where(in_b, b, -1))
 
 
-def _symbols(t: Table, w: Words) -> tuple[np.ndarray, ...]:
-    """Hashes, texts, offsets, slots, symbols and histories of the tokens of a chunk."""
+def _symbols(t: Table, w: Words, other: int) -> tuple[np.ndarray, ...]:
+    """Hashes, texts, offsets, slots, symbols, and last and last but one symbols of the tokens of a chunk."""
     h, doc, bounds = _with_ends(w)
     slot = t.find(h)
-    sym = np.where(slot >= 0, t.symbol[slot], OTHER).astype(np.int64)
+    sym = np.where(slot >= 0, t.symbol[slot], other).astype(np.int64)
     back = []
     for k in (1, 2):
-        prev = np.full(len(sym), BEGIN)
-        prev[k:] = np.where(doc[k:] == doc[:-k], sym[:-k], BEGIN)
+        prev = np.full(len(sym), other + 1)
+        prev[k:] = np.where(doc[k:] == doc[:-k], sym[:-k], other + 1)
         back.append(prev)
-    return h, doc, bounds, slot, sym, back[1] * N_HISTORY + back[0]
+    return h, doc, bounds, slot, sym, back[0], back[1]
 
 
-def _ngrams(table):
+def _ngrams(table, model):
+    """Texts -> counted keys of n-grams, and the part each is dealt to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, t = [], 0, Table(*table.value)
+        held, n, t, m = [], 0, Table(*table.value), Model(*model.value)
 
         def flush():
             k, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(c)], names=["k", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(m.parts(k)), pa.array(k), pa.array(c)], names=["part", "k", "c"])
 
         for b in batches:
             for w in iter_words(b.column(0)):
-                *_, sym, hist = _symbols(t, w)
-                held.append((hist * N_SYMBOL + sym).astype(np.int32))
+                *_, sym, h1, h2 = _symbols(t, w, m.other)
+                held.append((h2 << 2 * BITS) | (h1 << BITS) | sym)
                 n += len(sym)
                 if n > _BUFFER:
                     yield flush()
@@ -137,14 +143,6 @@ def _ngrams(table):
     return run
 
 
-def _rows(hist: np.ndarray, salt: np.ndarray | int, size: int) -> list[np.ndarray]:
-    """Weight rows of the three features of each history."""
-    h2, h1 = np.divmod(hist.astype(U64), U64(N_HISTORY))
-    s = np.asarray(salt).astype(U64) << U64(40)
-    keys = (h1 | s, h2 | s | U64(1 << 20), hist.astype(U64) | s | U64(2 << 20))
-    return [(mix64(k + U64(0x632BE59BD9B4E019)) & U64(size - 1)).astype(np.int64) for k in keys]
-
-
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(1, keepdims=True)
     return x - np.log(np.exp(x).sum(1, keepdims=True))
@@ -152,24 +150,81 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    class_bias: np.ndarray
-    word_bias: np.ndarray  # by class and place in the class
-    class_w: np.ndarray
-    word_w: np.ndarray
+    """Weights of a model over symbols ``0 .. other``; ``other + 1`` stands before a text.
 
-    def classes(self, hist: np.ndarray) -> np.ndarray:
-        return _log_softmax(sum(self.class_w[r] for r in _rows(hist, 0, CLASS_ROWS)) + self.class_bias)
+    ``bias`` has a row a node of the class tree, level by level; ``weight`` has
+    the rows of the last words' windows and then the skip rows.
+    """
 
-    def words(self, hist: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        return _log_softmax(sum(self.word_w[r] for r in _rows(hist, cls + 1, WORD_ROWS)) + self.word_bias[cls])
+    count: np.ndarray  # of each symbol and of the one before a text
+    bias: np.ndarray
+    weight: np.ndarray
 
-    def log_prob(self, hist: np.ndarray, sym: np.ndarray) -> np.ndarray:
-        """Natural log of P(sym | hist); each distinct history is evaluated once."""
-        cls = sym // WIDTH
-        u, back = np.unique(hist * N_CLASS + cls, return_inverse=True)
-        hu, hb = np.unique(u // N_CLASS, return_inverse=True)
-        c = self.classes(hu)[hb, u % N_CLASS]
-        return (c[back] + self.words(u // N_CLASS, u % N_CLASS)[back, sym % WIDTH]).astype(np.float64)
+    @classmethod
+    def new(cls, counts: np.ndarray, texts: int, rows: int) -> Model:
+        """Untrained model of symbols with these counts, which gives each its share of them."""
+        depth = 1
+        while WIDTH**depth < len(counts):
+            depth += 1
+        leaves = np.zeros(WIDTH**depth)
+        leaves[: len(counts)] = counts
+        bias = []
+        for level in range(depth):
+            n = leaves.reshape(WIDTH**level, WIDTH, -1).sum(2)
+            share = n / np.maximum(1e-9, n.sum(1, keepdims=True))
+            bias.append(np.where(share > 0, np.log(np.maximum(share, 1e-30)), -30.0).astype(np.float32))
+        weight = np.zeros((rows + SKIP_ROWS, WIDTH), np.float32)
+        return cls(np.append(counts, texts).astype(np.float64), np.concatenate(bias), weight)
+
+    def __post_init__(self):
+        self.other = len(self.count) - 2
+        self.n_rows = len(self.weight) - SKIP_ROWS
+        self.depth = 1
+        while WIDTH**self.depth <= self.other:
+            self.depth += 1
+        share = self.count / max(1.0, self.count.sum())
+        least = self.n_rows // REGIONS
+        wide = np.maximum(least, 2.0 ** np.ceil(np.log2(np.maximum(share * self.n_rows, 1))))
+        self.window = wide.astype(np.int64) - 1
+        self.region = (mix64(np.arange(len(share)).astype(U64)) % U64(REGIONS)).astype(np.int64)
+        self.spread = 1 + (share * 128).astype(np.int64)
+
+    def parts(self, k: np.ndarray) -> np.ndarray:
+        """Part of each n-gram: the region of its last word, and a share of it for frequent words."""
+        h1 = (k >> BITS) & ((1 << BITS) - 1)
+        salt = (mix64(k.astype(U64)) >> U64(8)).astype(np.int64) % self.spread[h1]
+        return (self.region[h1] * 256 + salt).astype(np.int32)
+
+    def levels(self, sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Node of the class tree and place in it, by level."""
+        first = 0
+        for level in range(self.depth):
+            above = sym // WIDTH ** (self.depth - level)
+            yield first + above, sym // WIDTH ** (self.depth - level - 1) % WIDTH
+            first += WIDTH**level
+
+    def rows(self, h1: np.ndarray, h2: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Weight rows of the three features of a history at a node."""
+        at = node.astype(U64) << U64(40)
+        one, two = h1.astype(U64), h2.astype(U64)
+        place = self.region[h1] * (self.n_rows // REGIONS), self.window[h1]
+        in_window = lambda x: (place[0] + (mix64(x).astype(np.int64) & place[1])) & (self.n_rows - 1)
+        skip = mix64(at | two | U64(1 << 39)) & U64(SKIP_ROWS - 1)
+        return in_window(at | one), in_window(mix64(at | one) ^ two), skip.astype(np.int64) + self.n_rows
+
+    def factor(self, rows: tuple[np.ndarray, ...], node: np.ndarray) -> np.ndarray:
+        """Log probability of the 16 places of a node."""
+        return _log_softmax(self.weight[rows[0]] + self.weight[rows[1]] + self.weight[rows[2]] + self.bias[node])
+
+    def log_prob(self, h1: np.ndarray, h2: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """Natural log of P(sym | h2 h1), in bounded steps."""
+        out = np.zeros(len(sym))
+        for i in range(0, len(sym), _STEP):
+            s = slice(i, i + _STEP)
+            for node, place in self.levels(sym[s]):
+                p = self.factor(self.rows(h1[s], h2[s], node), node)
+                out[s] += p[np.arange(len(place)), place]
+        return out
 
 
 def _parts(x: Table | Model) -> tuple[np.ndarray, ...]:
@@ -177,43 +232,37 @@ def _parts(x: Table | Model) -> tuple[np.ndarray, ...]:
     return tuple(getattr(x, f.name) for f in fields(x))
 
 
+_NAMES = [f"g{i}" for i in range(2 * WIDTH)]
+
+
 def _gradient(model):
-    """First and second derivatives by weight row, of a batch of (hist, symbols, counts)."""
+    """N-grams (k, c) -> first and second derivatives by weight row, summed over the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*model.value)
+        sums = np.zeros((len(m.weight), 2 * WIDTH), np.float32)
+        touched = np.zeros(len(m.weight), bool)
+        cells = np.arange(2 * WIDTH)
         for b in batches:
-            hist = b.column(0).to_numpy().astype(np.int64)
-            lists = b.column(1)
-            size = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten()
-            seen = np.zeros((len(hist), N_SYMBOL))
-            np.add.at(seen, (np.repeat(np.arange(len(hist)), size), flat.field(0).to_numpy()), flat.field(1).to_numpy())
-            rows, first, second = [], [], []
-
-            def add(at, offset, n, log_p, rows=rows, first=first, second=second):
-                p, total = np.exp(log_p), n.sum(1, keepdims=True)
-                g, h = n - total * p, total * p * (1 - p)
-                for r in at:
-                    order = np.argsort(r, kind="stable")
-                    ids, cut = np.unique(r[order], return_index=True)
-                    rows.append(ids + offset)
-                    first.append(np.add.reduceat(g[order], cut))
-                    second.append(np.add.reduceat(h[order], cut))
-
-            by_class = seen.reshape(-1, N_CLASS, WIDTH)
-            if len(hist):
-                add(_rows(hist, 0, CLASS_ROWS), 0, by_class.sum(2), m.classes(hist))
-                for c in range(N_CLASS):
-                    some = np.flatnonzero(by_class[:, c].sum(1))
-                    if len(some):
-                        cls = np.full(len(some), c)
-                        add(_rows(hist[some], cls + 1, WORD_ROWS), CLASS_ROWS, by_class[some, c], m.words(hist[some], cls))
-                both = np.concatenate([np.concatenate(first), np.concatenate(second)], 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(rows))] + [pa.array(both[:, i]) for i in range(2 * WIDTH)],
-                    names=["r"] + [f"g{i}" for i in range(2 * WIDTH)],
-                )
+            key, count = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float32)
+            for i in range(0, len(key), _STEP):
+                k, c = key[i : i + _STEP], count[i : i + _STEP, None]
+                mask = (1 << BITS) - 1
+                h1, h2, n = (k >> BITS) & mask, k >> 2 * BITS, np.arange(len(k))
+                for node, place in m.levels(k & mask):
+                    rows = m.rows(h1, h2, node)
+                    p = np.exp(m.factor(rows, node))
+                    d = np.concatenate([-c * p, c * p * (1 - p)], 1)
+                    d[n, place] += c[:, 0]
+                    for r in rows:
+                        u, back = np.unique(r, return_inverse=True)
+                        flat = (back[:, None] * (2 * WIDTH) + cells).ravel()
+                        sums[u] += np.bincount(flat, d.ravel(), len(u) * 2 * WIDTH).reshape(-1, 2 * WIDTH)
+                        touched[u] = True
+        at = np.flatnonzero(touched)
+        for i in range(0, len(at), 1 << 14):
+            r = at[i : i + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(r), *(pa.array(x) for x in sums[r].T.copy())], names=["r", *_NAMES])
 
     return run
 
@@ -222,45 +271,39 @@ def _update(model, prior: float):
     """Rows (r, summed derivatives) -> (r, new weights), which is all that travels to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*model.value)
-        old = np.concatenate([m.class_w, m.word_w])
+        old = Model(*model.value).weight
         for b in batches:
             d = np.stack([b.column(1 + i).to_numpy() for i in range(2 * WIDTH)], 1)
             w = old[b.column(0).to_numpy()].astype(np.float64)
             w += np.clip((d[:, :WIDTH] - prior * w) / (d[:, WIDTH:] + prior) / 3, -2, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0)] + [pa.array(w[:, i].astype(np.float32)) for i in range(WIDTH)], names=["r"] + [f"g{i}" for i in range(WIDTH)]
+                [b.column(0)] + [pa.array(w[:, i].astype(np.float32)) for i in range(WIDTH)], names=["r", *_NAMES[:WIDTH]]
             )
 
     return run
 
 
-def fit(ngrams: DataFrame, *, rounds: int = 6, prior: float = 2.0) -> Model:
-    """Model from rows (hist, s: array<struct<symbol, count>>): ``rounds`` distributed gradient passes.
+def fit(ngrams: DataFrame, m: Model, *, rounds: int = 5, prior: float = 2.0) -> Model:
+    """``m`` trained on n-grams (k, c): ``rounds`` distributed gradient passes.
 
     Each pass sums first and second derivatives by weight; the update is their
     ratio with a Gaussian prior, a third of it as three features share a history.
     """
     spark = ngrams.sparkSession
-    seen = np.zeros(N_SYMBOL)
-    for r in ngrams.select(F.inline("s")).groupBy("sym").agg(F.sum("c")).collect():
-        seen[r[0]] = r[1]
-    by_class = seen.reshape(N_CLASS, WIDTH)
-    bias = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-9)), -30.0)
-    m = Model(bias(by_class.sum(1) / max(1, seen.sum())), bias(by_class / np.maximum(1, by_class.sum(1, keepdims=True))), np.zeros((CLASS_ROWS, N_CLASS), np.float32), np.zeros((WORD_ROWS, WIDTH), np.float32))
-    names = [f"g{i}" for i in range(2 * WIDTH)]
-    schema = "r bigint, " + ", ".join(f"{x} double" for x in names)
-    new = "r bigint, " + ", ".join(f"{x} float" for x in names[:WIDTH])
+    grads = "r bigint, " + ", ".join(f"{x} float" for x in _NAMES)
+    new = "r bigint, " + ", ".join(f"{x} float" for x in _NAMES[:WIDTH])
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(_parts(m))
-        sums = ngrams.mapInArrow(_gradient(sent), schema).groupBy("r").agg(*(F.sum(x).alias(x) for x in names))
+        sums = ngrams.mapInArrow(_gradient(sent), grads).groupBy("r").agg(*(F.sum(x).alias(x) for x in _NAMES))
         got = sums.mapInArrow(_update(sent, prior), new).toArrow()
+        sent.unpersist()
         if not got.num_rows:
             break
-        w = np.concatenate([m.class_w, m.word_w])
-        w[got.column("r").to_numpy()] = np.stack([got.column(x).to_numpy() for x in names[:WIDTH]], 1)
-        m = Model(m.class_bias, m.word_bias, w[:CLASS_ROWS], w[CLASS_ROWS:])
-        sent.unpersist()
+        weight = m.weight.copy()
+        weight[got.column("r").to_numpy()] = np.stack([got.column(x).to_numpy() for x in _NAMES[:WIDTH]], 1)
+        m = Model(m.count, m.bias, weight)
+        del got, sums
+        release_shuffles(spark)
     return m
 
 
@@ -274,10 +317,10 @@ def _score(table, model, log_n: float, log_other: float):
             cols: list[list] = [[], [], [], [], []]
             rare, cuts = [], [np.zeros(1, np.int64)]
             for w in iter_words(b.column(1)):
-                h, doc, bounds, slot, sym, hist = _symbols(t, w)
+                h, doc, bounds, slot, sym, h1, h2 = _symbols(t, w, m.other)
                 found = slot >= 0
                 log_c = np.where(found, logs[slot], 0.0)
-                s = m.log_prob(hist, sym) / ln10 + np.where(sym == OTHER, log_c - log_other, 0.0)
+                s = m.log_prob(h1, h2, sym) / ln10 + np.where(sym == m.other, log_c - log_other, 0.0)
                 add = lambda x: np.bincount(doc, x, w.n_docs)  # noqa: E731, B023
                 n = np.diff(bounds)
                 for c, x in zip(cols, (n, add(found), add(log_c) - n * log_n, add(s)), strict=False):
@@ -296,7 +339,7 @@ def _score(table, model, log_n: float, log_other: float):
     return run
 
 
-def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, rounds: int = 6) -> DataFrame:
+def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, rounds: int = 5) -> DataFrame:
     """Row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts whose ``crc32(doc_id) % fold`` is not ``held_out_fold`` teach the
@@ -306,6 +349,7 @@ def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, round
     An empty table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(fold))
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = src.where(rest != held_out_fold).select("text")
@@ -313,18 +357,25 @@ def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, round
     vocab = train.mapInArrow(_count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     vocab = materialize(vocab, "vocabulary")
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("h")).first()
-    words, counts, tops = _frequent(vocab)
-    symbols = {w: i for i, w in enumerate(tops)} | {END_HASH: END}
-    table = Table.build(words, counts, symbols)
-    hot = {w: c for w, c in zip(words.tolist(), counts.tolist(), strict=True) if w in symbols}
+    release_shuffles(spark)
+    words, counts = _frequent(vocab)
+    n_sym = min(int((counts >= MIN_COUNT).sum()), MAX_WORDS)
+    symbols = {w: i for i, w in enumerate(words[:n_sym].tolist())}
+    table = Table.build(words, counts, symbols, n_sym)
+    other = total - int(counts[:n_sym].sum())
     log_n = float(np.log10(total + distinct + 1))
-    log_other = float(np.log10(total - sum(hot.values()) + distinct - len(hot) + 1))
-    sent = spark.sparkContext.broadcast(_parts(table))
-
-    grams = train.mapInArrow(_ngrams(sent), "k int, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
-    grams = grams.select(F.expr(f"k div {N_SYMBOL}").cast("int").alias("hist"), F.struct((F.col("k") % N_SYMBOL).alias("sym"), "c").alias("s"))
-    grams = materialize(grams.groupBy("hist").agg(F.collect_list("s").alias("s")), "ngrams")  # 256 at most in a list
-    model = fit(grams, rounds=rounds)
+    log_other = float(np.log10(other + distinct - n_sym + 1))
+    rows = min(max(MIN_ROWS, 1 << (total // TOKENS_A_ROW).bit_length()), MAX_ROWS)
+    texts = int(counts[words == END_HASH].sum())
+    model = Model.new(np.append(counts[:n_sym], other + distinct - n_sym + 1), texts, rows)
+    sent, blank = spark.sparkContext.broadcast(_parts(table)), spark.sparkContext.broadcast(_parts(model))
+
+    grams = train.mapInArrow(_ngrams(sent, blank), "part int, k bigint, c bigint")
+    grams = materialize(grams.repartition("part").groupBy("part", "k").agg(F.sum("c").alias("c")).select("k", "c"), "ngrams")
+    blank.unpersist()
+    release_shuffles(spark)
+    model = fit(grams, model, rounds=rounds)
+    discard(grams)
 
     part = "doc_id bigint, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"
     scored = src.mapInArrow(_score(sent, spark.sparkContext.broadcast(_parts(model)), log_n, log_other), part)
@@ -340,8 +391,8 @@ def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, round
     )
 
 
-def _frequent(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """The words above a count that at most ``MAX_TABLE_WORDS`` words reach, by falling count, and the symbols among them."""
+def _frequent(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The words above a count that at most ``MAX_TABLE_WORDS`` words reach, and the end, with counts, by falling count."""
     band = F.floor(F.log2("c") * 8)
     sizes = vocab.groupBy(band.alias("b")).count().orderBy(F.desc("b")).collect()
     n, least = 0, None
@@ -353,5 +404,4 @@ def _frequent(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
     got = got.toArrow()
     words, counts = got.column("h").to_numpy(), got.column("c").to_numpy()
     order = np.lexsort((words, -counts))
-    words, counts = words[order], counts[order]
-    return words, counts, [w for w in words.tolist() if w != END_HASH][: N_SYMBOL - 2]
+    return words[order], counts[order]

@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,15 +129,84 @@ def test_language_model(spark, texts):
 
 
 def test_probabilities_sum_to_one():
-    import numpy as np
-
     from flowloom.llm import maxent as m
 
     r = np.random.default_rng(0)
-    model = m.Model(r.normal(size=16), r.normal(size=(16, 16)), r.normal(size=(m.CLASS_ROWS, 16)), r.normal(size=(m.WORD_ROWS, 16)))
-    hist = np.repeat(r.integers(0, m.N_HISTORY**2, 5), m.N_SYMBOL)
-    p = np.exp(model.log_prob(hist, np.tile(np.arange(m.N_SYMBOL), 5)))
-    assert np.allclose(p.reshape(5, -1).sum(1), 1)
+    model = m.Model.new(np.append(r.integers(4, 90, 999), 500), 40, m.MIN_ROWS)
+    model.weight[:] = r.normal(size=model.weight.shape)
+    assert model.depth == 3
+    h1, h2 = np.repeat(r.integers(0, 1001, (2, 5)), 1000, axis=1)
+    p = np.exp(model.log_prob(h1, h2, np.tile(np.arange(1000), 5)))
+    assert np.allclose(p.reshape(5, -1).sum(1), 1, atol=1e-5)
+
+
+def test_lm_untrained_is_unigram():
+    from flowloom.llm import maxent as m
+
+    counts = np.array([50, 30, 9, 4, 7])
+    p = np.exp(m.Model.new(counts, 3, m.MIN_ROWS).log_prob(np.full(5, 5), np.full(5, 5), np.arange(5)))
+    assert np.allclose(p, counts / 100, atol=1e-6)
+
+
+def test_lm_gradient_brute_force():
+    from flowloom.llm import maxent as m
+
+    r = np.random.default_rng(2)
+    model = m.Model.new(np.append(r.integers(4, 90, 299), 500), 40, m.MIN_ROWS)
+    model.weight[:] = r.normal(size=model.weight.shape) / 4
+    h1, h2, sym = r.integers(0, 301, (2, 40)).tolist() + [r.integers(0, 300, 40)]
+    h1, h2, c = np.array(h1), np.array(h2), r.integers(1, 5, 40)
+
+    class Sent:
+        value = m._parts(model)
+
+    key = (h2 << 2 * m.BITS) | (h1 << m.BITS) | sym
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["k", "c"])
+    got = {row: [b.column(1 + j)[i].as_py() for j in range(m.WIDTH)] for b in m._gradient(Sent)(iter([batch])) for i, row in enumerate(b.column(0).to_pylist())}
+    for row in list(got)[:: max(1, len(got) // 12)]:
+        for j in (0, 7, 15):
+            sides = []
+            for step in (0.05, -0.05):
+                w = model.weight.astype(np.float64)
+                w[row, j] += step
+                sides.append((c * m.Model(model.count, model.bias, w).log_prob(h1, h2, sym)).sum())
+            assert abs((sides[0] - sides[1]) / 0.1 - got[row][j]) < 0.02
+
+
+def test_lm_parts_split_frequent_words():
+    from flowloom.llm import maxent as m
+
+    model = m.Model.new(np.append(np.full(2000, 10), 30_000), 5, m.MIN_ROWS)
+    sym = np.arange(2001)
+    hot, cold = (model.parts((sym << 2 * m.BITS) | (h << m.BITS) | sym) for h in (2000, 3))
+    assert len(set(hot.tolist())) > 50 and len(set(cold.tolist())) == 1
+
+
+def test_lm_vocabulary_grows(spark, monkeypatch):
+    from flowloom.llm import maxent as m
+
+    sizes = []
+    new = m.Model.new.__func__
+    monkeypatch.setattr(m.Model, "new", classmethod(lambda cls, c, *a: (sizes.append(len(c)), new(cls, c, *a))[1]))
+    for n in (30, 600):
+        texts = [(i, " ".join(f"w{(i * 7 + j) % n}" for j in range(40))) for i in range(n)]
+        score_texts(docs_of(spark, texts), rounds=1).collect()
+    assert sizes[1] > 15 * sizes[0] > 0
+
+
+def test_lm_learns_words_behind_the_first_hundreds(spark):
+    r = random.Random(5)
+    follow = {i: r.randrange(900) for i in range(900)}
+    texts = []
+    for d in range(400):
+        w = r.randrange(900)
+        words = []
+        for _ in range(40):
+            words.append(f"w{w}")
+            w = follow[w] if r.random() < 0.9 else r.randrange(900)
+        texts.append((d, " ".join(words)))
+    held = [x for x in score_texts(docs_of(spark, texts), rounds=8).collect() if x.held_out]
+    assert held and sum(x.score for x in held) > 0.8 * sum(x.base_score for x in held)
 
 
 def test_toxicity(spark):
@@ -215,8 +286,6 @@ def test_mixing(spark):
 
 def test_rates_meet_a_target_of_zero(spark):
     """Soft posteriors and no toxic tokens wanted: the misses are within the tolerance, or the least there are and stated."""
-    import numpy as np
-
     from flowloom.llm.mixing import fit_rates
 
     for sharp, met in ((4, True), (0.5, False)):
@@ -360,8 +429,6 @@ def test_rollup_races_and_crashes(spark, tmp_path):
 
 
 def test_chroma(spark):
-    import numpy as np
-
     r = np.random.default_rng(1)
     song = lambda: np.concatenate([9000 * np.sin(2 * np.pi * 440 * 2 ** (k / 12) * np.arange(250) / 4000) for k in r.integers(-20, 20, 64)])
     a, b = song(), song()
@@ -375,8 +442,6 @@ def test_chroma(spark):
 
 def test_chroma_recall(spark):
     """Against all offsets of all pairs: noisy and shifted copies are found at the recall asked of an index."""
-    import numpy as np
-
     from flowloom.llm.chroma import MAX_ERROR, MIN_OVERLAP, align, fingerprint
 
     g = np.random.default_rng(2)
