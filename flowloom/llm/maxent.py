@@ -2,16 +2,19 @@
 
 Symbols are all training words counted ``MIN_COUNT`` times or more (up to
 ``MAX_WORDS``, the bound of what is broadcast), the end of a text, and one
-symbol for the words left.  Ranked by count they form nested classes of 16, so
-the softmax is a product of one factor a level: P(class), P(subclass | class),
-..., each over 16 places and log-linear in hashed features of the history: the
-last word (bigram), the word before it (skip), and both (trigram).  A word
+symbol for the words left.  Ranked by count they form nested classes of 16,
+fewer levels deep for frequent words, so the softmax is a product of a factor a
+level: P(class), P(subclass | class), ..., each over 16 places and log-linear in
+hashed features of the history: the last word (bigram), the word before it
+(skip), and both (trigram).  A word
 behind the last symbol has its add-one share of that symbol's training tokens,
 so the model covers every word.
 
 All training tokens count.  They are summed to a table of distinct n-grams,
-which grows with the corpus, and each gradient round is a distributed pass over
-it.  The number of weight rows grows with the training tokens up to
+which grows with the corpus and is dealt into blocks by hash.  Each gradient
+round is a distributed pass over one block, and all blocks are passed once; a
+weight's step is its summed derivative over the second derivatives of all rounds
+so far.  The number of weight rows grows with the training tokens up to
 ``MAX_ROWS``.  Bigram and trigram rows lie in a window that belongs to the last
 word, wider for frequent words, and the n-grams are dealt by that window: a
 task touches its own rows only, so a round's traffic is about the size of the
@@ -40,11 +43,13 @@ BITS = 20  # of a symbol in an n-gram's key
 END_HASH = -7046029254386353131  # stands for the end among the word hashes
 MIN_COUNT, MAX_WORDS = 4, 1 << 18
 REGIONS = 256
-SKIP_ROWS, MIN_ROWS, MAX_ROWS, TOKENS_A_ROW = 1 << 14, 1 << 14, 1 << 19, 128
+SKIP_ROWS, MIN_ROWS, MAX_ROWS, TOKENS_A_ROW = 1 << 14, 1 << 14, 1 << 19, 256
+DEPTH = 5
 SLOTS = 1 << 20
 MAX_TABLE_WORDS = 300_000
 _BUFFER = 1 << 22
 _STEP = 1 << 16
+STEP = 1 / 3
 
 
 def _with_ends(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,25 +168,29 @@ class Model:
     @classmethod
     def new(cls, counts: np.ndarray, texts: int, rows: int) -> Model:
         """Untrained model of symbols with these counts, which gives each its share of them."""
-        depth = 1
-        while WIDTH**depth < len(counts):
-            depth += 1
-        leaves = np.zeros(WIDTH**depth)
-        leaves[: len(counts)] = counts
+        leaves = np.zeros(WIDTH**DEPTH)
+        leaves[cls.codes(np.arange(len(counts)))] = counts
         bias = []
-        for level in range(depth):
+        for level in range(DEPTH):
             n = leaves.reshape(WIDTH**level, WIDTH, -1).sum(2)
             share = n / np.maximum(1e-9, n.sum(1, keepdims=True))
             bias.append(np.where(share > 0, np.log(np.maximum(share, 1e-30)), -30.0).astype(np.float32))
         weight = np.zeros((rows + SKIP_ROWS, WIDTH), np.float32)
         return cls(np.append(counts, texts).astype(np.float64), np.concatenate(bias), weight)
 
+    @staticmethod
+    def codes(sym: np.ndarray) -> np.ndarray:
+        """Place of a symbol in the full tree: 256 words under the first class, 4096 under three, 65536 under the others."""
+        last = WIDTH ** (DEPTH - 1)
+        far = sym - 256
+        under = np.where(far < 3 * 4096, (1 + far // 4096) * last + far % 4096, sym - 256 - 3 * 4096 + 4 * last)
+        return np.where(sym < 256, sym, under)
+
     def __post_init__(self):
         self.other = len(self.count) - 2
         self.n_rows = len(self.weight) - SKIP_ROWS
-        self.depth = 1
-        while WIDTH**self.depth <= self.other:
-            self.depth += 1
+        self.code = self.codes(np.arange(self.other + 1))
+        self.forks = (self.bias > -30).sum(1) > 1  # a node with one place has nothing to learn
         share = self.count / max(1.0, self.count.sum())
         least = self.n_rows // REGIONS
         wide = np.maximum(least, 2.0 ** np.ceil(np.log2(np.maximum(share * self.n_rows, 1))))
@@ -195,12 +204,14 @@ class Model:
         salt = (mix64(k.astype(U64)) >> U64(8)).astype(np.int64) % self.spread[h1]
         return (self.region[h1] * 256 + salt).astype(np.int32)
 
-    def levels(self, sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Node of the class tree and place in it, by level."""
-        first = 0
-        for level in range(self.depth):
-            above = sym // WIDTH ** (self.depth - level)
-            yield first + above, sym // WIDTH ** (self.depth - level - 1) % WIDTH
+    def levels(self, sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By level, the tokens that a fork of the class tree lies on the way to, the node, and the place in it."""
+        code, first = self.code[sym], 0
+        for level in range(DEPTH):
+            node = first + (code >> 4 * (DEPTH - level))
+            at = np.flatnonzero(self.forks[node])
+            if len(at):
+                yield at, node[at], (code[at] >> 4 * (DEPTH - level - 1)) & (WIDTH - 1)
             first += WIDTH**level
 
     def rows(self, h1: np.ndarray, h2: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -221,9 +232,9 @@ class Model:
         out = np.zeros(len(sym))
         for i in range(0, len(sym), _STEP):
             s = slice(i, i + _STEP)
-            for node, place in self.levels(sym[s]):
-                p = self.factor(self.rows(h1[s], h2[s], node), node)
-                out[s] += p[np.arange(len(place)), place]
+            for at, node, place in self.levels(sym[s]):
+                p = self.factor(self.rows(h1[s][at], h2[s][at], node), node)
+                out[i + at] += p[np.arange(len(at)), place]
         return out
 
 
@@ -236,38 +247,41 @@ _NAMES = [f"g{i}" for i in range(2 * WIDTH)]
 
 
 def _gradient(model):
-    """N-grams (k, c) -> first and second derivatives by weight row, summed over the task."""
+    """N-grams (k, c) -> first derivatives and bounds of the second ones by weight row, summed over the task.
+
+    With E tokens expected at a place and N at all places of a row, E * (1 - E / N) bounds its second derivative.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*model.value)
-        sums = np.zeros((len(m.weight), 2 * WIDTH), np.float32)
+        expected, seen = np.zeros((2, len(m.weight), WIDTH), np.float32)
         touched = np.zeros(len(m.weight), bool)
-        cells = np.arange(2 * WIDTH)
+        cells, mask = np.arange(WIDTH), (1 << BITS) - 1
         for b in batches:
             key, count = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float32)
             for i in range(0, len(key), _STEP):
-                k, c = key[i : i + _STEP], count[i : i + _STEP, None]
-                mask = (1 << BITS) - 1
-                h1, h2, n = (k >> BITS) & mask, k >> 2 * BITS, np.arange(len(k))
-                for node, place in m.levels(k & mask):
-                    rows = m.rows(h1, h2, node)
-                    p = np.exp(m.factor(rows, node))
-                    d = np.concatenate([-c * p, c * p * (1 - p)], 1)
-                    d[n, place] += c[:, 0]
+                k, c = key[i : i + _STEP], count[i : i + _STEP]
+                h1, h2 = (k >> BITS) & mask, k >> 2 * BITS
+                for at, node, place in m.levels(k & mask):
+                    rows = m.rows(h1[at], h2[at], node)
+                    p = (np.exp(m.factor(rows, node)) * c[at, None]).astype(np.float64).ravel()
                     for r in rows:
                         u, back = np.unique(r, return_inverse=True)
-                        flat = (back[:, None] * (2 * WIDTH) + cells).ravel()
-                        sums[u] += np.bincount(flat, d.ravel(), len(u) * 2 * WIDTH).reshape(-1, 2 * WIDTH)
+                        n, back = len(u) * WIDTH, back * WIDTH
+                        expected[u] += np.bincount((back[:, None] + cells).ravel(), p, n).reshape(-1, WIDTH)
+                        seen[u] += np.bincount(back + place, c[at], n).reshape(-1, WIDTH)
                         touched[u] = True
-        at = np.flatnonzero(touched)
-        for i in range(0, len(at), 1 << 14):
-            r = at[i : i + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(r), *(pa.array(x) for x in sums[r].T.copy())], names=["r", *_NAMES])
+        rows = np.flatnonzero(touched)
+        for i in range(0, len(rows), 1 << 14):
+            r = rows[i : i + (1 << 14)]
+            e, n = expected[r], seen[r]
+            d = np.concatenate([n - e, e * (1 - e / n.sum(1, keepdims=True)).clip(0)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(r), *(pa.array(x) for x in d.T.copy())], names=["r", *_NAMES])
 
     return run
 
 
-def _update(model, prior: float):
+def _update(model, pull: float, prior: float, step: float):
     """Rows (r, summed derivatives) -> (r, new weights), which is all that travels to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +289,7 @@ def _update(model, prior: float):
         for b in batches:
             d = np.stack([b.column(1 + i).to_numpy() for i in range(2 * WIDTH)], 1)
             w = old[b.column(0).to_numpy()].astype(np.float64)
-            w += np.clip((d[:, :WIDTH] - prior * w) / (d[:, WIDTH:] + prior) / 3, -2, 2)
+            w += np.clip((d[:, :WIDTH] - pull * w) / (d[:, WIDTH:] + prior) * step, -2, 2)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0)] + [pa.array(w[:, i].astype(np.float32)) for i in range(WIDTH)], names=["r", *_NAMES[:WIDTH]]
             )
@@ -283,27 +297,35 @@ def _update(model, prior: float):
     return run
 
 
-def fit(ngrams: DataFrame, m: Model, *, rounds: int = 5, prior: float = 2.0) -> Model:
-    """``m`` trained on n-grams (k, c): ``rounds`` distributed gradient passes.
+def fit(ngrams: DataFrame, m: Model, *, blocks: int = 5, prior: float = 2.0, step: float = STEP) -> Model:
+    """``m`` trained on n-grams (k, c): a distributed gradient round over each of ``blocks`` blocks of them.
 
-    Each pass sums first and second derivatives by weight; the update is their
-    ratio with a Gaussian prior, a third of it as three features share a history.
+    A weight moves by its first derivative in the block over the sum of its
+    second derivatives in this and earlier blocks and a Gaussian prior, a third
+    of it as three features share a history.
     """
     spark = ngrams.sparkSession
     grads = "r bigint, " + ", ".join(f"{x} float" for x in _NAMES)
     new = "r bigint, " + ", ".join(f"{x} float" for x in _NAMES[:WIDTH])
-    for _ in range(rounds):
+    before = None
+    for i in range(blocks):
         sent = spark.sparkContext.broadcast(_parts(m))
-        sums = ngrams.mapInArrow(_gradient(sent), grads).groupBy("r").agg(*(F.sum(x).alias(x) for x in _NAMES))
-        got = sums.mapInArrow(_update(sent, prior), new).toArrow()
+        d = ngrams.where(F.expr(f"pmod(xxhash64(k), {blocks}) = {i}")).mapInArrow(_gradient(sent), grads)
+        if before is not None:
+            d = d.union(before.select("r", *(F.lit(0.0).cast("float") for _ in range(WIDTH)), *_NAMES[WIDTH:]))
+        sums = materialize(d.groupBy("r").agg(*(F.sum(x).cast("float").alias(x) for x in _NAMES)), "derivatives")
+        got = sums.mapInArrow(_update(sent, prior / blocks, prior, step), new).toArrow()
         sent.unpersist()
-        if not got.num_rows:
-            break
-        weight = m.weight.copy()
-        weight[got.column("r").to_numpy()] = np.stack([got.column(x).to_numpy() for x in _NAMES[:WIDTH]], 1)
-        m = Model(m.count, m.bias, weight)
-        del got, sums
+        if before is not None:
+            discard(before)
+        before = sums
+        if got.num_rows:
+            weight = m.weight.copy()
+            weight[got.column("r").to_numpy()] = np.stack([got.column(x).to_numpy() for x in _NAMES[:WIDTH]], 1)
+            m = Model(m.count, m.bias, weight)
+        del got, sums, d
         release_shuffles(spark)
+    discard(before)
     return m
 
 
@@ -339,7 +361,7 @@ def _score(table, model, log_n: float, log_other: float):
     return run
 
 
-def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, rounds: int = 5) -> DataFrame:
+def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, blocks: int = 5) -> DataFrame:
     """Row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts whose ``crc32(doc_id) % fold`` is not ``held_out_fold`` teach the
@@ -374,7 +396,7 @@ def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, round
     grams = materialize(grams.repartition("part").groupBy("part", "k").agg(F.sum("c").alias("c")).select("k", "c"), "ngrams")
     blank.unpersist()
     release_shuffles(spark)
-    model = fit(grams, model, rounds=rounds)
+    model = fit(grams, model, blocks=blocks)
     discard(grams)
 
     part = "doc_id bigint, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"

@@ -122,7 +122,7 @@ def test_language_model(spark, texts):
     import math
 
     want = sorted((i, len(w), sum(x in seen for x in w), round(sum(math.log10((seen.get(x, 0) + 1) / (n + v + 1)) for x in w), 6)) for i, w in tokens)
-    got = score_texts(docs_of(spark, texts), rounds=3).collect()
+    got = score_texts(docs_of(spark, texts), blocks=3).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert {r.train_tokens for r in got} == {n}
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
@@ -134,7 +134,6 @@ def test_probabilities_sum_to_one():
     r = np.random.default_rng(0)
     model = m.Model.new(np.append(r.integers(4, 90, 999), 500), 40, m.MIN_ROWS)
     model.weight[:] = r.normal(size=model.weight.shape)
-    assert model.depth == 3
     h1, h2 = np.repeat(r.integers(0, 1001, (2, 5)), 1000, axis=1)
     p = np.exp(model.log_prob(h1, h2, np.tile(np.arange(1000), 5)))
     assert np.allclose(p.reshape(5, -1).sum(1), 1, atol=1e-5)
@@ -190,7 +189,7 @@ def test_lm_vocabulary_grows(spark, monkeypatch):
     monkeypatch.setattr(m.Model, "new", classmethod(lambda cls, c, *a: (sizes.append(len(c)), new(cls, c, *a))[1]))
     for n in (30, 600):
         texts = [(i, " ".join(f"w{(i * 7 + j) % n}" for j in range(40))) for i in range(n)]
-        score_texts(docs_of(spark, texts), rounds=1).collect()
+        score_texts(docs_of(spark, texts), blocks=1).collect()
     assert sizes[1] > 15 * sizes[0] > 0
 
 
@@ -205,7 +204,7 @@ def test_lm_learns_words_behind_the_first_hundreds(spark):
             words.append(f"w{w}")
             w = follow[w] if r.random() < 0.9 else r.randrange(900)
         texts.append((d, " ".join(words)))
-    held = [x for x in score_texts(docs_of(spark, texts), rounds=8).collect() if x.held_out]
+    held = [x for x in score_texts(docs_of(spark, texts), blocks=8).collect() if x.held_out]
     assert held and sum(x.score for x in held) > 0.8 * sum(x.base_score for x in held)
 
 
