@@ -48,8 +48,9 @@ DEPTH = 5
 SLOTS = 1 << 20
 MAX_TABLE_WORDS = 300_000
 _BUFFER = 1 << 22
-_STEP = 1 << 16
+_STEP = 1 << 14
 STEP = 1 / 3
+MAX_WEIGHT = 10.0  # five rounds of 2 at most reach it
 
 
 def _with_ends(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,11 +149,6 @@ def _ngrams(table, model):
     return run
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
 @dataclass
 class Model:
     """Weights of a model over symbols ``0 .. other``; ``other + 1`` stands before a text.
@@ -223,9 +219,17 @@ class Model:
         skip = mix64(at | two | U64(1 << 39)) & U64(SKIP_ROWS - 1)
         return in_window(at | one), in_window(mix64(at | one) ^ two), skip.astype(np.int64) + self.n_rows
 
-    def factor(self, rows: tuple[np.ndarray, ...], node: np.ndarray) -> np.ndarray:
-        """Log probability of the 16 places of a node."""
-        return _log_softmax(self.weight[rows[0]] + self.weight[rows[1]] + self.weight[rows[2]] + self.bias[node])
+    def powers(self, rows: tuple[np.ndarray, ...], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unnormalised probabilities of the 16 places of a node, and their sums.
+
+        Weights lie within ``MAX_WEIGHT`` and biases between -30 and 0, so nothing overflows and no sum is 0.
+        """
+        x = self.weight.take(rows[0], 0)
+        x += self.weight.take(rows[1], 0)
+        x += self.weight.take(rows[2], 0)
+        x += self.bias.take(node, 0)
+        np.exp(x, x)
+        return x, np.einsum("ij->i", x)
 
     def log_prob(self, h1: np.ndarray, h2: np.ndarray, sym: np.ndarray) -> np.ndarray:
         """Natural log of P(sym | h2 h1), in bounded steps."""
@@ -233,8 +237,8 @@ class Model:
         for i in range(0, len(sym), _STEP):
             s = slice(i, i + _STEP)
             for at, node, place in self.levels(sym[s]):
-                p = self.factor(self.rows(h1[s][at], h2[s][at], node), node)
-                out[i + at] += p[np.arange(len(at)), place]
+                e, total = self.powers(self.rows(h1[s][at], h2[s][at], node), node)
+                out[i + at] += np.log(e[np.arange(len(at)), place] / total)
         return out
 
 
@@ -254,28 +258,29 @@ def _gradient(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*model.value)
-        expected, seen = np.zeros((2, len(m.weight), WIDTH), np.float32)
-        touched = np.zeros(len(m.weight), bool)
-        cells, mask = np.arange(WIDTH), (1 << BITS) - 1
+        expected, seen = np.zeros((2, len(m.weight), WIDTH))
+        touched, mask = np.zeros(len(m.weight), bool), (1 << BITS) - 1
         for b in batches:
-            key, count = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float32)
+            key, count = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float64)
             for i in range(0, len(key), _STEP):
                 k, c = key[i : i + _STEP], count[i : i + _STEP]
                 h1, h2 = (k >> BITS) & mask, k >> 2 * BITS
                 for at, node, place in m.levels(k & mask):
                     rows = m.rows(h1[at], h2[at], node)
-                    p = (np.exp(m.factor(rows, node)) * c[at, None]).astype(np.float64).ravel()
+                    p, total = m.powers(rows, node)
+                    p *= (c[at] / total).astype(np.float32)[:, None]
                     for r in rows:
-                        u, back = np.unique(r, return_inverse=True)
-                        n, back = len(u) * WIDTH, back * WIDTH
-                        expected[u] += np.bincount((back[:, None] + cells).ravel(), p, n).reshape(-1, WIDTH)
-                        seen[u] += np.bincount(back + place, c[at], n).reshape(-1, WIDTH)
-                        touched[u] = True
+                        order = np.argsort(r)
+                        by = r[order]
+                        first = np.flatnonzero(np.diff(by, prepend=-1))
+                        expected[by[first]] += np.add.reduceat(p.take(order, 0), first)
+                        np.add.at(seen.ravel(), r * WIDTH + place, c[at])
+                        touched[r] = True
         rows = np.flatnonzero(touched)
         for i in range(0, len(rows), 1 << 14):
             r = rows[i : i + (1 << 14)]
             e, n = expected[r], seen[r]
-            d = np.concatenate([n - e, e * (1 - e / n.sum(1, keepdims=True)).clip(0)], 1)
+            d = np.concatenate([n - e, e * (1 - e / n.sum(1, keepdims=True)).clip(0)], 1).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(r), *(pa.array(x) for x in d.T.copy())], names=["r", *_NAMES])
 
     return run
@@ -290,6 +295,7 @@ def _update(model, pull: float, prior: float, step: float):
             d = np.stack([b.column(1 + i).to_numpy() for i in range(2 * WIDTH)], 1)
             w = old[b.column(0).to_numpy()].astype(np.float64)
             w += np.clip((d[:, :WIDTH] - pull * w) / (d[:, WIDTH:] + prior) * step, -2, 2)
+            w = w.clip(-MAX_WEIGHT, MAX_WEIGHT)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0)] + [pa.array(w[:, i].astype(np.float32)) for i in range(WIDTH)], names=["r", *_NAMES[:WIDTH]]
             )
