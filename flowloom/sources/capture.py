@@ -1,8 +1,11 @@
 """Capture files: PCAP and PCAP-NG parsing, and the ``capture`` data source.
 
-PCAP has no sync marks, so a cheap walk over record headers on the driver plans
-byte ranges with their first packet index; tasks then parse ranges in parallel.
-PCAP-NG files, whose blocks carry state, are one task each.
+PCAP has no sync marks.  ``read_captures`` cuts large files at fixed places; a
+task a range guesses the first record there from a run of plausible headers,
+and walks headers to the range's end.  The driver only checks that each range
+ends where the next one begins (one number a range) and walks a range again
+whose guess was wrong, so the result never rests on a guess.  Tasks then parse
+ranges in parallel.  PCAP-NG files, whose blocks carry state, are one task each.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ PCAP_MAGIC = {
 SECTION, INTERFACE, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 3, 6
 NG_MAGIC = SECTION.to_bytes(4, "big")
 RANGE_BYTES = 64 << 20
+#: a guessed record has at most this many bytes and is followed by ``CHAIN`` others (or the file's end)
+GUESS_BYTES, CHAIN = 256 << 10, 16
+MAX_TASKS = 1 << 17
 
 
 class ParseError(ValueError):
@@ -231,31 +237,95 @@ class Range(InputPartition):
     start: int
     end: int | None
     first: int
-    order: str = ""
-    per_second: int = 0
-    link_type: int = 0
-
-
-def plan_ranges(path: str, range_bytes: int = RANGE_BYTES) -> list[Range]:
-    """Ranges of about ``range_bytes``: the driver reads record headers only."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        head = f.read(24)
-        if sniff(head) != "pcap" or size <= range_bytes:
-            return [Range(path, 0, None, 0)]
-        h = PcapHeader.read(head)
-        out, start, n, first, at = [], 24, 0, 0, 24
-        length = struct.Struct(h.order + "8xI4x")
-        while at + 16 <= size:
+
+
+def walk(f: BinaryIO, h: PcapHeader, at: int, end: int, size: int) -> tuple[int, int]:
+    """(first record boundary at or behind ``end``, records before it) from the boundary ``at``, reading headers only."""
+    length, n = struct.Struct(h.order + "8xI4x"), 0
+    while at < end and at + 16 <= size:
+        f.seek(at)
+        at += 16 + length.unpack(f.read(16))[0]
+        n += 1
+    return at, n
+
+
+def guess_boundary(f: BinaryIO, h: PcapHeader, start: int, end: int, size: int) -> int | None:
+    """The first place of ``[start, end)`` that looks like a record boundary, if any does."""
+    fields = struct.Struct(h.order + "IIII")
+
+    def plausible(head: bytes, at: int, near: int | None) -> tuple[int, int] | None:
+        sec, frac, cap, orig = fields.unpack_from(head, at)
+        ok = frac < h.per_second and 0 < cap <= GUESS_BYTES and cap <= orig and (near is None or abs(sec - near) < 30 * 86400)
+        return (sec, cap) if ok else None
+
+    def followed(at: int, sec: int, cap: int) -> bool:
+        for _ in range(CHAIN):
+            at += 16 + cap
+            if at + 16 > size:
+                return at <= size
             f.seek(at)
-            at += 16 + length.unpack(f.read(16))[0]
-            n += 1
-            if at - start >= range_bytes:
-                out.append(Range(path, start, at, first, h.order, h.per_second, h.link_type))
-                start, first = at, n
-        if start < size:
-            out.append(Range(path, start, size, first, h.order, h.per_second, h.link_type))
+            if not (found := plausible(f.read(16), 0, sec)):
+                return False
+            sec, cap = found
+        return True
+
+    f.seek(start)
+    window = f.read(min(end - start + 15, GUESS_BYTES + 32))
+    for i in range(len(window) - 15):
+        if (found := plausible(window, i, None)) and followed(start + i, *found):
+            return start + i
+    return None
+
+
+def _locate(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nominal ranges (id, file, start, end, size) -> (id, guessed begin or null, stop, records)."""
+    for b in rows:
+        out = []
+        for r in b.to_pylist():
+            with open(r["file"], "rb") as f:
+                h = PcapHeader.read(f.read(24))
+                at = 24 if r["start"] == 24 else guess_boundary(f, h, r["start"], r["end"], r["size"])
+                out.append((r["id"], at, *((None, None) if at is None else walk(f, h, at, r["end"], r["size"]))))
+        cols = [pa.array([x[i] for x in out], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "begin", "stop", "n"])
+
+
+def _spread(df: DataFrame, n: int) -> DataFrame:
+    """One row a task, as far as ``MAX_TASKS`` go."""
+    return df.repartition(max(1, min(n, MAX_TASKS)))
+
+
+def plan_ranges(spark: SparkSession, files: list[str], range_bytes: int = RANGE_BYTES) -> list[Range]:
+    """Ranges of about ``range_bytes`` of large PCAP files, found in parallel; other files are one range each."""
+    nominal, out = [], []
+    for file in files:
+        size = os.path.getsize(file)
+        with open(file, "rb") as f:
+            kind = sniff(f.read(24))
+        if kind != "pcap" or size <= range_bytes:
+            out.append(Range(file, 0, None, 0))
+        else:
+            cuts = [*range(24, size, range_bytes), size]
+            nominal += [(file, a, b, size) for a, b in zip(cuts, cuts[1:], strict=False)]
+    if not nominal:
         return out
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(nominal)], "id bigint, file string, start bigint, end bigint, size bigint")
+    found = _spread(rows, len(nominal)).mapInArrow(_locate, "id bigint, begin bigint, stop bigint, n bigint").toArrow().to_pydict()
+    found = dict(zip(found["id"], zip(found["begin"], found["stop"], found["n"], strict=True), strict=True))
+    at = first = 0
+    for i, (file, start, end, size) in enumerate(nominal):
+        if start == 24:
+            at, first = 24, 0
+        if at >= end:  # a record of an earlier range covers this one
+            continue
+        begin, stop, n = found[i]
+        if begin != at:
+            with open(file, "rb") as f:
+                stop, n = walk(f, PcapHeader.read(f.read(24)), at, end, size)
+        if n:
+            out.append(Range(file, at, min(stop, size), first))
+        at, first = stop if n else size, first + n
+    return out
 
 
 def batches(file: str, out_link: int, records: Iterator[Record], first: int = 0, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -282,10 +352,11 @@ def batches(file: str, out_link: int, records: Iterator[Record], first: int = 0,
 
 
 class CaptureSource(DataSource):
-    """``spark.read.format("capture").load(path)``: packets of PCAP and PCAP-NG files.
+    """``spark.read.format("capture").load(path)``: packets of PCAP and PCAP-NG files, a task a file.
 
     Options: ``recursive``, ``compat_ts`` (version 2.4 files count nanoseconds),
-    ``permissive`` (a cut-off last record ends a file), ``range_bytes``.
+    ``permissive`` (a cut-off last record ends a file).  ``read_captures`` reads
+    ranges of large files in parallel.
     """
 
     @classmethod
@@ -309,10 +380,9 @@ class CaptureReader(DataSourceReader):
         on = lambda k: str(options.get(k, "false")).lower() == "true"
         self.path, self.recursive = options.get("path", ""), on("recursive")
         self.compat_ts, self.permissive = on("compat_ts"), on("permissive")
-        self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
 
     def partitions(self):
-        return [r for p in collect_files(self.path, self.recursive) for r in plan_ranges(p, self.range_bytes)]
+        return [Range(p, 0, None, 0) for p in collect_files(self.path, self.recursive)]
 
     def read(self, part: Range):
         with open(part.file, "rb") as f:
@@ -326,13 +396,21 @@ class CaptureReader(DataSourceReader):
             yield from batches(part.file, link, records, part.first)
 
 
-def read_captures(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Packets of captures on a file system that all nodes mount; see :class:`CaptureSource`."""
-    spark.dataSource.register(CaptureSource)
-    reader = spark.read.format("capture")
-    for k, v in options.items():
-        reader = reader.option(k, str(v).lower() if isinstance(v, bool) else v)
-    return reader.load(path)
+def read_captures(
+    spark: SparkSession, path: str, *, recursive: bool = False, compat_ts: bool = False, permissive: bool = False,
+    range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
+    """Packets of captures on a file system that all nodes mount; large PCAP files are read in ranges of ``range_bytes``."""
+    parts = plan_ranges(spark, collect_files(path, recursive), range_bytes)
+    reader = CaptureReader({"compat_ts": compat_ts, "permissive": permissive})
+
+    def run(rows):
+        for b in rows:
+            for r in b.to_pylist():
+                yield from reader.read(Range(**r))
+
+    rows = spark.createDataFrame([(r.file, r.start, r.end, r.first) for r in parts], "file string, start bigint, end bigint, first bigint")
+    return _spread(rows, len(parts)).mapInArrow(run, RAW_PACKET)
 
 
 def read_remote_captures(spark: SparkSession, path: str, *, recursive: bool = False, compat_ts: bool = False) -> DataFrame:

@@ -66,6 +66,29 @@ def test_ranges_and_discovery(spark, tmp_path):
     assert cap.read_remote_captures(spark, str(tmp_path / "a.cap")).count() == 500
 
 
+@pytest.mark.parametrize("order,magic", [("<", 0xA1B2C3D4), (">", 0xA1B23C4D)])
+def test_ranges_never_rest_on_a_guess(spark, tmp_path, order, magic):
+    inner = pcap([(9, i, b"fake" * 3) for i in range(60)], order)[24:]  # a payload that looks like records
+    many = [(i, 0, inner if i % 7 == 3 else b"\0" * 700 if i % 5 == 0 else bytes([i % 256]) * (i % 50)) for i in range(120)]
+    many[50] = (50, 0, b"x" * 9000)  # longer than several ranges
+    blob = pcap(many, order, magic)
+    (tmp_path / "a.pcap").write_bytes(blob)
+    want = [(i, r.ts_sec, r.data) for i, r in enumerate(cap.read_records(io.BytesIO(blob))[1])]
+    for size in (100, 997, 5000):
+        df = cap.read_captures(spark, str(tmp_path), range_bytes=size)
+        assert [(r.pkt_idx, r.ts_sec, bytes(r.data)) for r in df.select("pkt_idx", "ts_sec", "data").orderBy("pkt_idx").collect()] == want
+    ranges = cap.plan_ranges(spark, [str(tmp_path / "a.pcap")], 997)
+    assert ranges[0].start == 24 and ranges[-1].end == len(blob)
+    assert all(a.end == b.start for a, b in zip(ranges, ranges[1:], strict=False))
+    (tmp_path / "a.pcap").write_bytes(blob + b"tail")  # a cut-off record header ends the file
+    assert cap.read_captures(spark, str(tmp_path), range_bytes=997).count() == len(want)
+    (tmp_path / "a.pcap").write_bytes(blob[:-1])  # a cut-off body is an error, unless allowed
+    assert cap.read_captures(spark, str(tmp_path), range_bytes=997, permissive=True).count() == len(want) - 1
+    with pytest.raises(Exception, match="left"):
+        cap.read_captures(spark, str(tmp_path), range_bytes=997).count()
+
+
+
 @pytest.mark.parametrize("strategy,groups", [("session", 2), ("flow", 3), ("host", 4), ("hostpair", 2), ("mac", 2), ("bssid", 1), ("nosplit", 1), ("seconds 1000", 2), ("packets 2", 2)])
 def test_strategies(spark, test_pcap, strategy, groups):
     assert api.read_flows(spark, test_pcap, strategy).flow_count() == groups
