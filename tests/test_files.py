@@ -206,3 +206,15 @@ def test_stream(spark, test_pcap, tmp_path):
     q = q.option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(120)
     assert sorted(r.packet_count for r in spark.table("flows_now").select(F.col("packet_count")).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_archive_ports_above_two_bytes(tmp_path, indexed):
+    ports = [(80, 65616), (65616, 443), (80, 443), (2**31 - 1, 80)]
+    w = af.ArchiveWriter(str(tmp_path / "a"), 1, indexed)
+    w.finish(af.Entry(i, 6, bytes(16), bytes(16), s, d, 1, 0, 0, 60) for i, (s, d) in enumerate(ports, 1))
+    a = af.ArchiveFile(str(tmp_path / "a"))
+    assert [(e.src_port, e.dst_port) for e in a.entries] == ports
+    assert (a.lookup("port", 80), a.lookup("port", 65616), a.lookup("port", 2**31 - 1)) == ([1, 3, 4], [1, 2], [4])
+    assert a.lookup("port", 65535) == []
+    assert a.entries[2].pack()[48:56] == bytes.fromhex("5000BB0100000000")  # as other tools read it

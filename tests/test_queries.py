@@ -48,3 +48,30 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(5).count() == 5
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+#: queries whose packets or entries have two bytes a port
+TWO_BYTE_PORTS = [
+    "archive_entries_roundtrip",
+]
+
+
+@pytest.fixture(scope="module")
+def large_users(sf_dir, tmp_path_factory):
+    """Events whose users, and with them client ports, start below 2^16 and end below 2^31."""
+    d = tmp_path_factory.mktemp("large_users")
+    c = duckdb.connect()
+    events = f"SELECT * REPLACE (user_id + s AS user_id) FROM '{sf_dir}/events.parquet' JOIN (VALUES (0, 64505), (1, 90000), (2, 2147480000)) v(i, s) ON event_id % 3 = i"
+    c.execute(f"COPY ({events}) TO '{d}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    return str(d), c
+
+
+@pytest.mark.parametrize("name", TWO_BYTE_PORTS)
+def test_ports_above_two_bytes(spark, large_users, name):
+    d, c = large_users
+    df = QUERIES[name](spark, d)
+    cur = c.execute(ORACLES[name])
+    want = cur.fetchall()
+    assert any(r[i] > 1 << 30 for r in want for i, x in enumerate(cur.description) if x[0] in ("src_port", "dst_port"))
+    assert rows_of(map(tuple, df.select(*(x[0] for x in cur.description)).collect())) == rows_of(want)
