@@ -17,7 +17,7 @@ from ..functions.decode import payload_offset
 from ..sources.archive_file import Entry, count_frames, decode_offsets, encode_offsets
 from ..sources.capture import parse_blobs
 from ..sources.sinks import output_names, pcap_blobs
-from .view import CHUNK, DUCK_VIEW, captures, datagrams, event_packets, frames, ipv6_frames, wifi_frames
+from .view import CHUNK, DUCK_VIEW, captures, datagrams, event_packets, frames, ipv6_frames, whole_ports, wifi_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,11 @@ def tuple_cols():
     ]
 
 
+def frame_cols():
+    """``tuple_cols`` of decoded frames of the view."""
+    return [*tuple_cols()[:3], *map(F.expr, whole_ports())]
+
+
 DUCK_TUPLE = (
     f"CAST(proto AS INTEGER) AS protocol, {duck_ip('src_ip')} AS src_ip, {duck_ip('dst_ip')} AS dst_ip,"
     " CAST(src_port AS INTEGER) AS src_port, CAST(dst_port AS INTEGER) AS dst_port"
@@ -233,8 +238,7 @@ def duck_ip6(x: str) -> str:
 def decode_ipv6_roundtrip(spark, sf_dir):
     """Extension headers of several kinds, walked to the transport header."""
     d = _decoded(ipv6_frames(event_packets(spark, sf_dir)))
-    ports = [F.expr(f"IF(five_tuple.protocol = 58, 0, five_tuple.{c})").alias(c) for c in ("src_port", "dst_port")]
-    return d.select("pkt_idx", *tuple_cols()[:3], *ports, "l7_offset", F.decode("l7", "utf-8").alias("payload"))
+    return d.select("pkt_idx", *frame_cols(), "l7_offset", F.decode("l7", "utf-8").alias("payload"))
 
 
 @query(
