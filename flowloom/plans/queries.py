@@ -192,7 +192,7 @@ def session_normalize(spark, sf_dir):
 def _decode_check(spark, sf_dir, where: str, vlan: bool):
     d = decoded(frames(event_packets(spark, sf_dir).where(where), vlan=vlan).drop("src_mac", "dst_mac", "bssid", "five_tuple", "l7"))
     return d.select(
-        "pkt_idx", *tuple_cols(), mac_text("src_mac").alias("src_mac"), mac_text("dst_mac").alias("dst_mac"),
+        "pkt_idx", *frame_cols(), mac_text("src_mac").alias("src_mac"), mac_text("dst_mac").alias("dst_mac"),
         "l7_offset", F.decode("l7", "utf-8").alias("payload"),
     )
 

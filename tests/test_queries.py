@@ -54,6 +54,7 @@ def test_entry(spark):
 TWO_BYTE_PORTS = [
     "archive_entries_roundtrip",
     "decode_ipv6_roundtrip",
+    "decode_udp_icmp_roundtrip",
 ]
 
 
