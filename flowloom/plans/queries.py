@@ -248,7 +248,7 @@ def decode_ipv6_roundtrip(spark, sf_dir):
 def decode_wifi_roundtrip(spark, sf_dir):
     """802.11 data frames, with and without radiotap, in all distribution-system directions."""
     d = _decoded(wifi_frames(event_packets(spark, sf_dir)))
-    return d.select("pkt_idx", *tuple_cols(), *(mac_text(c).alias(c) for c in ("src_mac", "dst_mac", "bssid")), "l7_offset")
+    return d.select("pkt_idx", *frame_cols(), *(mac_text(c).alias(c) for c in ("src_mac", "dst_mac", "bssid")), "l7_offset")
 
 
 @query(f"SELECT pkt_idx, {DUCK_TUPLE}, CAST(20 + {_L4} AS INTEGER) AS l7_offset, CAST(20 + {_L4} AS INTEGER) AS payload_offset FROM p WHERE is_ip")

@@ -55,6 +55,7 @@ TWO_BYTE_PORTS = [
     "archive_entries_roundtrip",
     "decode_ipv6_roundtrip",
     "decode_udp_icmp_roundtrip",
+    "decode_wifi_roundtrip",
 ]
 
 
