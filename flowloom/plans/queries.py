@@ -264,7 +264,7 @@ _CHUNKED = f"SELECT CAST(pkt_idx // {CHUNK} AS VARCHAR) AS file, row_number() OV
 
 def _parsed(spark, sf_dir, ng: bool):
     d = _parse_decoded(captures(event_packets(spark, sf_dir), ng))
-    return d.select("file", F.col("pkt_idx").alias("idx"), "ts_us", "cap_len", "orig_len", "link_type", *tuple_cols(), mac_text("src_mac").alias("src_mac"))
+    return d.select("file", F.col("pkt_idx").alias("idx"), "ts_us", "cap_len", "orig_len", "link_type", *frame_cols(), mac_text("src_mac").alias("src_mac"))
 
 
 def _parse_decoded(blobs):

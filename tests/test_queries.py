@@ -56,6 +56,7 @@ TWO_BYTE_PORTS = [
     "decode_ipv6_roundtrip",
     "decode_udp_icmp_roundtrip",
     "decode_wifi_roundtrip",
+    "pcap_kinds_roundtrip",
 ]
 
 
