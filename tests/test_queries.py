@@ -57,6 +57,7 @@ TWO_BYTE_PORTS = [
     "decode_udp_icmp_roundtrip",
     "decode_wifi_roundtrip",
     "pcap_kinds_roundtrip",
+    "pcapng_roundtrip",
 ]
 
 
