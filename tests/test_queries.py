@@ -58,6 +58,7 @@ TWO_BYTE_PORTS = [
     "decode_wifi_roundtrip",
     "pcap_kinds_roundtrip",
     "pcapng_roundtrip",
+    "decode_ethernet_roundtrip",
 ]
 
 
