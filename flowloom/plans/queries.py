@@ -255,7 +255,7 @@ def decode_wifi_roundtrip(spark, sf_dir):
 def decode_raw_ip_roundtrip(spark, sf_dir):
     """Datagrams without a link layer, as packets and by the payload offset of a column."""
     d = payload_offset(datagrams(event_packets(spark, sf_dir)).drop("l7"))
-    return _decoded(d).select("pkt_idx", *tuple_cols(), "l7_offset", "payload_offset")
+    return _decoded(d).select("pkt_idx", *frame_cols(), "l7_offset", "payload_offset")
 
 
 _LENGTH = "CAST(CASE WHEN NOT is_ip THEN 14 ELSE 34 + CASE proto WHEN 6 THEN 20 ELSE 8 END + strlen(payload) END AS BIGINT)"

@@ -59,6 +59,7 @@ TWO_BYTE_PORTS = [
     "pcap_kinds_roundtrip",
     "pcapng_roundtrip",
     "decode_ethernet_roundtrip",
+    "decode_raw_ip_roundtrip",
 ]
 
 
