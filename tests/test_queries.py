@@ -60,6 +60,7 @@ TWO_BYTE_PORTS = [
     "pcapng_roundtrip",
     "decode_ethernet_roundtrip",
     "decode_raw_ip_roundtrip",
+    "decode_vlan_roundtrip",
 ]
 
 
