@@ -31,15 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None, values: int = 1) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
+    With ``by``, a column of at most ``values`` values, each value has files of
+    its own and a filter by it reads no others; a task writes them side by side
+    and needn't sort.
+
     The copy outlives lost executors and cuts the lineage.  ``discard`` deletes
     it; what a returned result still reads stays until ``discard_all``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    try:
+        if by:
+            spark.conf.set(writers, str(values))
+        df.write.parquet(path, partitionBy=by)
+    finally:
+        spark.conf.set(writers, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     _written.setdefault(spark.sparkContext.applicationId, set()).add(path)

@@ -303,8 +303,14 @@ def _update(model, pull: float, prior: float, step: float):
     return run
 
 
+def write_blocks(ngrams: DataFrame, blocks: int) -> DataFrame:
+    """``ngrams`` (k, c) as a table (k, c, block) of which a round reads its own block only."""
+    block = F.expr(f"CAST(pmod(xxhash64(k), {blocks}) AS INT)").alias("block")
+    return materialize(ngrams.select("k", "c", block), "ngrams", "block", blocks)
+
+
 def fit(ngrams: DataFrame, m: Model, *, blocks: int = 5, prior: float = 2.0, step: float = STEP) -> Model:
-    """``m`` trained on n-grams (k, c): a distributed gradient round over each of ``blocks`` blocks of them.
+    """``m`` trained on n-grams (k, c, block): a distributed gradient round over each of ``blocks`` blocks of them.
 
     A weight moves by its first derivative in the block over the sum of its
     second derivatives in this and earlier blocks and a Gaussian prior, a third
@@ -316,7 +322,7 @@ def fit(ngrams: DataFrame, m: Model, *, blocks: int = 5, prior: float = 2.0, ste
     before = None
     for i in range(blocks):
         sent = spark.sparkContext.broadcast(_parts(m))
-        d = ngrams.where(F.expr(f"pmod(xxhash64(k), {blocks}) = {i}")).mapInArrow(_gradient(sent), grads)
+        d = ngrams.where(F.col("block") == i).select("k", "c").mapInArrow(_gradient(sent), grads)
         if before is not None:
             d = d.union(before.select("r", *(F.lit(0.0).cast("float") for _ in range(WIDTH)), *_NAMES[WIDTH:]))
         sums = materialize(d.groupBy("r").agg(*(F.sum(x).cast("float").alias(x) for x in _NAMES)), "derivatives")
@@ -399,7 +405,7 @@ def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, block
     sent, blank = spark.sparkContext.broadcast(_parts(table)), spark.sparkContext.broadcast(_parts(model))
 
     grams = train.mapInArrow(_ngrams(sent, blank), "part int, k bigint, c bigint")
-    grams = materialize(grams.repartition("part").groupBy("part", "k").agg(F.sum("c").alias("c")).select("k", "c"), "ngrams")
+    grams = write_blocks(grams.repartition("part").groupBy("part", "k").agg(F.sum("c").alias("c")), blocks)
     blank.unpersist()
     release_shuffles(spark)
     model = fit(grams, model, blocks=blocks)

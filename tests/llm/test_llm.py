@@ -498,3 +498,18 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     for out in (score_toxicity(d, none), score_texts(d), near_duplicates(d), line_classes(d), find_leaks(d, bench), mix(d, none), score_quality(d, none)):
         assert out.count() == 0
+
+
+def test_blocks_of_ngrams_have_files_of_their_own(spark):
+    from flowloom.llm import common
+    from flowloom.llm import maxent as m
+
+    writers = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    d = m.write_blocks(spark.range(0, 1000, 1, 3).selectExpr("id AS k", "id % 7 AS c"), 5)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == writers
+    parts = [d.where(f"block = {i}").select("k", "c") for i in range(5)]
+    read = [p._jdf.queryExecution().executedPlan().toString() for p in parts]
+    assert all("(block#" in x and f"= {i})" in x.split("PartitionFilters")[1].split("PushedFilters")[0] for i, x in enumerate(read))
+    rows = [tuple(r) for p in parts for r in p.collect()]
+    assert sorted(rows) == [(k, k % 7) for k in range(1000)] and all(p.count() > 100 for p in parts)
+    common.discard(d)
