@@ -149,6 +149,32 @@ def _ngrams(table, model):
     return run
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted keys (k, c) with the counts of equal keys summed, a buffer at a time.
+
+    A part beyond the buffer may give a key more than once; a gradient sums the counts anyway.
+    """
+    held, n = [], 0
+
+    def flush():
+        k, c = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        order = np.argsort(k)
+        k = k[order]
+        first = np.flatnonzero(np.diff(k, prepend=-1))
+        merged = pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(np.add.reduceat(c[order], first))], names=["k", "c"])
+        for i in range(0, len(first), _STEP):
+            yield merged.slice(i, _STEP)
+
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n > _BUFFER:
+            yield from flush()
+            held, n = [], 0
+    if n:
+        yield from flush()
+
+
 @dataclass
 class Model:
     """Weights of a model over symbols ``0 .. other``; ``other + 1`` stands before a text.
@@ -258,8 +284,8 @@ def _gradient(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*model.value)
-        expected, seen = np.zeros((2, len(m.weight), WIDTH))
-        touched, mask = np.zeros(len(m.weight), bool), (1 << BITS) - 1
+        expected, seen = np.zeros((2, m.weight.size))
+        touched, mask, places = np.zeros(len(m.weight), bool), (1 << BITS) - 1, np.arange(WIDTH)
         for b in batches:
             key, count = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float64)
             for i in range(0, len(key), _STEP):
@@ -269,14 +295,13 @@ def _gradient(model):
                     rows = m.rows(h1[at], h2[at], node)
                     p, total = m.powers(rows, node)
                     p *= (c[at] / total).astype(np.float32)[:, None]
+                    flat, n = p.astype(np.float64).ravel(), c[at]
                     for r in rows:
-                        order = np.argsort(r)
-                        by = r[order]
-                        first = np.flatnonzero(np.diff(by, prepend=-1))
-                        expected[by[first]] += np.add.reduceat(p.take(order, 0), first)
-                        np.add.at(seen.ravel(), r * WIDTH + place, c[at])
+                        first = r * WIDTH
+                        np.add.at(expected, (first[:, None] + places).ravel(), flat)
+                        np.add.at(seen, first + place, n)
                         touched[r] = True
-        rows = np.flatnonzero(touched)
+        expected, seen, rows = expected.reshape(-1, WIDTH), seen.reshape(-1, WIDTH), np.flatnonzero(touched)
         for i in range(0, len(rows), 1 << 14):
             r = rows[i : i + (1 << 14)]
             e, n = expected[r], seen[r]
@@ -317,6 +342,7 @@ def fit(ngrams: DataFrame, m: Model, *, blocks: int = 5, prior: float = 2.0, ste
     of it as three features share a history.
     """
     spark = ngrams.sparkSession
+    m = Model(m.count, m.bias, m.weight.copy())
     grads = "r bigint, " + ", ".join(f"{x} float" for x in _NAMES)
     new = "r bigint, " + ", ".join(f"{x} float" for x in _NAMES[:WIDTH])
     before = None
@@ -327,14 +353,12 @@ def fit(ngrams: DataFrame, m: Model, *, blocks: int = 5, prior: float = 2.0, ste
             d = d.union(before.select("r", *(F.lit(0.0).cast("float") for _ in range(WIDTH)), *_NAMES[WIDTH:]))
         sums = materialize(d.groupBy("r").agg(*(F.sum(x).cast("float").alias(x) for x in _NAMES)), "derivatives")
         got = sums.mapInArrow(_update(sent, prior / blocks, prior, step), new).toArrow()
-        sent.unpersist()
+        sent.destroy()  # else the driver keeps a model a round
         if before is not None:
             discard(before)
         before = sums
-        if got.num_rows:
-            weight = m.weight.copy()
-            weight[got.column("r").to_numpy()] = np.stack([got.column(x).to_numpy() for x in _NAMES[:WIDTH]], 1)
-            m = Model(m.count, m.bias, weight)
+        for b in got.to_batches():
+            m.weight[b.column(0).to_numpy()] = np.stack([x.to_numpy() for x in b.columns[1:]], 1)
         del got, sums, d
         release_shuffles(spark)
     discard(before)
@@ -396,24 +420,30 @@ def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, block
     n_sym = min(int((counts >= MIN_COUNT).sum()), MAX_WORDS)
     symbols = {w: i for i, w in enumerate(words[:n_sym].tolist())}
     table = Table.build(words, counts, symbols, n_sym)
+    del symbols
     other = total - int(counts[:n_sym].sum())
     log_n = float(np.log10(total + distinct + 1))
     log_other = float(np.log10(other + distinct - n_sym + 1))
     rows = min(max(MIN_ROWS, 1 << (total // TOKENS_A_ROW).bit_length()), MAX_ROWS)
     texts = int(counts[words == END_HASH].sum())
     model = Model.new(np.append(counts[:n_sym], other + distinct - n_sym + 1), texts, rows)
-    sent, blank = spark.sparkContext.broadcast(_parts(table)), spark.sparkContext.broadcast(_parts(model))
+    sent, blank = (spark.sparkContext.broadcast(_parts(x)) for x in (table, model))
+    del table
 
     grams = train.mapInArrow(_ngrams(sent, blank), "part int, k bigint, c bigint")
-    grams = write_blocks(grams.repartition("part").groupBy("part", "k").agg(F.sum("c").alias("c")), blocks)
-    blank.unpersist()
+    grams = write_blocks(grams.repartition("part").select("k", "c").mapInArrow(_merge, "k bigint, c bigint"), blocks)
+    blank.destroy()
     release_shuffles(spark)
     model = fit(grams, model, blocks=blocks)
     discard(grams)
 
     part = "doc_id bigint, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"
-    scored = src.mapInArrow(_score(sent, spark.sparkContext.broadcast(_parts(model)), log_n, log_other), part)
+    trained = spark.sparkContext.broadcast(_parts(model))
+    del model
+    scored = src.mapInArrow(_score(sent, trained, log_n, log_other), part)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    sent.destroy()
+    trained.destroy()
     rare = scored.select("row", F.explode("rare").alias("h")).join(vocab, "h")
     rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("log_c"))
     out = scored.join(rare, "row", "left")

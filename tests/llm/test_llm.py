@@ -513,3 +513,48 @@ def test_blocks_of_ngrams_have_files_of_their_own(spark):
     rows = [tuple(r) for p in parts for r in p.collect()]
     assert sorted(rows) == [(k, k % 7) for k in range(1000)] and all(p.count() > 100 for p in parts)
     common.discard(d)
+
+
+def test_models_sent_are_let_go(spark, monkeypatch):
+    """The driver holds at most the word table and one model at a time, and nothing after the call."""
+    from pyspark.core.broadcast import Broadcast
+
+    held, most = set(), []
+    make, destroy = Broadcast.__init__, Broadcast.destroy
+
+    def made(self, *args, **kwargs):
+        make(self, *args, **kwargs)
+        held.add(id(self))
+        kept.append(self)
+        most.append(len(held))
+
+    def destroyed(self, *args):
+        held.discard(id(self))
+        destroy(self, *args)
+
+    kept = []
+    monkeypatch.setattr(Broadcast, "__init__", made)
+    monkeypatch.setattr(Broadcast, "destroy", destroyed)
+    out = score_texts(docs_of(spark, [(i, f"a b c {i % 3}") for i in range(40)]), blocks=3)
+    assert not held and max(most) == 2
+    assert out.count() == 40
+
+
+def test_merge_sums_counts_of_ngrams(monkeypatch):
+    import pyarrow as pa
+
+    from flowloom.llm import maxent as m
+
+    k = np.random.default_rng(0).integers(0, 1 << 40, 500).repeat(3)
+    np.random.default_rng(1).shuffle(k)
+    c = np.arange(len(k))
+    batches = [pa.RecordBatch.from_arrays([pa.array(k[i : i + 100]), pa.array(c[i : i + 100])], names=["k", "c"]) for i in range(0, len(k), 100)]
+    keys, at = np.unique(k, return_inverse=True)
+    for size in (1 << 22, 250):  # one run, and several
+        monkeypatch.setattr(m, "_BUFFER", size)
+        got = pa.Table.from_batches(m._merge(iter(batches)))
+        assert got.num_rows == 500 if size > 1000 else 500 < got.num_rows < 1500
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, np.searchsorted(keys, got.column("k").to_numpy()), got.column("c").to_numpy())
+        assert total.tolist() == np.bincount(at, c).astype(int).tolist()
+    assert not list(m._merge(iter([])))
