@@ -49,6 +49,7 @@ SLOTS = 1 << 20
 MAX_TABLE_WORDS = 300_000
 _BUFFER = 1 << 22
 _STEP = 1 << 14
+_PLACES = 1 << 11  # of weight rows whose derivatives travel together
 STEP = 1 / 3
 MAX_WEIGHT = 10.0  # five rounds of 2 at most reach it
 
@@ -125,15 +126,46 @@ def _symbols(t: Table, w: Words, other: int) -> tuple[np.ndarray, ...]:
     return h, doc, bounds, slot, sym, back[0], back[1]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as bytes, the lowest of all first, so that the zeros of the higher ones compress."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _integers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _pack(name: str, group: np.ndarray, k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (group, k, c) with up to ``_STEP`` sorted keys of a group as differences, and their counts, in bytes.
+
+    Spark spends more on a row than numpy on an n-gram, so n-grams travel by the thousand.
+    """
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    group, k, c = group[order], k[order], c[order]
+    cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+    cuts = [x for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) for x in range(lo, hi, _STEP)] + [len(group)]
+    for i in range(0, len(cuts) - 1, 16):
+        at = list(zip(cuts[i : i + 16], cuts[i + 1 : i + 17], strict=False))
+        keys = pa.array([_planes(np.diff(k[lo:hi], prepend=0)) for lo, hi in at], pa.binary())
+        counts = pa.array([_planes(c[lo:hi]) for lo, hi in at], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(group[[lo for lo, _ in at]].astype(np.int32)), keys, counts], names=[name, "k", "c"])
+
+
+def _unpack(k: pa.Array, c: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Counted keys (k, c) of packed ones, a batch a row."""
+    for x, y in zip(k, c, strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(_integers(x.as_buffer()))), pa.array(_integers(y.as_buffer()))], names=["k", "c"])
+
+
 def _ngrams(table, model):
-    """Texts -> counted keys of n-grams, and the part each is dealt to."""
+    """Texts -> packed counted keys of n-grams, by the part they are dealt to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, t, m = [], 0, Table(*table.value), Model(*model.value)
 
         def flush():
             k, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(m.parts(k)), pa.array(k), pa.array(c)], names=["part", "k", "c"])
+            return _pack("part", m.parts(k), k, c)
 
         for b in batches:
             for w in iter_words(b.column(0)):
@@ -141,10 +173,10 @@ def _ngrams(table, model):
                 held.append((h2 << 2 * BITS) | (h1 << BITS) | sym)
                 n += len(sym)
                 if n > _BUFFER:
-                    yield flush()
+                    yield from flush()
                     held, n = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -175,6 +207,34 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def _merge_parts(blocks: int):
+    """Packed n-grams of whole parts -> packed ones by block, with equal keys merged a buffer at a time.
+
+    The keys of a part follow one another, so a gradient stays within few windows for long.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = {}, 0
+
+        def flush():
+            for part in sorted(held):
+                merged = pa.Table.from_batches(_merge(iter(held[part])))
+                k, c = merged.column("k").to_numpy(), merged.column("c").to_numpy()
+                block = mix64(k.astype(U64) ^ U64(1 << 62)) % U64(blocks)
+                yield from _pack("block", block.astype(np.int32), k, c)
+
+        for b in batches:
+            for part, x in zip(b.column(0).to_pylist(), _unpack(b.column(1), b.column(2)), strict=True):
+                held.setdefault(part, []).append(x)
+                n += x.num_rows
+            if n > _BUFFER:
+                yield from flush()
+                held, n = {}, 0
+        yield from flush()
+
+    return run
+
+
 @dataclass
 class Model:
     """Weights of a model over symbols ``0 .. other``; ``other + 1`` stands before a text.
@@ -255,7 +315,7 @@ class Model:
         x += self.weight.take(rows[2], 0)
         x += self.bias.take(node, 0)
         np.exp(x, x)
-        return x, np.einsum("ij->i", x)
+        return x, x @ np.ones(WIDTH, x.dtype)
 
     def log_prob(self, h1: np.ndarray, h2: np.ndarray, sym: np.ndarray) -> np.ndarray:
         """Natural log of P(sym | h2 h1), in bounded steps."""
@@ -285,7 +345,9 @@ def _gradient(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*model.value)
         expected, seen = np.zeros((2, m.weight.size))
-        touched, mask, places = np.zeros(len(m.weight), bool), (1 << BITS) - 1, np.arange(WIDTH)
+        touched, mask = np.zeros(len(m.weight), bool), (1 << BITS) - 1
+        pairs = expected.view(np.complex128)  # two places are added as one number
+        places = np.arange(pairs.size).reshape(len(m.weight), -1)
         for b in batches:
             key, count = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float64)
             for i in range(0, len(key), _STEP):
@@ -295,11 +357,10 @@ def _gradient(model):
                     rows = m.rows(h1[at], h2[at], node)
                     p, total = m.powers(rows, node)
                     p *= (c[at] / total).astype(np.float32)[:, None]
-                    flat, n = p.astype(np.float64).ravel(), c[at]
+                    flat, n = p.astype(np.float64).view(np.complex128).ravel(), c[at]
                     for r in rows:
-                        first = r * WIDTH
-                        np.add.at(expected, (first[:, None] + places).ravel(), flat)
-                        np.add.at(seen, first + place, n)
+                        np.add.at(pairs, places.take(r, 0).ravel(), flat)
+                        np.add.at(seen, r * WIDTH + place, n)
                         touched[r] = True
         expected, seen, rows = expected.reshape(-1, WIDTH), seen.reshape(-1, WIDTH), np.flatnonzero(touched)
         for i in range(0, len(rows), 1 << 14):
@@ -311,31 +372,60 @@ def _gradient(model):
     return run
 
 
+def _derivatives(model):
+    """Packed n-grams (k, c) -> rows (at, r, d): derivatives of the weight rows ``r`` from ``at * _PLACES`` on, in bytes."""
+    gradient = _gradient(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gradient(x for b in batches for x in _unpack(b.column(0), b.column(1))):
+            r, d = b.column(0).to_numpy(), np.stack([x.to_numpy() for x in b.columns[1:]], 1)
+            cuts = np.append(np.flatnonzero(np.diff(r // _PLACES, prepend=-1)), len(r))
+            own = [slice(*x) for x in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((r[cuts[:-1]] // _PLACES).astype(np.int32)), pa.array([(r[x] % _PLACES).astype(np.int16).tobytes() for x in own], pa.binary()),
+                 pa.array([d[x].tobytes() for x in own], pa.binary())], names=["at", "r", "d"],
+            )
+
+    return run
+
+
 def _update(model, pull: float, prior: float, step: float):
-    """Rows (r, summed derivatives) -> (r, new weights), which is all that travels to the driver."""
+    """Rows (at, r, d) of this round, and those this gave for earlier ones -> summed second derivatives and new weights.
+
+    Only the weights travel to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old = Model(*model.value).weight
+        old, sums = Model(*model.value).weight, {}
         for b in batches:
-            d = np.stack([b.column(1 + i).to_numpy() for i in range(2 * WIDTH)], 1)
-            w = old[b.column(0).to_numpy()].astype(np.float64)
+            for at, r, d in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                r = np.frombuffer(r.as_buffer(), np.int16)
+                d = np.frombuffer(d.as_buffer(), np.float32).reshape(len(r), -1)
+                if at not in sums:
+                    sums[at] = np.zeros((_PLACES, 2 * WIDTH)), np.zeros(_PLACES, bool)
+                sums[at][0][r, 2 * WIDTH - d.shape[1] :] += d  # earlier rounds only have second derivatives
+                sums[at][1][r] = True
+        for at, (d, touched) in sums.items():
+            r = np.flatnonzero(touched)
+            d, w = d[r], old[at * _PLACES + r].astype(np.float64)
             w += np.clip((d[:, :WIDTH] - pull * w) / (d[:, WIDTH:] + prior) * step, -2, 2)
             w = w.clip(-MAX_WEIGHT, MAX_WEIGHT)
+            parts = r.astype(np.int16), d[:, WIDTH:].astype(np.float32), w.astype(np.float32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0)] + [pa.array(w[:, i].astype(np.float32)) for i in range(WIDTH)], names=["r", *_NAMES[:WIDTH]]
+                [pa.array([at], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["at", "r", "d", "w"]
             )
 
     return run
 
 
 def write_blocks(ngrams: DataFrame, blocks: int) -> DataFrame:
-    """``ngrams`` (k, c) as a table (k, c, block) of which a round reads its own block only."""
-    block = F.expr(f"CAST(pmod(xxhash64(k), {blocks}) AS INT)").alias("block")
+    """``ngrams`` (k, c), or packed (block, k, c), as a table (k, c, block) of which a round reads its own block only."""
+    block = "block" if "block" in ngrams.columns else F.expr(f"CAST(pmod(xxhash64(k), {blocks}) AS INT)").alias("block")
     return materialize(ngrams.select("k", "c", block), "ngrams", "block", blocks)
 
 
 def fit(ngrams: DataFrame, m: Model, *, blocks: int = 5, prior: float = 2.0, step: float = STEP) -> Model:
-    """``m`` trained on n-grams (k, c, block): a distributed gradient round over each of ``blocks`` blocks of them.
+    """``m`` trained on packed n-grams (k, c, block): a distributed gradient round over each of ``blocks`` blocks of them.
 
     A weight moves by its first derivative in the block over the sum of its
     second derivatives in this and earlier blocks and a Gaussian prior, a third
@@ -343,22 +433,23 @@ def fit(ngrams: DataFrame, m: Model, *, blocks: int = 5, prior: float = 2.0, ste
     """
     spark = ngrams.sparkSession
     m = Model(m.count, m.bias, m.weight.copy())
-    grads = "r bigint, " + ", ".join(f"{x} float" for x in _NAMES)
-    new = "r bigint, " + ", ".join(f"{x} float" for x in _NAMES[:WIDTH])
-    before = None
+    rows, before = "at int, r binary, d binary", None
     for i in range(blocks):
         sent = spark.sparkContext.broadcast(_parts(m))
-        d = ngrams.where(F.col("block") == i).select("k", "c").mapInArrow(_gradient(sent), grads)
+        d = ngrams.where(F.col("block") == i).select("k", "c").mapInArrow(_derivatives(sent), rows)
         if before is not None:
-            d = d.union(before.select("r", *(F.lit(0.0).cast("float") for _ in range(WIDTH)), *_NAMES[WIDTH:]))
-        sums = materialize(d.groupBy("r").agg(*(F.sum(x).cast("float").alias(x) for x in _NAMES)), "derivatives")
-        got = sums.mapInArrow(_update(sent, prior / blocks, prior, step), new).toArrow()
+            d = d.union(before.select("at", "r", "d"))
+        sums = d.repartition("at").mapInArrow(_update(sent, prior / blocks, prior, step), rows + ", w binary")
+        sums = materialize(sums, "derivatives")
+        got = sums.select("at", "r", "w").toArrow()
         sent.destroy()  # else the driver keeps a model a round
         if before is not None:
             discard(before)
         before = sums
         for b in got.to_batches():
-            m.weight[b.column(0).to_numpy()] = np.stack([x.to_numpy() for x in b.columns[1:]], 1)
+            for at, r, w in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                r = np.frombuffer(r.as_buffer(), np.int16).astype(np.int64)
+                m.weight[at * _PLACES + r] = np.frombuffer(w.as_buffer(), np.float32).reshape(-1, WIDTH)
         del got, sums, d
         release_shuffles(spark)
     discard(before)
@@ -430,8 +521,8 @@ def score_texts(docs: DataFrame, *, fold: int = 7, held_out_fold: int = 2, block
     sent, blank = (spark.sparkContext.broadcast(_parts(x)) for x in (table, model))
     del table
 
-    grams = train.mapInArrow(_ngrams(sent, blank), "part int, k bigint, c bigint")
-    grams = write_blocks(grams.repartition("part").select("k", "c").mapInArrow(_merge, "k bigint, c bigint"), blocks)
+    grams = train.mapInArrow(_ngrams(sent, blank), "part int, k binary, c binary")
+    grams = write_blocks(grams.repartition("part").mapInArrow(_merge_parts(blocks), "block int, k binary, c binary"), blocks)
     blank.destroy()
     release_shuffles(spark)
     model = fit(grams, model, blocks=blocks)

@@ -47,10 +47,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over all output bits."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 @dataclass

@@ -558,3 +558,43 @@ def test_merge_sums_counts_of_ngrams(monkeypatch):
         np.add.at(total, np.searchsorted(keys, got.column("k").to_numpy()), got.column("c").to_numpy())
         assert total.tolist() == np.bincount(at, c).astype(int).tolist()
     assert not list(m._merge(iter([])))
+
+
+def test_lm_ngrams_travel_by_the_thousand(spark, monkeypatch):
+    """No row an n-gram reaches Spark, and all training tokens are in the packed ones."""
+    from flowloom.llm import maxent as m
+
+    rows, write = [], m.write_blocks
+    monkeypatch.setattr(m, "write_blocks", lambda d, n: (out := write(d, n), rows.extend(out.collect()))[0])
+    r = random.Random(3)
+    out = score_texts(docs_of(spark, [(i, " ".join(f"w{r.randrange(300)}" for _ in range(60))) for i in range(400)]), blocks=2).first()
+    grams = [b for x in rows for b in m._unpack(pa.array([bytes(x.k)]), pa.array([bytes(x.c)]))]
+    keys, counts = (np.concatenate([b.column(i).to_numpy() for b in grams]) for i in (0, 1))
+    assert counts.sum() == out.train_tokens and len(np.unique(keys)) == len(keys) > 15_000
+    assert len(rows) < len(keys) / 10 and {x.block for x in rows} == {0, 1}
+
+
+def test_lm_fit_moves_each_row_by_its_derivatives(spark):
+    """Two rounds over packed n-grams against the gradient in one process, with rows behind the reach of 16 bits."""
+    from flowloom.llm import maxent as m
+
+    r = np.random.default_rng(4)
+    model = m.Model.new(np.append(r.integers(4, 90, 299), 500), 40, 1 << 17)
+    h2, h1, sym = r.integers(0, 300, (3, 4000))
+    k, c = np.unique((h2 << 2 * m.BITS) | (h1 << m.BITS) | sym, return_counts=True)
+    c[0] = 1 << 33
+    block = r.integers(0, 2, len(k))
+    packed = pa.Table.from_batches(m._pack("block", block, k, c)).to_pylist()
+    d = spark.createDataFrame([tuple(x.values()) for x in packed], "block int, k binary, c binary")
+    got = m.fit(d.repartition(3), model, blocks=2).weight
+    want, second = m.Model(model.count, model.bias, model.weight.copy()), np.zeros(model.weight.shape)
+    for i in range(2):
+        sent = type("Sent", (), {"value": m._parts(want)})
+        batch = pa.RecordBatch.from_arrays([pa.array(k[block == i]), pa.array(c[block == i])], names=["k", "c"])
+        first = np.zeros(want.weight.shape)
+        for b in m._gradient(sent)(iter([batch])):
+            x = np.stack([x.to_numpy() for x in b.columns[1:]], 1)
+            first[b.column(0).to_numpy()] += x[:, : m.WIDTH]
+            second[b.column(0).to_numpy()] += x[:, m.WIDTH :]
+        want.weight += np.clip((first - want.weight) / (second + 2) * m.STEP, -2, 2).astype(np.float32)
+    assert np.abs(got[1 << 15 :]).max() > 0.1 and np.allclose(got, want.weight, atol=1e-4)
