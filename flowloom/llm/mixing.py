@@ -209,7 +209,8 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(MAX_LABELLED / n * (1 << 30)))
     texts = docs.select("doc_id", "text")
     labelled = _features(texts.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(broadcast_if_small(known.select("doc_id").distinct(), 4 * MAX_LABELLED), "doc_id", "left_semi"))
-    labelled = materialize(labelled.join(broadcast_if_small(known, 4 * MAX_LABELLED), "doc_id"), "labelled")
+    labelled = labelled.join(broadcast_if_small(known, 4 * MAX_LABELLED), "doc_id")
+    labelled = materialize(labelled.hint("rebalance"), "labelled")  # a few rows of each task: together, not a file a task
     model = learn_domains(labelled)
     names = model[0]
     soft = materialize(posteriors(_features(texts), model), "soft")

@@ -598,3 +598,19 @@ def test_lm_fit_moves_each_row_by_its_derivatives(spark):
             second[b.column(0).to_numpy()] += x[:, m.WIDTH :]
         want.weight += np.clip((first - want.weight) / (second + 2) * m.STEP, -2, 2).astype(np.float32)
     assert np.abs(got[1 << 15 :]).max() > 0.1 and np.allclose(got, want.weight, atol=1e-4)
+
+
+def test_mixing_writes_labelled_rows_together(spark, monkeypatch):
+    from flowloom.llm import mixing as m
+
+    files, write = {}, m.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        files[name] = len(out.inputFiles()), out.count()
+        return out
+
+    monkeypatch.setattr(m, "materialize", counted)
+    rows = [(i, "nice words here " if i % 3 else "bad!! words!! here!! ") for i in range(300)]
+    mix(docs_of(spark, rows).repartition(8), labels_of(spark, [(i, int(i % 3 > 0), 0) for i in range(200)]))
+    assert files["labelled"] == (1, 200) and files["soft"][1] == 300
